@@ -1,0 +1 @@
+"""operators layer of the session-history engine."""

@@ -1,0 +1 @@
+"""plans layer of the session-history engine."""

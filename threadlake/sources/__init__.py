@@ -1,0 +1 @@
+"""sources layer of the session-history engine."""

@@ -1,0 +1 @@
+"""streaming layer of the session-history engine."""
