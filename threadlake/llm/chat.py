@@ -240,7 +240,7 @@ def parse(lines: DataFrame, hmm: Hmm) -> DataFrame:
     starts = starts | (F.col("role") != F.lag("role").over(order))
     said = said.withColumn("turn", F.sum(starts.cast("int")).over(order) - 1)
     marked = "|".join(f"({m})" for m in MARKERS.values())
-    line = F.when(F.col("state") % 2 == 0, F.regexp_replace("line", f"(?i){marked}\\s?", "")).otherwise(F.col("line"))
+    line = F.when(F.col("state") % 2 == 0, F.regexp_replace("line", f"(?i)({marked})\\s?", "")).otherwise(F.col("line"))
     turns = said.groupBy("conv_id", "turn").agg(
         F.min("role").alias("role"), F.sort_array(F.collect_list(F.struct("line_no", line.alias("line")))).alias("lines")
     )

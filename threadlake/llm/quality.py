@@ -155,9 +155,5 @@ def score(docs: DataFrame, model: Model, accept: float = ACCEPT) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model, accept: float = ACCEPT) -> DataFrame:
     """The rows of docs, with all their columns, whose score reaches `accept`."""
-    names = docs.columns
-    t = "__quality_text"
-    rows = docs.withColumn(t, text_or_empty())
-    schema = docs.schema.add("__quality_score", "double")
-    out = rows.mapInPandas(lambda it: (p.rename(columns={"score": "__quality_score"}) for p in _score(model, t)(it)), schema)
-    return out.where(F.col("__quality_score") >= accept).select(*names)
+    judged = F.pandas_udf(lambda t: pd.Series(model.scores(t)), "double")
+    return docs.where(judged(text_or_empty()) >= accept)

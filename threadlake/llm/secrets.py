@@ -115,6 +115,11 @@ def _joined(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda x: F.concat_ws(":", F.get(kinds, x["rank"]), x["start"], x["end"])), ",")
 
 
+def _same(k: int):
+    """x where it is k, else null."""
+    return lambda x: F.when(x == k, x)
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """Find the secrets in every whole text of docs (doc_id, text); a null text counts as empty.
 
@@ -124,7 +129,8 @@ def scan(docs: DataFrame) -> DataFrame:
     Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans.
     """
     rows = docs.select("doc_id", text_or_empty().alias("text")).select("doc_id", spans(F.col("text")).alias("s"))
-    counts = [F.size(F.filter("s", lambda x, k=k: x["rank"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    ranks = F.transform("s", lambda x: x["rank"])
+    counts = [F.size(F.array_compact(F.transform(ranks, _same(k)))).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
     base = F.sha2(_joined(F.filter("s", lambda x: x["rank"] < 3)).cast("binary"), 256)
     return rows.select("doc_id", *counts, base.alias("base_sha256"), _joined(F.col("s")).alias("spans"))
 
