@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import blocks_for, salt, save, sized, text_or_empty
-from .substring import WordHashes, grams, mix
+from .substring import grams, mix, word_hashes
 
 N = 5
 THRESHOLD = 0.8
@@ -26,15 +25,14 @@ TOLERANCE = 1e-6
 #: Documents in a block; a task holds two blocks at most.
 BUCKET_BLOCK = 1024
 VERIFY_BLOCK = 256
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _rng = np.random.default_rng(20240501)
 _A = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
-def shingles(hashes: WordHashes, text: str, n: int = N) -> np.ndarray:
+def shingles(text: str, n: int = N) -> np.ndarray:
     """Sorted distinct hashes of the n-grams of a text's lower-cased words; empty for fewer than n words."""
-    return np.unique(grams(hashes.of(WORD.findall(text.lower())), n))
+    return np.unique(grams(word_hashes(text.lower().encode()), n))
 
 
 def signature(h: np.ndarray) -> np.ndarray:
@@ -63,11 +61,10 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE, st
 
 
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hashes = WordHashes()
     for pdf in batches:
         out = []
         for text in pdf["text"]:
-            h = shingles(hashes, text)
+            h = shingles(text)
             out.append(signature(h).tobytes() if len(h) else None)
         yield pd.DataFrame({"doc": pdf["doc"], "digest": pdf["digest"], "sig": out})
 
@@ -124,8 +121,7 @@ def _verify(threshold: float):
         A row with other = null counts links to documents of different words, and to copies of them.
         """
         pdf = pdf.sort_values(["side", "doc"], ignore_index=True)
-        hashes = WordHashes()
-        held = [shingles(hashes, t) for t in pdf["text"]]
+        held = [shingles(t) for t in pdf["text"]]
         size = np.array([len(h) for h in held], np.int64)
         owner = np.repeat(np.arange(len(held)), size)
         _, column, times = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 #: A side is broadcast only when its rows times their width stay under this.
 BROADCAST_BYTES = 32 << 20
 
-#: Rows that one Arrow batch to a Python worker holds at most.
-ARROW_ROWS = 500
+#: Rows and bytes that one Arrow batch to a Python worker holds at most.
+ARROW_ROWS = 10_000
+ARROW_BYTES = 4 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -35,6 +36,7 @@ def save(df: DataFrame, name: str = "t") -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bound Arrow batches, so that a batch of very long texts fits in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def sized(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:

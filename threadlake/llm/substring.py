@@ -3,37 +3,22 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import save, sized, text_or_empty
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: Words whose hashes a worker keeps before it starts anew.
-CACHE_WORDS = 1_000_000
+#: Bytes that are hashed in one stretch.
+STRETCH = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, computed once while they stay in the cache."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit hashes."""
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -41,14 +26,66 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+_BASE = 0x9E6C63D0876A9A47  # odd, so that it has an inverse modulo 2 ** 64
+_LETTER = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        p = np.full(n, base, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a UTF-8 text: runs of bytes that are no blank, as bytes.split() gives them.
+
+    A word's hash is the difference of two prefix sums of letters times powers, moved to power 0; so a
+    whole text is hashed in a few array operations.
+    """
+    parts, at = [], 0
+    while at < len(data):
+        end = min(len(data), at + STRETCH)
+        while end < len(data) and not _BLANK[data[end]]:
+            end += 1
+        a = np.frombuffer(data, np.uint8, end - at, at)
+        # Stretches of one size class share their powers.
+        power, inverse = _powers(1 << max(STRETCH - 1, end - at).bit_length())
+        blank = np.ones(len(a) + 2, bool)
+        blank[1:-1] = _BLANK[a]
+        edges = np.flatnonzero(blank[1:] != blank[:-1])
+        start, stop = edges[::2], edges[1::2]
+        total = np.zeros(len(a) + 1, np.uint64)
+        np.cumsum(_LETTER[a] * power[: len(a)], out=total[1:])
+        parts.append(mix((total[stop] - total[start]) * inverse[start] + (stop - start).astype(np.uint64)))
+        at = end
+    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+
+
 def grams(words: np.ndarray, n: int, base: np.uint64 = _P) -> np.ndarray:
     """Hashes of all n consecutive word hashes; empty if there are fewer."""
     if len(words) < n:
         return np.empty(0, np.uint64)
     m = len(words) - n + 1
-    h = words[:m].copy()
-    for i in range(1, n):
-        h = h * base + words[i : i + m]
+    # Hashes of 1, 2, 4 ... words double; those that make up n are put together.
+    size, part, parts = 1, words, {}
+    while True:
+        parts[size] = part
+        if 2 * size > n:
+            break
+        part = part[:-size] * np.uint64(pow(int(base), size, 1 << 64)) + part[size:]
+        size *= 2
+    h, done = parts[size][:m], size
+    for s in reversed(parts):
+        if s < size and n & s:
+            h = h * np.uint64(pow(int(base), s, 1 << 64)) + parts[s][done : done + m]
+            done += s
     return mix(h)
 
 
@@ -58,18 +95,23 @@ def anchors(words: np.ndarray, length: int, window: int) -> tuple[np.ndarray, np
     span = window - length + 1
     if len(h) < span:
         return np.empty(0, np.int64), h[:0]
-    least = np.lib.stride_tricks.sliding_window_view(h, span).argmin(axis=1)
-    at = np.unique(least + np.arange(len(least)))
+    m = len(h) - span + 1
+    least = h[:m].copy()
+    for i in range(1, span):
+        np.minimum(least, h[i : i + m], out=least)
+    is_least = np.zeros(len(h), bool)
+    for i in range(span):
+        is_least[i : i + m] |= h[i : i + m] == least
+    at = np.flatnonzero(is_least)
     return at, h[at]
 
 
 def _first_level(length: int, window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for pdf in batches:
             out = []
             for doc, th, text in zip(pdf["doc_id"], pdf["th"], pdf["text"], strict=True):
-                at, h = anchors(hashes.of(WORD.findall(text)), length, window)
+                at, h = anchors(word_hashes(text.encode()), length, window)
                 new = np.ones(len(h), bool)
                 new[1:] = h[1:] != h[:-1]  # runs of one word sequence in place count once, from their first place
                 first = np.flatnonzero(new)
@@ -88,11 +130,10 @@ def _frame(parts: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
 
 def _next_level(length: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for pdf in batches:
             out, checks = [], []
             for doc, th, text, spans in zip(pdf["doc_id"], pdf["th"], pdf["text"], pdf["spans"], strict=True):
-                w = hashes.of(WORD.findall(text))
+                w = word_hashes(text.encode())
                 h, check = grams(w, length), grams(w, length, _Q)
                 live = np.zeros(len(h), bool)
                 for s in spans:
@@ -153,7 +194,7 @@ def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         counts, gone, digests, kept_texts = [], [], [], []
         for text, spans in zip(pdf["text"], pdf["spans"], strict=True):
-            words = WORD.findall(text)
+            words = text.encode().split()
             n = len(words)
             if spans is not None and len(spans):
                 kept, at = [], 0
@@ -161,11 +202,11 @@ def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     kept += words[at : s["from_"]]
                     at = s["to_"]
                 words = kept + words[at:]
-            kept_text = " ".join(words)
+            kept_text = b" ".join(words)
             counts.append(n)
             gone.append(n - len(words))
-            digests.append(hashlib.sha256(kept_text.encode("utf-8", "surrogatepass")).hexdigest())
-            kept_texts.append(kept_text)
+            digests.append(hashlib.sha256(kept_text).hexdigest())
+            kept_texts.append(kept_text.decode())
         yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": counts, "n_removed": gone, "kept_sha256": digests, "kept_text": kept_texts})
 
 
