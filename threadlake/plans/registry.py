@@ -2,5 +2,419 @@
 
 from __future__ import annotations
 
+import tempfile
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from threadlake.bindings import ACTIVITY_SQL, CONV_SQL, DOC_SQL, activity_events, conv_events, doc_events, read
+from threadlake.functions import text as tx
+from threadlake.operators import context, files, fts, graph, rank, sessions, summaries, upkeep
+from threadlake.streaming import ingest
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+QUERY = "the and tion or"
+STOP_SQL = "(" + ", ".join(f"'{w}'" for w in tx.STOP_WORDS) + ")"
+
+
+def query(sql: str | None = None, binding: str = ""):
+    """Register a query under its function's name; binding is put before the SQL's own parts."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = f"WITH {binding}{',' if sql.lstrip().startswith(',') else ''} {sql.lstrip().lstrip(',')}" if binding else sql
+        return f
+
+    return add
+
+
+ROLL = """, roll AS (
+  SELECT session_id, min(ts) AS first_seen, max(ts) AS last_seen, arg_max(cwd, seq) FILTER (cwd IS NOT NULL) AS cwd,
+         arg_max(repo_root, seq) FILTER (repo_root IS NOT NULL) AS repo_root,
+         arg_max(parent_session_id, seq) FILTER (parent_session_id IS NOT NULL) AS parent_session_id,
+         max(tokens) AS total_tokens, count(*) AS event_count
+  FROM ev GROUP BY session_id) """
+
+
+@query(ROLL + "SELECT * FROM roll", CONV_SQL)
+def session_rollup(spark, d):
+    return sessions.rollup(conv_events(spark, d))
+
+
+@query(ROLL + "SELECT session_id, last_seen, event_count FROM roll ORDER BY last_seen DESC, session_id LIMIT 10 OFFSET 10", CONV_SQL)
+def session_list_page(spark, d):
+    return sessions.listing(sessions.rollup(conv_events(spark, d)), 10, 10).select("session_id", "last_seen", "event_count")
+
+
+@query(ROLL + "SELECT session_id, cwd, event_count FROM roll WHERE parent_session_id IS NULL ORDER BY last_seen DESC, session_id LIMIT 50", CONV_SQL)
+def session_list_roots(spark, d):
+    return sessions.listing(sessions.rollup(conv_events(spark, d)), roots_only=True).select("session_id", "cwd", "event_count")
+
+
+@query(ROLL + "SELECT session_id, cwd FROM roll WHERE parent_session_id = 'conv-2' ORDER BY last_seen DESC, session_id LIMIT 50", CONV_SQL)
+def session_list_children(spark, d):
+    return sessions.listing(sessions.rollup(conv_events(spark, d)), parent="conv-2").select("session_id", "cwd")
+
+
+@query(ROLL + "SELECT session_id FROM roll WHERE last_seen >= '2026-01-01T10:00:00.000Z' AND first_seen <= '2026-01-03T00:00:00.000Z' AND cwd = '/w/3' ORDER BY last_seen DESC, session_id LIMIT 50", CONV_SQL)
+def session_list_overlap(spark, d):
+    return sessions.listing(sessions.rollup(conv_events(spark, d)), cwd="/w/3", since="2026-01-01T10:00:00.000Z", until="2026-01-03T00:00:00.000Z").select("session_id")
+
+
+@query(ROLL + "SELECT count(*) AS sessions, CAST(coalesce(sum(total_tokens), 0) AS BIGINT) AS total_tokens FROM roll", CONV_SQL)
+def usage_totals(spark, d):
+    return sessions.usage(sessions.rollup(conv_events(spark, d)))
+
+
+ORACLES_RECURSIVE = (
+    "WITH RECURSIVE " + CONV_SQL + ROLL + """, tree AS (
+  SELECT session_id FROM roll WHERE parent_session_id IS NULL AND cwd = '/w/1'
+  UNION SELECT r.session_id FROM roll r JOIN tree t ON r.parent_session_id = t.session_id)
+  SELECT count(*) AS sessions, CAST(coalesce(sum(total_tokens), 0) AS BIGINT) AS total_tokens FROM roll JOIN tree USING (session_id)"""
+)
+
+
+@query(ORACLES_RECURSIVE)
+def usage_roots_descendants(spark, d):
+    return sessions.usage_with_descendants(sessions.rollup(conv_events(spark, d)), cwd="/w/1")
+
+
+@query(ROLL + "SELECT session_id, last_seen FROM roll WHERE cwd = '/w/2' ORDER BY last_seen DESC, session_id LIMIT 1", CONV_SQL)
+def current_session(spark, d):
+    return sessions.current(sessions.rollup(conv_events(spark, d)), cwd="/w/2").select("session_id", "last_seen")
+
+
+@query("SELECT event_id, ts, hook_event FROM ev WHERE session_id = 'user-1' ORDER BY ts, seq LIMIT 20 OFFSET 20", ACTIVITY_SQL)
+def session_events_page(spark, d):
+    return sessions.page(activity_events(spark, d), "user-1", 20, 20).select("event_id", "ts", "hook_event")
+
+
+@query("SELECT event_id, ts FROM (SELECT * FROM ev WHERE session_id = 'user-1' ORDER BY ts DESC, seq DESC LIMIT 20)", ACTIVITY_SQL)
+def recent_context(spark, d):
+    return sessions.recent(activity_events(spark, d), "user-1").select("event_id", "ts")
+
+
+@query("SELECT hook_event, count(*) AS n FROM ev GROUP BY hook_event", ACTIVITY_SQL)
+def hook_event_counts(spark, d):
+    return sessions.hook_counts(activity_events(spark, d))
+
+
+@query("SELECT count(*) AS events, count(DISTINCT session_id) AS sessions, max(ts) AS latest_at, count(DISTINCT tool_use_id) AS tool_uses, CAST(coalesce(sum(strlen(text)), 0) AS BIGINT) AS text_bytes FROM ev", ACTIVITY_SQL)
+def index_stats(spark, d):
+    return sessions.index_stats(activity_events(spark, d))
+
+
+@query(
+    """, m AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, seq DESC) AS place,
+    sum(CASE WHEN hook_event IN ('UserPromptSubmit', 'Note', 'Stop', 'PreCompact', 'PostCompact') THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS up,
+    sum(CASE WHEN hook_event IN ('UserPromptSubmit', 'Note', 'Stop', 'PreCompact', 'PostCompact') THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ts DESC, seq DESC ROWS UNBOUNDED PRECEDING) AS down FROM ev)
+    SELECT session_id, event_id FROM m WHERE place <= 7 OR (hook_event IN ('UserPromptSubmit', 'Note', 'Stop', 'PreCompact', 'PostCompact') AND (up <= 5 OR down <= 6))""",
+    ACTIVITY_SQL,
+)
+def head_tail_sample(spark, d):
+    return sessions.head_tail_sample(activity_events(spark, d), 5, 6, 7).select("session_id", "event_id")
+
+
+@query(", p AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, seq) AS event_no FROM ev) SELECT session_id, event_id, event_no FROM p WHERE hook_event = 'UserPromptSubmit' AND event_no % 8 <= 1", ACTIVITY_SQL)
+def rebuild_triggers(spark, d):
+    return sessions.rebuild_triggers(activity_events(spark, d))
+
+
+POS = ", p AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, seq) AS position FROM ev), ck AS (SELECT session_id, event_id, hook_event, position FROM p WHERE position % 50 = 0 OR hook_event = 'PreCompact') "
+RESULTS = """, tr AS (SELECT session_id, last_value(CASE WHEN hook_event = 'PreToolUse' THEN event_id END IGNORE NULLS) OVER (PARTITION BY session_id, tool_use_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS from_id,
+  event_id AS to_id, hook_event FROM ev WHERE tool_use_id IS NOT NULL) """
+
+
+@query(POS + "SELECT * FROM ck", ACTIVITY_SQL)
+def checkpoints(spark, d):
+    return graph.checkpoints(activity_events(spark, d))
+
+
+@query(
+    POS + """, l AS (SELECT session_id, arg_max(event_id, position) AS event_id, max(position) AS position FROM ck GROUP BY session_id)
+    SELECT l.session_id, l.event_id, l.position, count(*) FILTER (p.hook_event = 'PreToolUse') AS pre, count(*) FILTER (p.hook_event = 'PostToolUse') AS post,
+      count(*) FILTER (p.hook_event = 'UserPromptSubmit') AS prompts, count(*) FILTER (p.hook_event = 'Stop') AS stops, count(*) FILTER (p.hook_event = 'PreCompact') AS compacts
+    FROM l JOIN p ON p.session_id = l.session_id AND p.position <= l.position GROUP BY ALL""",
+    ACTIVITY_SQL,
+)
+def latest_checkpoint(spark, d):
+    return graph.latest_checkpoint(activity_events(spark, d))
+
+
+@query(", x AS (SELECT session_id, lag(event_id) OVER (PARTITION BY session_id ORDER BY ts, seq) AS from_id, event_id AS to_id, 'next' AS kind FROM ev) SELECT * FROM x WHERE from_id IS NOT NULL", ACTIVITY_SQL)
+def next_edges(spark, d):
+    return graph.next_edges(activity_events(spark, d))
+
+
+@query(RESULTS + "SELECT session_id, from_id, to_id, 'tool_result' AS kind FROM tr WHERE hook_event = 'PostToolUse' AND from_id IS NOT NULL", ACTIVITY_SQL)
+def tool_result_pairs(spark, d):
+    return graph.tool_results(activity_events(spark, d))
+
+
+@query(
+    POS + """SELECT 'session' AS kind, count(DISTINCT session_id) AS n FROM ev UNION ALL SELECT 'turn', count(*) FROM (SELECT DISTINCT session_id, turn_id FROM ev WHERE turn_id IS NOT NULL)
+    UNION ALL SELECT 'event', count(*) FROM ev UNION ALL SELECT 'checkpoint', count(*) FROM ck""",
+    ACTIVITY_SQL,
+)
+def graph_node_counts(spark, d):
+    return graph.node_counts(activity_events(spark, d))
+
+
+@query(
+    POS + RESULTS + """SELECT 'next' AS kind, count(*) - count(DISTINCT session_id) AS n FROM ev UNION ALL SELECT 'tool_result', count(*) FROM tr WHERE hook_event = 'PostToolUse' AND from_id IS NOT NULL
+    UNION ALL SELECT 'contains', (SELECT count(*) FROM ev) + (SELECT count(*) FROM (SELECT DISTINCT session_id, turn_id FROM ev WHERE turn_id IS NOT NULL)) UNION ALL SELECT 'checkpoint', count(*) FROM ck""",
+    ACTIVITY_SQL,
+)
+def graph_edge_counts(spark, d):
+    return graph.edge_counts(activity_events(spark, d))
+
+
+@query(POS + ", n AS (SELECT 'session:' || session_id AS node_id, 'session' AS kind, 1 AS position, 0 AS part FROM ev WHERE session_id = 'user-1' GROUP BY 1 UNION ALL SELECT 'turn:' || session_id || ':' || turn_id, 'turn', min(position), 1 FROM p WHERE session_id = 'user-1' GROUP BY 1 UNION ALL SELECT event_id, 'event', position, 2 FROM p WHERE session_id = 'user-1' UNION ALL SELECT 'checkpoint:' || event_id, 'checkpoint', position, 3 FROM ck WHERE session_id = 'user-1') SELECT node_id, kind FROM n ORDER BY position, part, node_id LIMIT 60", ACTIVITY_SQL)
+def graph_nodes(spark, d):
+    return graph.bounded(activity_events(spark, d), "user-1", 60)[0].select("node_id", "kind")
+
+
+def _twice(spark, d):
+    """Conversations with a third of the events arriving twice, the second time with other text."""
+    e = conv_events(spark, d)
+    again = e.where("seq % 3 = 0").withColumn("seq", F.col("seq") + 1_000_000_000).withColumn("text", F.upper("text"))
+    return e.unionByName(again)
+
+
+@query("SELECT event_id, seq FROM ev", CONV_SQL)
+def dedupe_events(spark, d):
+    return upkeep.first_arrivals(_twice(spark, d)).select("event_id", "seq")
+
+
+@query("SELECT event_id, session_id FROM ev WHERE seq % 5 = 0", CONV_SQL)
+def stale_index_rows(spark, d):
+    e = conv_events(spark, d)
+    return upkeep.stale(e, e.where("seq % 5 <> 0")).select("event_id", "session_id")
+
+
+@query("SELECT event_id FROM ev WHERE seq % 7 = 1 AND text <> upper(text)", CONV_SQL)
+def changed_rows(spark, d):
+    e = conv_events(spark, d)
+    return upkeep.changed(e, e.withColumn("text", F.when(F.expr("seq % 7 = 1"), F.upper("text")).otherwise(F.col("text"))))
+
+
+SEG = ", sg AS (SELECT session_id, event_id, seq, ts, CAST(floor(coalesce(sum(strlen(text) + 1) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 600) AS BIGINT) AS segment FROM ev) "
+
+
+@query(SEG + "SELECT session_id, event_id, segment FROM sg", CONV_SQL)
+def segment_assignment(spark, d):
+    return upkeep.segments(conv_events(spark, d), 600)
+
+
+@query(
+    SEG + """, ends AS (SELECT session_id, segment, max(ts) AS last_ts, max(max(segment)) OVER (PARTITION BY session_id) AS newest FROM sg GROUP BY session_id, segment)
+    SELECT session_id, event_id FROM sg JOIN ends USING (session_id, segment) WHERE NOT (segment < newest AND last_ts < '2026-01-03T00:00:00.000Z')""",
+    CONV_SQL,
+)
+def retention_expiry(spark, d):
+    e = conv_events(spark, d)
+    return upkeep.expire(e, upkeep.segments(e, 600), "2026-01-03T00:00:00.000Z").select("session_id", "event_id")
+
+
+@query("SELECT event_id, hook_event FROM ev WHERE hook_event IN ('UserPromptSubmit', 'Note', 'Stop', 'PreCompact', 'PostCompact')", ACTIVITY_SQL)
+def high_signal_filter(spark, d):
+    return activity_events(spark, d).where(F.col("hook_event").isin("UserPromptSubmit", "Note", "Stop", "PreCompact", "PostCompact")).select("event_id", "hook_event")
+
+
+@query(
+    """, w AS (SELECT event_id, seq, session_id, 'event' AS shape, text FROM ev WHERE hook_event = 'UserPromptSubmit')
+    SELECT event_id, shape FROM w""",
+    CONV_SQL,
+)
+def cross_shape_dedupe(spark, d):
+    e = conv_events(spark, d).where("hook_event = 'UserPromptSubmit'").select("event_id", "session_id", "turn_id", "text", (F.col("seq") * 2).alias("at"), F.lit("event").alias("shape"))
+    both = e.unionByName(e.withColumn("shape", F.lit("item")).withColumn("at", F.col("at") + 1))
+    return upkeep.cross_shape(both, ["session_id", "turn_id", "text"], "at").select("event_id", "shape")
+
+
+@query(", b AS (SELECT *, coalesce(sum(strlen(text)) OVER (PARTITION BY session_id ORDER BY ts DESC, seq DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ev) SELECT session_id, event_id FROM b WHERE before + strlen(text) <= 20000", DOC_SQL)
+def scan_budget(spark, d):
+    return upkeep.scan_budget(doc_events(spark, d), 20000).select("session_id", "event_id")
+
+
+@query(", m AS (SELECT event_id, text, instr(lower(text), 'token') AS place FROM ev) SELECT event_id, CAST(strlen(substr(text, 1, place - 1)) AS BIGINT) AS byte_offset, CAST(len(string_split(substr(text, 1, place - 1), chr(10))) AS BIGINT) AS line_no FROM m WHERE place > 0", DOC_SQL)
+def overflow_search(spark, d):
+    return upkeep.overflow_matches(doc_events(spark, d), "token").drop("snippet")
+
+
+TERMS = f""", t0 AS (SELECT event_id, list_filter(list_transform(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_-]+'), lambda w: regexp_replace(w, '^-+|-+$', '', 'g')),
+   lambda w: length(w) >= 2 AND w NOT IN {STOP_SQL} AND (regexp_matches(w, '[-0-9]') OR length(w) >= 3)) AS kept FROM ev) """
+
+
+@query(TERMS + "SELECT event_id, array_to_string(kept[1:80], ' ') AS terms FROM t0", DOC_SQL)
+def signal_terms(spark, d):
+    return doc_events(spark, d).select("event_id", F.array_join(tx.signal_terms(F.col("text"), 80, False), " ").alias("terms"))
+
+
+@query("SELECT event_id, CAST(contains(lower(text), 'tion') AS BIGINT) + CAST(contains(lower(text), 'license') AS BIGINT) + CAST(regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])3([^\\p{L}\\p{N}_]|$)') AS BIGINT) AS hits FROM ev", DOC_SQL)
+def term_hits(spark, d):
+    return doc_events(spark, d).select("event_id", tx.term_hits(F.col("text"), ["tion", "license", "3"]).alias("hits"))
+
+
+@query("SELECT event_id, CAST(greatest(1, ceil(length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) / 4)) AS BIGINT) AS tokens FROM ev", DOC_SQL)
+def token_estimates(spark, d):
+    return doc_events(spark, d).select("event_id", tx.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query("SELECT event_id, sha256(concat_ws('|', hook_event, session_id, ts, sha256(text))) AS id FROM ev", DOC_SQL)
+def event_ids(spark, d):
+    return doc_events(spark, d).select("event_id", F.sha2(F.concat_ws("|", "hook_event", "session_id", "ts", F.sha2("text", 256)), 256).alias("id"))
+
+
+POST = r", toks AS (SELECT event_id AS doc, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS t FROM ev), post AS (SELECT doc, unnest(t) AS term, unnest(range(len(t))) AS pos FROM toks), dl AS (SELECT doc, len(t) AS dl FROM toks WHERE len(t) > 0) "
+
+
+@query(POST + "SELECT (SELECT count(*) FROM post) AS tokens, (SELECT count(DISTINCT term) FROM post) AS terms, (SELECT count(*) FROM dl) AS docs", DOC_SQL)
+def fts_postings_stats(spark, d):
+    p = fts.postings(doc_events(spark, d))
+    return p.agg(F.count(F.lit(1)).alias("tokens"), F.countDistinct("term").alias("terms"), F.countDistinct("doc").alias("docs"))
+
+
+def _bm25_sql(having: str) -> str:
+    return POST + f""", tf AS (SELECT doc, term, count(*) AS f FROM post WHERE term IN ('the', 'and', 'tion', 'or') GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    n AS (SELECT (SELECT count(*) FROM ev) AS n, (SELECT sum(dl) FROM dl) / (SELECT count(*) FROM ev) AS avgdl),
+    s AS (SELECT doc, -sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score, count(*) AS k
+      FROM tf JOIN df USING (term) JOIN dl USING (doc), n GROUP BY doc {having})
+    SELECT doc, round(score, 6) AS score FROM s"""
+
+
+@query(_bm25_sql("HAVING count(*) = 4"), DOC_SQL)
+def fts_strict(spark, d):
+    e = doc_events(spark, d)
+    return fts.bm25(fts.postings(e), e.count(), fts.query_phrases(QUERY), True).select("doc", F.round("score", 6).alias("score"))
+
+
+@query(_bm25_sql(""), DOC_SQL)
+def fts_relaxed(spark, d):
+    e = doc_events(spark, d)
+    return fts.bm25(fts.postings(e), e.count(), fts.query_phrases(QUERY), False).select("doc", F.round("score", 6).alias("score"))
+
+
+LEAF = ", r AS (SELECT *, (row_number() OVER (PARTITION BY session_id ORDER BY ts, seq) - 1) // 8 AS chunk FROM ev), leaf AS (SELECT session_id, chunk, count(*) AS n, min(ts) AS earliest_at, max(ts) AS latest_at, 'summary:' || session_id || ':d0:' || substr(sha256(session_id || chr(10) || '0' || chr(10) || 'events' || chr(10) || string_agg(event_id, chr(10) ORDER BY ts, event_id)), 1, 24) AS node_id FROM r GROUP BY session_id, chunk) "
+
+
+@query(LEAF + "SELECT node_id, session_id, chunk, n, earliest_at, latest_at FROM leaf", DOC_SQL)
+def summary_leaf_nodes(spark, d):
+    return summaries.leaves(doc_events(spark, d)).select("node_id", "session_id", "chunk", F.size("source_ids").cast("long").alias("n"), "earliest_at", "latest_at")
+
+
+@query(
+    LEAF + """, c AS (SELECT session_id, count(*) AS d0, (count(*) + 3) // 4 AS d1, (count(*) + 15) // 16 AS d2 FROM leaf GROUP BY session_id)
+    SELECT 0 AS depth, CAST(sum(d0) AS BIGINT) AS n FROM c UNION ALL SELECT 1, CAST(sum(d1) AS BIGINT) FROM c WHERE d0 > 1 HAVING count(*) > 0 UNION ALL SELECT 2, CAST(sum(d2) AS BIGINT) FROM c WHERE d1 > 1 HAVING count(*) > 0""",
+    DOC_SQL,
+)
+def nodes_by_depth(spark, d):
+    return summaries.dag(doc_events(spark, d), 2).groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(LEAF + ", e AS (SELECT session_id, chunk, node_id, event_id, ts FROM leaf JOIN r USING (session_id, chunk)) SELECT node_id, event_id AS source_id, CAST(row_number() OVER (PARTITION BY node_id ORDER BY ts, event_id) - 1 AS INTEGER) AS position FROM e", DOC_SQL)
+def summary_edges(spark, d):
+    return summaries.edges(summaries.leaves(doc_events(spark, d))).select("node_id", "source_id", "position")
+
+
+@query()
+def summary_dag(spark, d):
+    return summaries.dag(doc_events(spark, d)).select("node_id", "session_id", "depth", "summary_text", "token_count", F.array_join("topics", ", ").alias("topics"))
+
+
+@query()
+def summary_top_nodes(spark, d):
+    return summaries.top_nodes(summaries.dag(doc_events(spark, d))).select("node_id", "session_id", "depth")
+
+
+@query()
+def rank_nodes(spark, d):
+    return rank.rank_nodes(summaries.dag(doc_events(spark, d)), QUERY)
+
+
+@query()
+def search_sessions(spark, d):
+    e = doc_events(spark, d)
+    return rank.search(e, summaries.dag(e), sessions.rollup(e), QUERY)
+
+
+@query()
+def search_excluding(spark, d):
+    e = doc_events(spark, d)
+    return rank.search(e, summaries.dag(e), sessions.rollup(e), QUERY, exclude=("src1", "src2"))
+
+
+@query()
+def context_plan(spark, d):
+    e = doc_events(spark, d)
+    return context.plan(e, summaries.dag(e), 20_000, 15_000)
+
+
+@query()
+def pack_context(spark, d):
+    e = doc_events(spark, d)
+    return context.pack(e, summaries.dag(e), QUERY)
+
+
+@query()
+def expand_node(spark, d):
+    e = doc_events(spark, d)
+    nodes = summaries.dag(e, 1)
+    top = nodes.where("depth = 1").agg(F.min("node_id")).first()[0]
+    return context.expand(nodes, e, top or "", QUERY)
+
+
+@query()
+def redact_tokens(spark, d):
+    red = tx.redact_tokens(F.col("html"))
+    return read(spark, d, "pages").select("page_id", (red != F.col("html")).alias("changed"), F.sha2(red, 256).alias("sha256"))
+
+
+@query("SELECT doc_id, CASE WHEN strlen(text) <= 64 THEN text ELSE text[1:(SELECT max(i) FROM range(0, 65) t(i) WHERE strlen(text[1:i]) <= 64)] END AS cut FROM documents")
+def truncate_strings(spark, d):
+    return read(spark, d, "documents").select("doc_id", tx.utf8_prefix(F.col("text"), 64).alias("cut"))
+
+
+@query("SELECT 'file:' || substr(sha256(session_id || '|' || '/d/' || event_id || '.txt' || '|' || sha256(text)), 1, 32) AS file_id, session_id, '/d/' || event_id || '.txt' AS path, 'text/plain' AS mime, strlen(text) AS bytes FROM ev WHERE strlen(text) >= 25600", DOC_SQL)
+def file_refs(spark, d):
+    return files.references(doc_events(spark, d))
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(ltrim(html), '^[\\[{]') THEN 'application/json' WHEN lower(url) LIKE '%.html' THEN 'text/html' ELSE 'application/octet-stream' END AS mime FROM pages")
+def mime_types(spark, d):
+    return read(spark, d, "pages").select("page_id", files.mime(F.col("url"), F.col("html")).alias("mime"))
+
+
+@query(
+    """, s AS (SELECT e.event_id, max(CASE WHEN l.quality = 1 THEN 1 ELSE 0 END) AS rel, count(*) AS n FROM ev e JOIN labels l ON 'd' || l.doc_id = e.event_id GROUP BY 1)
+    SELECT rel, count(*) AS n FROM s GROUP BY rel""",
+    DOC_SQL,
+)
+def relevance_counts(spark, d):
+    lab = read(spark, d, "labels").select(F.concat(F.lit("d"), "doc_id").alias("event_id"), (F.col("quality") == 1).cast("int").alias("rel"))
+    per = doc_events(spark, d).join(lab, "event_id").groupBy("event_id").agg(F.max("rel").alias("rel"))
+    return per.groupBy("rel").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """, m AS (SELECT *, last_value(CASE WHEN hook_event = 'PreCompact' THEN 1 WHEN tool_name = 'pack' THEN 0 END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pending FROM ev)
+    SELECT session_id, event_id, CASE WHEN hook_event = 'Stop' THEN 'block' ELSE 'directive' END AS action FROM m WHERE pending = 1 AND hook_event IN ('Stop', 'UserPromptSubmit', 'PostToolUse')""",
+    ACTIVITY_SQL,
+)
+def recovery_state(spark, d):
+    return ingest.recovery_actions_batch(activity_events(spark, d), "PreCompact")
+
+
+@query("SELECT event_id, session_id, seq FROM ev", CONV_SQL)
+def stream_ingest(spark, d):
+    """Events through the stream, a third of them twice, into a table in the shared folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="threadlake-")
+    base = f"{base.rstrip('/')}/stream-{spark.sql('select uuid()').first()[0]}"
+    given = _twice(spark, d)
+    given.repartition(3).write.parquet(f"{base}/in")
+    ingest.ingest(ingest.open_stream(spark, given.schema, f"{base}/in"), f"{base}/table", f"{base}/checkpoint")
+    w = Window.partitionBy("event_id").orderBy("seq")
+    out = spark.read.parquet(f"{base}/table").withColumn("at", F.row_number().over(w)).where("at = 1")
+    return out.select("event_id", "session_id", "seq")
