@@ -29,7 +29,7 @@ def difference(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """
     n, k = parts.shape
     order = np.argsort(-parts, axis=1, kind="stable")
-    sums = [np.take_along_axis(parts, order, axis=1)[i] for i in range(n)]
+    sums = list(np.take_along_axis(parts, order, axis=1))
     heap = [(-int(s[0] - s[-1]), i) for i, s in enumerate(sums)]
     heapq.heapify(heap)
     merges: list[tuple[int, int, np.ndarray]] = []  # two nodes and the order of the new node's bins
