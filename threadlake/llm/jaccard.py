@@ -83,33 +83,64 @@ class _Sets:
 def _prune(threshold: float, tolerance: float):
     least = least_matches(threshold, tolerance)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Spanning pairs of what survives among a bucket's documents (or between two of its blocks).
-
-        Each document is compared with those that are not yet joined to it, so every pair that could
-        join two sets is compared.
-        """
-        pdf = pdf.sort_values(["side", "doc"], ignore_index=True)
+    def alike(sig: np.ndarray, x: np.ndarray | int, live: np.ndarray) -> np.ndarray:
+        """Places in live that survive the comparison with x, STEP values at a time."""
+        left = np.arange(len(live))
+        same = np.zeros(len(live), np.int32)
+        for n, m in least.items():
+            if not len(left):
+                break
+            own = sig[x if np.isscalar(x) else x[left], n - STEP : n]
+            same = same + (sig[live[left], n - STEP : n] == own).sum(axis=1, dtype=np.int32)
+            left, same = left[same >= m], same[same >= m]
+        return left
+
+    def solve(pdf: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
         doc, side = pdf["doc"].to_numpy(), pdf["side"].to_numpy()
+        split = pdf["i"].to_numpy() != pdf["j"].to_numpy()
         sig = np.frombuffer(b"".join(pdf["sig"]), "<u2").reshape(len(pdf), -1)
-        split = int(pdf["i"].iloc[0]) != int(pdf["j"].iloc[0])
-        sets, pairs = _Sets(len(pdf)), []
-        for x in range(len(pdf)):
-            far = sets.of != sets.of[x]
-            far[:x] = False
-            if split:
-                far &= side != side[x]
-            live = np.flatnonzero(far)
-            same = np.zeros(len(live), np.int32)
-            for n, m in least.items():
+        size = np.diff(cuts)
+        two = cuts[:-1][size == 2]  # most buckets: all in one comparison
+        two = two[~split[two] | (side[two] != side[two + 1])]
+        kept = two[alike(sig, two, two + 1)]
+        out_a, out_b = [doc[kept]], [doc[kept + 1]]
+        for lo, hi in zip(cuts[:-1][size > 2].tolist(), cuts[1:][size > 2].tolist(), strict=True):
+            sets = _Sets(hi - lo)
+            for x in range(hi - lo):
+                far = sets.of != sets.of[x]
+                far[:x] = False
+                if split[lo]:
+                    far &= side[lo:hi] != side[lo + x]
+                live = np.flatnonzero(far)
                 if not len(live):
-                    break
-                same = same + (sig[live, n - STEP : n] == sig[x, n - STEP : n]).sum(axis=1, dtype=np.int32)
-                live, same = live[same >= m], same[same >= m]
-            if len(live):
-                pairs += [(doc[x], doc[y]) for y in live]
-                sets.join(x, live)
-        return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
+                    continue
+                live = live[alike(sig, lo + x, lo + live)]
+                if len(live):
+                    out_a.append(np.full(len(live), doc[lo + x]))
+                    out_b.append(doc[lo + live])
+                    sets.join(x, live)
+        return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Spanning pairs of what survives among each bucket's documents (or between two of its blocks).
+
+        Batches are sorted by bucket and blocks; the last bucket of a batch, two blocks at most, waits for
+        the next. Each document is compared with those that are not yet joined to it, so every pair that
+        could join two sets is compared.
+        """
+        held = None
+        for pdf in batches:
+            if held is not None:
+                pdf = pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            keys = pdf[["bucket", "i", "j"]].to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1])
+            held = pdf.iloc[cuts[-1] :]
+            if len(cuts) > 1:
+                yield solve(pdf.iloc[: cuts[-1]], cuts)
+        if held is not None and len(held):
+            yield solve(held, np.array([0, len(held)]))
 
     return run
 
@@ -199,7 +230,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     met = met.join(texts.select(F.col("rep").alias("doc"), "sig"), "doc")
     keys = ["bucket", "i", "j"]
     pairs = _block_pairs(met, "bucket", "n", BUCKET_BLOCK)
-    alike = save(pairs.groupBy(*keys).applyInPandas(_prune(threshold, tolerance), "a long, b long"), "alike")
+    pairs = pairs.repartition(*keys).sortWithinPartitions(*keys, "side", "doc")
+    alike = save(pairs.select(*keys, "side", "doc", "sig").mapInPandas(_prune(threshold, tolerance), "a long, b long"), "alike")
 
     family = components(alike).select(F.col("node").alias("doc"), F.col("root").alias("family"))
     family = family.join(family.groupBy("family").agg(F.count(F.lit(1)).alias("n")), "family")
