@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -13,53 +15,51 @@ from pyspark.sql import functions as F
 
 from .shared import blocks_for, salt, save, text_or_empty
 
-#: Pieces that one packing task places, and encodings of words a worker keeps before it starts anew.
+#: Pieces that one packing task places.
 BLOCK_PIECES = 50_000
-CACHE_WORDS = 600_000
+#: Characters whose classes no Unicode version changes; a text with any other goes to the tokenizer itself.
+_UNUSUAL = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xa1-\u02ff]")
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path_or_json: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_str(path_or_json)
-
+class Encoder:
+    """Ids of whole texts by a tokenizer file, which must be byte-level BPE.
 
-class WordEncoder:
-    """Ids of whole texts by a byte-level tokenizer, put together from cached ids of words.
-
-    The tokenizer's own pre-tokenizer always starts a new piece at a single blank between two other
-    characters, so a text without double blanks is the sequence of its words, each with its blank.
+    The file's vocabulary gives the merge ranks too, so texts of common characters without a special
+    token's string are encoded by ranks, which is several times faster and gives the same ids.
     """
 
     def __init__(self, tokenizer_json: str):
-        self.tokenizer = _tokenizer(tokenizer_json)
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        from tiktoken import Encoding
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        spec = json.loads(tokenizer_json)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        hidden = [b for b in range(256) if b not in visible]
+        byte_of = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
+        assert set(byte_of) == set(pre_tokenizers.ByteLevel.alphabet())
+        vocab = {k: v for k, v in spec["model"]["vocab"].items() if k not in self.special}
+        ranks = {bytes(byte_of[c] for c in k): v for k, v in vocab.items()}
+        # The pre-tokenizer's own pattern, which its file does not spell out.
+        pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+        self.by_rank = Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if "  " in text or text[:1] == " " or text[-1:] == " ":
-            return self._encode([text])[0]
-        first, *words = text.split(" ")
-        known = self.known
-        missing = [w for w in dict.fromkeys(words) if w not in known]
-        if missing:
-            if len(known) >= CACHE_WORDS:
-                known.clear()
-                missing = list(dict.fromkeys(words))
-            known.update(zip(missing, self._encode([" " + w for w in missing]), strict=True))
-        return b"".join([self._encode([first])[0], *map(known.__getitem__, words)])
+        if _UNUSUAL.search(text) or any(s in text for s in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.by_rank.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
-_encoders: dict[str, WordEncoder] = {}
+@lru_cache(maxsize=2)
+def _encoder(tokenizer_json: str) -> Encoder:
+    return Encoder(tokenizer_json)
 
 
 def _pieces(tokenizer_json: str, length: int, end_id: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _encoders.setdefault(tokenizer_json, WordEncoder(tokenizer_json))
+        encoder = _encoder(tokenizer_json)
         end = np.array([end_id], "<u4").tobytes()
         for pdf in batches:
             out = []
