@@ -3,6 +3,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 
 from tests.llm.common import cases, frame, prose
 from threadlake.llm import jaccard
@@ -75,6 +76,14 @@ def test_families_over_several_blocks(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_two_blocks_of_one_family_give_one_pair():
+    sig = np.arange(jaccard.BANDS * jaccard.ROWS, dtype="<u2").tobytes()
+    two = pd.DataFrame({"bucket": 1, "i": 0, "j": 1, "side": [0] * 30 + [1] * 20, "doc": range(50), "sig": sig})
+    run = jaccard._prune(0.8, 1e-6)
+    assert sum(len(p) for p in run(iter([two]))) == 1
+    assert sum(len(p) for p in run(iter([two[:30].assign(j=0)]))) == 29
+
+
 def test_least_matches_follow_the_posterior():
     table = least_matches(0.8, 1e-6, 24, 240)
     grid = np.linspace(0, 1, 20_001)

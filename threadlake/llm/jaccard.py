@@ -95,6 +95,19 @@ def _prune(threshold: float, tolerance: float):
             left, same = left[same >= m], same[same >= m]
         return left
 
+    def joins(sig: np.ndarray, side: np.ndarray, sets: _Sets, across: bool) -> Iterator[tuple[int, np.ndarray]]:
+        """Places that join another set to that of an earlier place, one for each set; within the sides or across."""
+        for x in range(len(side)):
+            far = (sets.of != sets.of[x]) & ((side != side[x]) == across)
+            far[:x] = False
+            live = np.flatnonzero(far)
+            if len(live):
+                live = live[alike(sig, x, live)]
+            if len(live):
+                live = live[np.unique(sets.of[live], return_index=True)[1]]
+                yield x, live
+                sets.join(x, live)
+
     def solve(pdf: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
         doc, side = pdf["doc"].to_numpy(), pdf["side"].to_numpy()
         split = pdf["i"].to_numpy() != pdf["j"].to_numpy()
@@ -106,19 +119,11 @@ def _prune(threshold: float, tolerance: float):
         out_a, out_b = [doc[kept]], [doc[kept + 1]]
         for lo, hi in zip(cuts[:-1][size > 2].tolist(), cuts[1:][size > 2].tolist(), strict=True):
             sets = _Sets(hi - lo)
-            for x in range(hi - lo):
-                far = sets.of != sets.of[x]
-                far[:x] = False
-                if split[lo]:
-                    far &= side[lo:hi] != side[lo + x]
-                live = np.flatnonzero(far)
-                if not len(live):
-                    continue
-                live = live[alike(sig, lo + x, lo + live)]
-                if len(live):
-                    out_a.append(np.full(len(live), doc[lo + x]))
-                    out_b.append(doc[lo + live])
-                    sets.join(x, live)
+            for across in (False, True) if split[lo] else (False,):
+                for x, live in joins(sig[lo:hi], side[lo:hi], sets, across):
+                    if across == split[lo]:
+                        out_a.append(np.full(len(live), doc[lo + x]))
+                        out_b.append(doc[lo + live])
         return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
