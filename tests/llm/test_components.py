@@ -1,6 +1,8 @@
 import random
 
-from threadlake.llm.components import components
+import numpy as np
+
+from threadlake.llm.components import components, forest
 
 
 def test_same_as_union_find(spark):
@@ -21,3 +23,15 @@ def test_same_as_union_find(spark):
     got = components(spark.createDataFrame([*edges, (None, 1), (7, 7)], "a long, b long")).collect()
     assert {(r["node"], r["root"]) for r in got} == {(x, find(x)) for x in root} and len(got) == len(root)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_forest_joins_the_same_nodes():
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 0), (40, 30), (500, 400), (300, 4000)):
+        u, v = rng.integers(0, n, m), rng.integers(0, n, m)
+        thin = forest(u, v)
+        low = {int(x): int(x) for x in np.append(u, v)}
+        for _ in range(n):
+            for a, b in zip(u.tolist(), v.tolist(), strict=True):
+                low[a] = low[b] = min(low[a], low[b])
+        assert {x: y for x, y in low.items() if x != y} == dict(zip(thin["u"].tolist(), thin["v"].tolist(), strict=True))
