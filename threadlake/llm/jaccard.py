@@ -154,7 +154,8 @@ def _verify(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """Exact similarities within a block (or between two): each document's links, and spanning links.
 
-        A row with other = null counts links to documents of different words, and to copies of them.
+        Links between two blocks span what their own links, given by each block alone, leave apart. A row
+        with b = null counts links to documents of different words, and to copies of them.
         """
         pdf = pdf.sort_values(["side", "doc"], ignore_index=True)
         held = [shingles(t) for t in pdf["text"]]
@@ -175,14 +176,19 @@ def _verify(threshold: float):
         union = size[:, None] + size[None, :] - both
         linked = both >= threshold * union - 1e-9
         np.fill_diagonal(linked, False)
-        side = pdf["side"].to_numpy()
-        if int(pdf["i"].iloc[0]) != int(pdf["j"].iloc[0]):
-            linked &= side[:, None] != side[None, :]
-        doc, copies = pdf["doc"].to_numpy(), pdf["copies"].to_numpy()
+        doc, copies, side = pdf["doc"].to_numpy(), pdf["copies"].to_numpy(), pdf["side"].to_numpy()
         sets, pairs = _Sets(len(pdf)), []
+        if int(pdf["i"].iloc[0]) != int(pdf["j"].iloc[0]):
+            across = side[:, None] != side[None, :]
+            for x in range(len(pdf)):
+                own = np.flatnonzero(linked[x] & ~across[x] & (sets.of != sets.of[x]))
+                if len(own):
+                    sets.join(x, own)
+            linked &= across
         for x in range(len(pdf)):
             new = np.flatnonzero(linked[x] & (sets.of != sets.of[x]))
             if len(new):
+                new = new[np.unique(sets.of[new], return_index=True)[1]]
                 pairs += [(doc[x], doc[y]) for y in new]
                 sets.join(x, new)
         counts = pd.DataFrame({"a": doc, "b": pd.array([None] * len(doc), "Int64"), "texts": linked.sum(axis=1), "rows": linked @ copies})
