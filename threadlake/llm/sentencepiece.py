@@ -24,12 +24,18 @@ from .shared import text_or_empty
 SPACE = "▁"
 #: Entries a worker keeps of units' encodings, and of judged pairs, before it starts anew.
 CACHE_UNITS = 600_000
-CACHE_PAIRS = 1_000_000
+CACHE_PAIRS = 600_000
+#: Starts of units, of up to so many characters, whose best path a worker keeps.
+CACHE_STARTS = 600_000
+SHARED_START = 32
 # Fixed values of the model file format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: How much worse than the worst piece an unknown character is (a fixed value of the format).
 UNKNOWN_PENALTY = 10.0
+#: Weight and last piece where no path ends.
+NO_PATH = float("inf")
+NEVER = (NO_PATH, "")
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -95,7 +101,15 @@ class Transducer:
         self.surface = [self._surface(i) for i in range(len(self.texts))]
         self._encoded: dict[str, bytes] = {}
         self._judged: dict[tuple[str, str], bool] = {}
-        self.heads = {t[:i] for t in self.ids for i in range(1, len(t) + 1)}
+        #: Pieces by their characters from the last to the first; "" leads to the piece itself.
+        self.backwards: dict = {}
+        for t in self.ids:
+            node = self.backwards
+            for c in reversed(t):
+                node = node.setdefault(c, {})
+            node[""] = t
+        self._reached: dict[str, tuple[float, str]] = {}
+        self._ends: dict[str, tuple[float, str]] = {}
         self._spines: dict[tuple[str, bool], list[tuple[str, float, float]] | None] = {}
         ranks = {x: i for i, x in enumerate(sorted({self.scores[i] for i in self.ids.values()}, reverse=True))}
         self.rank = {t: ranks[self.scores[i]] for t, i in self.ids.items()}
@@ -169,41 +183,64 @@ class Transducer:
                     return False
         return True
 
+    def _reach(self, unit: str, j: int, states: list[tuple[float, str]]) -> tuple[float, str]:
+        """The best path's weight to place j of a unit, and its last piece, from those of the places before."""
+        found, node, i = [], self.backwards, j
+        while i:
+            node = node.get(unit[i - 1])
+            if node is None:
+                break
+            i -= 1
+            if (piece := node.get("")) is not None:
+                found.append((i, piece))
+        if not found or found[0][0] < j - 1:
+            found.insert(0, (j - 1, unit[j - 1]))
+        if self.kind == BPE:
+            judged = self._judged
+            for i, piece in reversed(found):
+                so_far, before = states[i]
+                if so_far == NO_PATH:
+                    continue
+                ok = judged.get(pair := (before, piece))
+                if ok is None:
+                    ok = judged[pair] = self.apart(before, piece)
+                if ok:  # the one path of finite weight that ends here
+                    return self._ends.setdefault(piece, (0.0, piece))
+            return NEVER
+        best = NEVER
+        for i, piece in reversed(found):
+            weight = states[i][0] - (self.scores[self.ids[piece]] if piece in self.ids else self.worst)
+            if weight < best[0]:
+                best = (weight, piece)
+        return best
+
     def path(self, unit: str) -> list[str]:
-        """The best path through the composition of a unit with pieces and pairs."""
-        n, ids, never = len(unit), self.ids, float("inf")
-        cost = [0.0] + [never] * n
-        last = [""] * (n + 1)
-        bpe, heads, judged = self.kind == BPE, self.heads, self._judged
-        if len(judged) > CACHE_PAIRS:
-            judged.clear()
-        for i in range(n):
-            before, so_far = last[i], cost[i]
-            if so_far == never:
+        """The best path through the composition of a unit with pieces and pairs.
+
+        The path to a place depends only on what is before it, so units share the states of their common
+        starts of up to SHARED_START characters.
+        """
+        known = self._reached
+        if len(known) > CACHE_STARTS:
+            known.clear()
+        if len(self._judged) > CACHE_PAIRS:
+            self._judged.clear()
+        if len(self._ends) > CACHE_PAIRS:
+            self._ends.clear()
+        states = [(0.0, "")]
+        for j in range(1, len(unit) + 1):
+            if j > SHARED_START:
+                states.append(self._reach(unit, j, states))
                 continue
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                piece = unit[i:j]
-                if j > i + 1:
-                    if piece not in heads:
-                        break
-                    if piece not in ids:
-                        continue
-                if bpe:
-                    if cost[j] == never:  # else the one path of finite weight that ends here is known
-                        pair = (before, piece)
-                        ok = judged.get(pair)
-                        if ok is None:
-                            ok = judged[pair] = self.apart(before, piece)
-                        if ok:
-                            cost[j], last[j] = 0.0, piece
-                else:
-                    weight = so_far - (self.scores[ids[piece]] if piece in ids else self.worst)
-                    if weight < cost[j]:
-                        cost[j], last[j] = weight, piece
-        out, j = [], n
+            start = unit[:j]
+            state = known.get(start)
+            if state is None:
+                state = known[start] = self._reach(unit, j, states)
+            states.append(state)
+        out, j = [], len(unit)
         while j:
-            out.append(last[j])
-            j -= len(last[j])
+            out.append(states[j][1])
+            j -= len(states[j][1])
         return out[::-1]
 
     def _unit(self, unit: str) -> bytes:
