@@ -15,19 +15,30 @@ ASSIGN_LEAST = 6
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ["assign", "access", "hex", "entropy_hex", "entropy_mixed"]
-#: A candidate string: a whole run of these characters, long enough, with a letter and a digit.
+#: A candidate string: a whole run of these characters, long enough, with a letter.
 RUN = "[A-Za-z0-9+/_=-]"
-CANDIDATE = rf"(?<!{RUN})(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z]){RUN}{{20,}}+"
-#: Characters of a sliding window, and the bits a character that some window of a class needs.
-WINDOW = 20
-LEAST_BITS = {"entropy_hex": 3.2, "entropy_mixed": 3.9}
+CANDIDATE = rf"(?<!{RUN})(?=[0-9+/_=-]*[A-Za-z]){RUN}{{20,}}+"
+#: Characters of a sliding window, and the fewest that a value needs once words and signs are taken out.
+WINDOW, LEAST_VALUE = 20, 16
 HEX_CLASS = r"^([0-9a-f]+|[0-9A-F]+)$"
-#: Candidates that are no secrets: UUIDs, words and numbers joined by signs, examples, counting and filling.
+#: Classes of values with the sizes of their alphabets; the first that fits counts. All others are mixed.
+CLASSES = [(HEX_CLASS, 16), (r"^([a-z]+|[A-Z]+)$", 26), (r"^[A-Z2-7]+$", 32), (r"^([a-z0-9]+|[A-Z0-9]+)$", 36)]
+MIXED = 62
+#: A class's threshold lies so many standard deviations below the mean of a random window.
+DEVIATIONS = 2.5
+#: Runs of which no part has both letters and digits but perhaps the first: all others of so many bits count whole.
+SLUG = r"^[A-Za-z]*[0-9]{0,4}([-_/+=]+([A-Za-z]+|[0-9]{1,4}))*[-_/+=]*$"
+WHOLE_BITS = 3.9
+# Parts of a run, from sign to sign, that are no secrets. Words of eight letters and more can be spoken.
+_FROM, _TO = "(?<![A-Za-z0-9])", "(?![A-Za-z0-9])"
+_UNSPOKEN = "[bcdfghjklmnpqrstvwxz]{4}|[aeiouy]{4}|j[bcdfghjklmnpqrstvwxz]|q[a-tv-z]|v[bcdfgjkmnpqtvwxz]"
+_WORD = rf"(?!(?=[A-Za-z]{{8}})[A-Za-z]*?(?:{_UNSPOKEN}|{_UNSPOKEN.upper()}))(?:[A-Z]?[a-z]++(?:[A-Z][a-z]{{2,}}+){{0,12}}+|[A-Z]++)"
+_FILLER = "(?i:example|sample|dummy|placeholder|changeme|redacted|x{4,}+)"
+#: Taken out of a run: counting and repeated characters, UUIDs, words, small numbers, fillers.
 ALLOWED = [
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^[A-Za-z]*[0-9]{0,4}([-_/+=]+([A-Za-z]+|[0-9]{1,4}))*[-_/+=]*$",
-    r"(?i)example|sample|dummy|placeholder|changeme|redacted|xxxx",
-    r"(?i)abcdefgh|01234567|12345678|(.)\1{7}",
+    r"(?i)abcdefghijklmnopqrstuvwxyz|abcdefghijklmnop|abcdefgh|0123456789abcdef|0?123456789?0?|01234567|(.)\1{7,}+",
+    rf"{_FROM}[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}{_TO}",
+    rf"^{_WORD}[0-9]{{1,4}}{_TO}|{_FROM}(?:{_WORD}|[0-9]{{1,4}}|{_FILLER}{{1,4}}[0-9]*){_TO}",
 ]
 #: What stands in a text for what redact() takes out.
 MASK = "[REDACTED]"
@@ -80,22 +91,59 @@ def window_bits(text: Column, window: int = WINDOW) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), state, step, lambda a: F.log2(w.cast("double")) - a["least"] / w)
 
 
+def least_bits(alphabet: int, window: int) -> float:
+    """The bits a character that a random window over an alphabet hardly ever falls below.
+
+    The window's entropy is log2 w - sum(c log2 c) / w over the counts c of its characters, whose mean and
+    variance follow from one and two cells of the multinomial distribution.
+    """
+    w, p = window, 1 / alphabet
+    f = [c * math.log2(c) if c else 0.0 for c in range(w + 1)]
+    one = [math.comb(w, c) * p**c * (1 - p) ** (w - c) for c in range(w + 1)]
+    mean = alphabet * sum(q * x for q, x in zip(one, f))
+    square = alphabet * sum(q * x * x for q, x in zip(one, f))
+    for c in range(w + 1):
+        for d in range(w + 1 - c):
+            square += alphabet * (alphabet - 1) * math.comb(w, c) * math.comb(w - c, d) * p ** (c + d) * (1 - 2 * p) ** (w - c - d) * f[c] * f[d]
+    return math.log2(w) - mean / w - DEVIATIONS * math.sqrt(max(square - mean * mean, 0.0)) / w
+
+
+def _needed(value: Column) -> Column:
+    """The bits that a value of at least LEAST_VALUE characters needs, by its class and length."""
+
+    def of(alphabet: int) -> Column:
+        bits = F.array(*[F.lit(least_bits(alphabet, w)) for w in range(LEAST_VALUE, WINDOW + 1)])
+        return F.get(bits, F.least(F.length(value), F.lit(WINDOW)) - LEAST_VALUE)
+
+    out = None
+    for pattern, alphabet in CLASSES:
+        out = F.when(value.rlike(pattern), of(alphabet)) if out is None else out.when(value.rlike(pattern), of(alphabet))
+    return out.otherwise(of(MIXED))
+
+
 def _entropy(text: Column) -> Column:
-    """Candidate strings that are not allowed and reach their class's bits."""
+    """Candidate strings with a value, words and other harmless parts taken out, that reaches its class's bits."""
     found = _find(text, CANDIDATE, KINDS.index("entropy_mixed"))
 
-    def judged(s: Column) -> Column:
+    def parted(s: Column) -> Column:
         string = F.substring(text, s["start"] + 1, s["end"] - s["start"])
-        is_hex = string.rlike(HEX_CLASS)
-        allowed = F.lit(False)
+        value = string
         for pattern in ALLOWED:
-            allowed = allowed | string.rlike(pattern)
-        bits = F.when(is_hex, LEAST_BITS["entropy_hex"]).otherwise(LEAST_BITS["entropy_mixed"])
-        ok = F.when(allowed, F.lit(False)).otherwise(window_bits(string) >= bits)
-        rank = F.when(is_hex, KINDS.index("entropy_hex")).otherwise(KINDS.index("entropy_mixed"))
-        return F.struct(s["start"].alias("start"), F.when(ok, rank).otherwise(-1).alias("rank"), s["end"].alias("end"))
+            value = F.regexp_replace(value, F.lit(pattern), F.lit("-"))
+        value = F.regexp_replace(value, F.lit("[-_/+=]"), F.lit(""))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), string.alias("string"), value.alias("value"))
 
-    return F.filter(F.transform(found, judged), lambda s: s["rank"] >= 0)
+    def judged(s: Column) -> Column:
+        value, string = s["value"], s["string"]
+        long = (F.length(value) >= LEAST_VALUE) & value.rlike("[A-Za-z]")
+        own = F.when(long, window_bits(value) >= _needed(value)).otherwise(F.lit(False))
+        # A run in groups ("AB12-CD3E-...") counts as one value if its parts are not words and numbers alone.
+        grouped = (F.length(value) > 0) & string.rlike("[-_/+=]") & ~string.rlike(SLUG)
+        whole = F.when(grouped, window_bits(string) >= WHOLE_BITS).otherwise(F.lit(False))
+        rank = F.when(value.rlike(HEX_CLASS), KINDS.index("entropy_hex")).otherwise(KINDS.index("entropy_mixed"))
+        return F.struct(s["start"].alias("start"), F.when(own | whole, rank).otherwise(-1).alias("rank"), s["end"].alias("end"))
+
+    return F.filter(F.transform(F.transform(found, parted), judged), lambda s: s["rank"] >= 0)
 
 
 def spans(text: Column) -> Column:
