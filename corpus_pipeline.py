@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over documents, each by one operator of threadlake.llm.
 
 Every stage takes (spark, docs, sf_dir) and reads all that the one before it kept. Null doc_ids and texts
-are rows like any other; what each stage makes of them is in its operator's docstring.
+are rows like any other, and rows that share an id are judged each for itself.
 """
 
 from __future__ import annotations
@@ -20,23 +20,42 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.accepted(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs whose doc_id is not among the dropped ones."""
-    return docs.join(sized(save(dropped, "dropped"), 16), "doc_id", "left_anti")
+def _rows(docs: DataFrame, nulls_first: bool) -> DataFrame:
+    """docs with __row, a number of each row's own in the order of doc_id: the id itself where ids are unique."""
+    n, distinct = docs.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    if n == distinct:
+        return docs.withColumn("__row", F.col("doc_id"))
+    by = F.col("doc_id").asc_nulls_first() if nulls_first else F.col("doc_id").asc_nulls_last()
+    # The text's hash deals out the rows of one id; numbers rise with the partition and the place in it.
+    order = [by, F.xxhash64("text")]
+    return save(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__row", F.monotonically_increasing_id()), "rows")
+
+
+def _as_docs(rows: DataFrame) -> DataFrame:
+    """What an operator judges: the rows' numbers as ids, so that it tells rows of one id apart."""
+    return rows.select(F.col("__row").alias("doc_id"), "text")
+
+
+def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """rows whose number is not among the dropped ones, without the numbers."""
+    dropped = dropped.select(F.col("doc_id").alias("__row"))
+    return rows.join(sized(save(dropped, "dropped"), 16), "__row", "left_anti").drop("__row")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: the one of the largest id."""
+    """One row of each group of equal texts: that of the largest id, a null id being less than all others."""
     small_batches(spark)
-    judged = digest_index.dedup(docs, digest_index.fresh_index(spark))
-    return _without(docs, judged.where("not kept").select("doc_id"))
+    rows = _rows(docs, nulls_first=True)
+    judged = digest_index.dedup(_as_docs(rows), digest_index.fresh_index(spark))
+    return _without(rows, judged.where("not kept")).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the one of the smallest id."""
+    """One row of each class of near duplicates: that of the smallest id, a null id being more than all others."""
     small_batches(spark)
-    judged = jaccard.near_duplicates(docs)
-    return _without(docs, judged.where("not is_kept").select("doc_id"))
+    rows = _rows(docs, nulls_first=False)
+    judged = jaccard.near_duplicates(_as_docs(rows))
+    return _without(rows, judged.where("not is_kept")).select(*docs.columns)
 
 
 def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +72,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_classifier", classify), ("exact_dedup", exact), ("near_duplicates", near), ("secret_scan", scan_secrets), ("packing", pack)]
 
-#: SQL has no compression classifier, tokenizer or MinHash join; tests hold the stages against brute force.
+#: SQL has no compression classifier, tokenizer or MinHash join; tests hold both dedup stages against brute force.
 ORACLE_SQL = None
 
 

@@ -1,0 +1,72 @@
+"""The dedup stages of the pipeline by brute force, with repeated and null ids."""
+
+import random
+from collections import Counter
+
+import corpus_pipeline
+from tests.llm.common import prose
+from threadlake.llm.jaccard import THRESHOLD
+
+SCHEMA = "doc_id long, text string, lang string"
+
+
+def texts_of(df):
+    return Counter((r["doc_id"], r["text"]) for r in df.collect())
+
+
+def rows():
+    rng = random.Random(3)
+    a, b, c, d, e, f = (prose(rng, 120) for _ in range(6))
+    return [
+        (1, a, "x"), (2, a.upper(), "x"), (2, b, "x"),  # the second row of id 2 has no twin
+        (3, c, "x"), (None, c, "x"), (None, c, "x"),
+        (None, d, "x"), (None, d, "y"), (None, e, "x"),
+        (4, f + " tail", "x"), (5, f, "x"), (5, prose(rng, 120), "x"), (None, f + " other end", "x"),
+        (6, e + " more", "x"), (7, b + " more", "x"), (7, b + " more", "x"), (8, None, "x"), (8, "", "x"), (None, "of few words", "x"),
+    ]
+
+
+def exact_by_force(docs):
+    best = {}
+    for i, t, *_ in docs:
+        key, order = (t or "").lower(), (i is not None, i or 0)
+        if key not in best or order > best[key][0]:
+            best[key] = (order, i)
+    return Counter((i, key) for key, (_, i) in best.items())
+
+
+def near_by_force(docs):
+    grams = []
+    for _, t, *_ in docs:
+        w = (t or "").lower().split()
+        grams.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)})
+    group = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if grams[i] and grams[j] and len(grams[i] & grams[j]) / len(grams[i] | grams[j]) >= THRESHOLD:
+                group = [group[j] if g == group[i] else g for g in group]
+    out = []
+    for g in set(group):
+        out.append(min((d for d, h in zip(docs, group) if h == g), key=lambda d: (d[0] is None, d[0] or 0)))
+    return Counter((d[0], d[1]) for d in out)
+
+
+def test_exact_keeps_one_row_of_each_text(spark):
+    got = corpus_pipeline.exact(spark, spark.createDataFrame(rows(), SCHEMA), "")
+    assert got.columns == ["doc_id", "text", "lang"]
+    assert Counter((i, (t or "").lower()) for i, t in texts_of(got).elements()) == exact_by_force(rows())
+
+
+def test_near_keeps_one_row_of_each_class(spark):
+    docs = [tuple(r) for r in corpus_pipeline.exact(spark, spark.createDataFrame(rows(), SCHEMA), "").collect()]
+    got = corpus_pipeline.near(spark, spark.createDataFrame(docs, SCHEMA), "")
+    assert got.columns == ["doc_id", "text", "lang"]
+    assert texts_of(got) == near_by_force(docs)
+
+
+def test_unique_ids(spark):
+    docs = [(i, t, "x") for i, (_, t, _) in enumerate(rows())]
+    one = corpus_pipeline.exact(spark, spark.createDataFrame(docs, SCHEMA), "")
+    assert Counter((i, (t or "").lower()) for i, t in texts_of(one).elements()) == exact_by_force(docs)
+    kept = [tuple(r) for r in one.collect()]
+    assert texts_of(corpus_pipeline.near(spark, one, "")) == near_by_force(kept)
