@@ -311,7 +311,7 @@ def summary_leaf_nodes(spark, d):
     DOC_SQL,
 )
 def nodes_by_depth(spark, d):
-    return summaries.dag(doc_events(spark, d), 2).groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
+    return summaries.dag(doc_events(spark, d)).groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(LEAF + ", e AS (SELECT session_id, chunk, node_id, event_id, ts FROM leaf JOIN r USING (session_id, chunk)) SELECT node_id, event_id AS source_id, CAST(row_number() OVER (PARTITION BY node_id ORDER BY ts, event_id) - 1 AS INTEGER) AS position FROM e", DOC_SQL)
@@ -319,6 +319,12 @@ def summary_edges(spark, d):
     return summaries.edges(summaries.leaves(doc_events(spark, d))).select("node_id", "source_id", "position")
 
 
+@query()
+def summary_dag_edges(spark, d):
+    """Edges of all depths; summary_edges, with its SQL, has those of leaves."""
+    return summaries.edges(summaries.dag(doc_events(spark, d))).select("node_id", "source_id", "position", "source_type")
+
+
 @query()
 def summary_dag(spark, d):
     return summaries.dag(doc_events(spark, d)).select("node_id", "session_id", "depth", "summary_text", "token_count", F.array_join("topics", ", ").alias("topics"))
