@@ -3,7 +3,7 @@ import uuid
 from collections import defaultdict
 
 from tests.llm.common import cases, frame
-from threadlake.llm.digest_index import DigestIndex, dedup, fresh_index
+from threadlake.llm.digest_index import DigestIndex, dedup, digests_of, fresh_index
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -32,6 +32,25 @@ def test_later_batches_meet_the_index(spark):
     assert index.read().count() == 13
 
 
+def test_any_number_of_batches_gives_the_same(spark):
+    want = None
+    for n in (1, 2, 5):
+        index = fresh_index(spark)
+        got = sorted(map(str, dedup(frame(spark), index, n).collect()))
+        assert index.read().count() == index.read().select("digest").distinct().count()
+        assert want is None or got == want
+        want = got
+
+
+def test_a_batch_that_is_added_again_changes_nothing(spark):
+    index = fresh_index(spark)
+    batch = digests_of(frame(spark)).groupBy("digest").agg({"doc_id": "max"}).toDF("digest", "keep_id")
+    index.add(batch, "run")
+    before = sorted(map(str, index.read().collect()))
+    index.add(batch, "run")
+    assert sorted(map(str, index.read().collect())) == before
+
+
 def test_the_index_side_is_not_shuffled(spark):
     index = fresh_index(spark)
     dedup(frame(spark), index).collect()

@@ -17,12 +17,30 @@ ARROW_BYTES = 4 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set."""
+    """A new folder in the session's own part of the cluster's shared folder.
+
+    Only a local session may go without a shared folder: elsewhere executors would write to their own disks.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="threadlake-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/threadlake-{uuid.uuid4().hex}"
+    own = spark.conf.get("threadlake.scratch", None)
+    if not own or not own.startswith(base.rstrip("/")):
+        own = f"{base.rstrip('/')}/threadlake-{uuid.uuid4().hex}"
+        spark.conf.set("threadlake.scratch", own)
+    return f"{own}/{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this session wrote to the shared folder; results not yet written elsewhere go with it."""
+    own = spark.conf.get("threadlake.scratch", None)
+    if own:
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        spark.conf.unset("threadlake.scratch")
 
 
 def save(df: DataFrame, name: str = "t") -> DataFrame:
@@ -39,12 +57,13 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
-def sized(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df with a broadcast hint if its counted rows prove it small, else unchanged.
+def sized(df: DataFrame, row_bytes: int | Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its rows' bytes prove it small, else unchanged.
 
-    df should be a written table: counting reads its footers alone.
+    row_bytes is every row's width, or a column that measures each. df should be a written table.
     """
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    total = df.count() * row_bytes if isinstance(row_bytes, int) else df.agg(F.sum(row_bytes)).first()[0] or 0
+    return F.broadcast(df) if total <= limit else df
 
 
 def text_or_empty(c: str | Column = "text") -> Column:
