@@ -3,7 +3,7 @@ import random
 import re
 
 from tests.llm.common import cases, frame, prose
-from threadlake.llm.substring import remove_repeats
+from threadlake.llm.substring import lengths, remove_repeats, repeated_spans
 
 
 def by_force(rows, window=13):
@@ -40,5 +40,19 @@ def test_many_overlapping_passages(spark):
     parts = [prose(rng, rng.randint(5, 30)) for _ in range(12)]
     rows = [(i, " ".join(rng.choice(parts) for _ in range(rng.randint(1, 6))), *[None] * 11) for i in range(150)]
     rows += [(200 + i, "a b " * rng.randint(5, 20), *[None] * 11) for i in range(10)]
-    for window in (13, 6, 2):
+    for window in (40, 13, 6, 2):
         assert got(frame(spark, rows), window) == by_force([r[:2] for r in rows], window)
+
+
+def test_lengths_double_to_the_window():
+    assert lengths(13) == [7, 13] and lengths(50) == [7, 13, 25, 50] and lengths(5) == [5]
+    for w in range(1, 300):
+        steps = lengths(w)
+        assert steps[-1] == w and steps[0] < 8 and all(a < b <= 2 * a for a, b in zip(steps, steps[1:]))
+
+
+def test_levels_end_when_nothing_repeats(spark):
+    rng = random.Random(1)
+    rows = [(i, prose(rng, 90), *[None] * 11) for i in range(20)]
+    assert repeated_spans(frame(spark, rows), 60).count() == 0
+    assert got(frame(spark, rows), 60) == by_force([r[:2] for r in rows], 60)

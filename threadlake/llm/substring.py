@@ -15,8 +15,11 @@ from .shared import save, sized, text_or_empty
 
 #: Bytes that are hashed in one stretch.
 STRETCH = 1 << 20
+#: The doubling of lengths starts below so many words.
+LEAST_LENGTH = 8
+#: Bits of the second hash that are not compared: 64 + 48 bits are.
+CHECK_SHIFT = 16
 _P = np.uint64(0x9E3779B97F4A7C15)
-_Q = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -26,24 +29,25 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-_BASE = 0x9E6C63D0876A9A47  # odd, so that it has an inverse modulo 2 ** 64
-_LETTER = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: Two families of word hashes, independent of each other: bases, odd so that they have inverses, and letters.
+_BASES = (0x9E6C63D0876A9A47, 0xD1B54A32D192ED03)
+_LETTERS = tuple(np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) for seed in (11, 23))
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse."""
+@lru_cache(maxsize=2)
+def _powers(n: int, family: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of a family's base and of its inverse."""
     out = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+    for base in (_BASES[family], pow(_BASES[family], -1, 1 << 64)):
         p = np.full(n, base, np.uint64)
         p[0] = 1
         out.append(np.multiply.accumulate(p))
     return out[0], out[1]
 
 
-def word_hashes(data: bytes) -> np.ndarray:
+def word_hashes(data: bytes, family: int = 0) -> np.ndarray:
     """64-bit hashes of the words of a UTF-8 text: runs of bytes that are no blank, as bytes.split() gives them.
 
     A word's hash is the difference of two prefix sums of letters times powers, moved to power 0; so a
@@ -56,19 +60,19 @@ def word_hashes(data: bytes) -> np.ndarray:
             end += 1
         a = np.frombuffer(data, np.uint8, end - at, at)
         # Stretches of one size class share their powers.
-        power, inverse = _powers(1 << max(STRETCH - 1, end - at).bit_length())
+        power, inverse = _powers(1 << max(STRETCH - 1, end - at).bit_length(), family)
         blank = np.ones(len(a) + 2, bool)
         blank[1:-1] = _BLANK[a]
         edges = np.flatnonzero(blank[1:] != blank[:-1])
         start, stop = edges[::2], edges[1::2]
         total = np.zeros(len(a) + 1, np.uint64)
-        np.cumsum(_LETTER[a] * power[: len(a)], out=total[1:])
+        np.cumsum(_LETTERS[family][a] * power[: len(a)], out=total[1:])
         parts.append(mix((total[stop] - total[start]) * inverse[start] + (stop - start).astype(np.uint64)))
         at = end
     return np.concatenate(parts) if parts else np.empty(0, np.uint64)
 
 
-def grams(words: np.ndarray, n: int, base: np.uint64 = _P) -> np.ndarray:
+def grams(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all n consecutive word hashes; empty if there are fewer."""
     if len(words) < n:
         return np.empty(0, np.uint64)
@@ -79,80 +83,82 @@ def grams(words: np.ndarray, n: int, base: np.uint64 = _P) -> np.ndarray:
         parts[size] = part
         if 2 * size > n:
             break
-        part = part[:-size] * np.uint64(pow(int(base), size, 1 << 64)) + part[size:]
+        part = part[:-size] * np.uint64(pow(int(_P), size, 1 << 64)) + part[size:]
         size *= 2
     h, done = parts[size][:m], size
     for s in reversed(parts):
         if s < size and n & s:
-            h = h * np.uint64(pow(int(base), s, 1 << 64)) + parts[s][done : done + m]
+            h = h * np.uint64(pow(int(_P), s, 1 << 64)) + parts[s][done : done + m]
             done += s
     return mix(h)
 
 
-def anchors(words: np.ndarray, length: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the windows of `length` that are the least in some window of `window` words."""
+def lengths(window: int) -> list[int]:
+    """The lengths of the levels: each twice the one before it, one less where the window's halves are odd."""
+    out = [window]
+    while out[0] >= LEAST_LENGTH:
+        out.insert(0, -(-out[0] // 2))
+    return out
+
+
+def anchors(words: np.ndarray, length: int, window: int, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the windows of `length` that are the least in some live window of `window` words.
+
+    Two documents that share a full window share its anchor. live has one flag for each full window.
+    """
     h = grams(words, length)
     span = window - length + 1
-    if len(h) < span:
+    m = len(live)
+    if not live.any():
         return np.empty(0, np.int64), h[:0]
-    m = len(h) - span + 1
     least = h[:m].copy()
     for i in range(1, span):
         np.minimum(least, h[i : i + m], out=least)
     is_least = np.zeros(len(h), bool)
     for i in range(span):
-        is_least[i : i + m] |= h[i : i + m] == least
+        is_least[i : i + m] |= live & (h[i : i + m] == least)
     at = np.flatnonzero(is_least)
     return at, h[at]
 
 
-def _first_level(length: int, window: int):
+def _level(length: int, window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for doc, th, text in zip(pdf["doc_id"], pdf["th"], pdf["text"], strict=True):
-                at, h = anchors(word_hashes(text.encode()), length, window)
-                new = np.ones(len(h), bool)
-                new[1:] = h[1:] != h[:-1]  # runs of one word sequence in place count once, from their first place
-                first = np.flatnonzero(new)
-                runs = np.diff(np.append(at[first], at[-1] + 1 if len(at) else 0)) if len(first) else first
-                ends = np.append(first[1:], len(h)) - 1 if len(first) else first
-                out.append((np.full(len(first), doc), np.full(len(first), th), h[first], at[first], at[ends] - at[first] + 1 if len(first) else runs))
-            yield _frame(out)
-
-    return run
-
-
-def _frame(parts: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
-    doc, th, h, at, n = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0) for i in range(5))
-    return pd.DataFrame({"h": h.astype(np.uint64).view(np.int64), "doc": doc.astype(np.int64), "th": th.astype(np.int32), "pos": at.astype(np.int32), "n": n.astype(np.int32)})
-
+        """Each document's windows of `length` that are to be compared, in runs of equal ones.
 
-def _next_level(length: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        The last level gives the full windows themselves, with bits of a second, independent hash of the words.
+        """
+        last = length == window
         for pdf in batches:
             out, checks = [], []
-            for doc, th, text, spans in zip(pdf["doc_id"], pdf["th"], pdf["text"], pdf["spans"], strict=True):
-                w = word_hashes(text.encode())
-                h, check = grams(w, length), grams(w, length, _Q)
-                live = np.zeros(len(h), bool)
-                for s in spans:
-                    live[max(0, s["from_"]) : max(0, s["to_"] - length + 1)] = True
-                at = np.flatnonzero(live)
+            all_spans = pdf["spans"] if "spans" in pdf else [None] * len(pdf)
+            for doc, th, text, spans in zip(pdf["doc_id"], pdf["th"], pdf["text"], all_spans, strict=True):
+                data = text.encode()
+                w = word_hashes(data)
+                live = np.full(max(0, len(w) - window + 1), spans is None)
+                for s in spans if spans is not None else ():
+                    live[max(0, s["from_"]) : max(0, s["to_"] - window + 1)] = True
+                at, h = anchors(w, length, window, live)
                 if not len(at):
                     continue
+                # A run of one word sequence counts once, from its first place; the last level's are without gaps.
                 new = np.ones(len(at), bool)
-                new[1:] = (h[at[1:]] != h[at[:-1]]) | (at[1:] != at[:-1] + 1)
+                new[1:] = (h[1:] != h[:-1]) | (last & (at[1:] != at[:-1] + 1))
                 first = np.flatnonzero(new)
-                runs = np.diff(np.append(first, len(at)))
-                at = at[first]
-                out.append((np.full(len(at), doc), np.full(len(at), th), h[at], at, runs))
-                checks.append((check[at] >> np.uint64(49)).astype(np.int16))
-            yield _frame(out).assign(check=np.concatenate(checks) if checks else np.empty(0, np.int16))
+                end = np.append(first[1:], len(at)) - 1
+                out.append((np.full(len(first), doc), np.full(len(first), th), h[first], at[first], at[end] - at[first] + 1))
+                if last:
+                    checks.append((grams(word_hashes(data, 1), length)[at[first]] >> np.uint64(CHECK_SHIFT)).astype(np.int64))
+            frame = _frame(out)
+            yield frame.assign(check=np.concatenate(checks) if checks else np.empty(0, np.int64)) if last else frame
 
     return run
 
 
+def _frame(parts: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+    doc, th, h, at, n = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0) for i in range(5))
+    return pd.DataFrame({"h": h.astype(np.uint64).view(np.int64), "doc": doc.astype(np.int64), "th": th.astype(np.int32), "pos": at.astype(np.int32), "n": n.astype(np.int32)})
+
+
 def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Sorted (doc, th, from_, to_) with overlapping or touching spans of a document joined."""
     held = None
@@ -186,7 +192,8 @@ def _spans(rows: DataFrame) -> DataFrame:
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
-    s = sized(spans.withColumnsRenamed({"doc": "doc_id"}), 200)
+    """docs with their spans, which are broadcast only if their measured bytes are few."""
+    s = sized(spans.withColumnsRenamed({"doc": "doc_id"}), F.size("spans") * 32 + 96)
     return docs.join(s, ["doc_id", "th"], how)
 
 
@@ -213,26 +220,30 @@ def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
     """(doc, th, spans): the words of each document in windows that a document of a smaller id has too.
 
-    Lengths double until the window's is reached or no candidate survives. The first level is half the
-    window: of each document only the windows of that length that are the least, by hash, of some full
-    window; a full window that two documents share has the same least part in both. Of those, the ones
-    that two documents have are extended to twice their length, judged again, and so give the result.
+    Lengths double, from less than LEAST_LENGTH words, until the window's is reached or no candidate survives.
+    At each length only the windows are compared that are the least, by hash, of some full window which may
+    still be shared: a full window that two documents share has the same least part in both. Those that two
+    documents have are extended to the next length; the last one is the window itself, where the later
+    documents' windows are the result. For 13 words the lengths are 7 and 13. Full windows are equal if 64
+    bits of one hash of their words and 48 of another, independent one are.
     Counting is by aggregation with partial results; joins are by hash and can be split where one
     passage is very frequent. Only hashes and places are shuffled, never texts, unless the spans exceed
     what may be broadcast.
     """
     texts = docs.where("doc_id is not null").select("doc_id", text_or_empty().alias("text")).withColumn("th", F.hash("text"))
-    half = -(-window // 2)
-    level = texts.select("doc_id", "th", "text").mapInPandas(_first_level(half, window), "h long, doc long, th int, pos int, n int")
-    shared = level.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("h")
-    back = window - half
-    found = level.join(shared, "h").select("doc", "th", (F.col("pos") - back).alias("from_"), (F.col("pos") + F.col("n") - 1 + window).alias("to_"))
-    spans = _spans(found)
-    full = _with_spans(texts, spans, "inner").select("doc_id", "th", "text", "spans")
-    full = full.mapInPandas(_next_level(window), "h long, check short, doc long, th int, pos int, n int")
-    low = full.groupBy("h", "check").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("h", "check", "low")
-    later = full.join(low, ["h", "check"]).where("doc > low")
-    return _spans(later.select("doc", "th", F.col("pos").alias("from_"), (F.col("pos") + F.col("n") - 1 + window).alias("to_")))
+    spans = None
+    for length in lengths(window):
+        last = length == window
+        live = texts.select("doc_id", "th", "text") if spans is None else _with_spans(texts, spans, "inner").select("doc_id", "th", "text", "spans")
+        level = live.mapInPandas(_level(length, window), "h long, doc long, th int, pos int, n int" + (", check long" if last else ""))
+        keys = ["h", "check"] if last else ["h"]
+        shared = level.groupBy(*keys).agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
+        met = level.join(shared.select(*keys, "low"), keys).where("doc > low") if last else level.join(shared.select("h"), "h")
+        back = window - length
+        spans = _spans(met.select("doc", "th", (F.col("pos") - back).alias("from_"), (F.col("pos") + F.col("n") - 1 + window).alias("to_")))
+        if spans.isEmpty():
+            break
+    return spans
 
 
 def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
@@ -241,7 +252,7 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     Words are runs of characters other than blanks and tabs to carriage returns. Windows are judged on
     the input. A null text has no words; a row with a null id keeps all its words and removes none; rows
     that share an id do not remove each other's words. An empty table gives an empty result; other
-    columns are ignored. A text of any length is handled whole, by one task.
+    columns are ignored; of equal rows of one id all stay. A text of any length is handled whole, by one task.
 
     Returns doc_id, n_words, n_removed, kept_sha256, kept_text (kept words joined by one space).
     """
