@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.accumulators import AccumulatorParam
 
 from tests.llm.common import cases, frame
 from threadlake.llm import packing
@@ -11,6 +12,14 @@ from threadlake.llm.packing import pack, sum_of_squares
 tokenizers = pytest.importorskip("public_tokenizers")
 
 
+class Largest(AccumulatorParam):
+    def zero(self, value):
+        return 0
+
+    def addInPlace(self, a, b):  # noqa: N802
+        return max(a, b)
+
+
 def by_force(sizes, capacity):
     """Bins by trying every open gap and computing the whole sum of squares."""
     bins, out = [], []
@@ -81,6 +90,32 @@ def test_pieces_and_places(spark):
     assert pack(frame(spark, []), model, 256).count() == 0
 
 
+def test_bins_that_never_close_stay_in_blocks(spark, monkeypatch):
+    """Pieces of over half a sequence leave a bin open each: no level gathers them in one task."""
+    rows = [(i, "a " * (600 + i), *[None] * 11) for i in range(120)] + [(500 + i, "b", *[None] * 11) for i in range(40)]
+    with open(tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        model = f.read()
+    largest = spark.sparkContext.accumulator(0, Largest())
+    plain = packing._pack
+
+    def counting(capacity, key):
+        inner = plain(capacity, key)
+
+        def run(pdf):
+            largest.add(len(pdf))
+            return inner(pdf)
+
+        return run
+
+    monkeypatch.setattr(packing, "_pack", counting)
+    got = pack(frame(spark, rows), model, 1024, block_pieces=20).collect()
+    assert largest.value <= 60
+    fills = defaultdict(int)
+    for r in got:
+        fills[r["sequence_id"]] += r["length"]
+    assert len(got) == 160 and max(fills.values()) <= 1024 and len(fills) <= 125
+
+
 def test_ids_are_the_tokenizers():
     from tokenizers import Tokenizer
 

@@ -6,7 +6,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -17,6 +17,8 @@ from .shared import blocks_for, salt, save, text_or_empty
 
 #: Pieces that one packing task places.
 BLOCK_PIECES = 50_000
+#: Levels at which open bins are packed again, and the share of them that has to close for another one.
+LEVELS, HELP = 32, 0.05
 #: Characters whose classes no Unicode version changes; a text with any other goes to the tokenizer itself.
 _UNUSUAL = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xa1-\u02ff]")
 
@@ -41,13 +43,16 @@ class Encoder:
         assert set(byte_of) == set(pre_tokenizers.ByteLevel.alphabet())
         vocab = {k: v for k, v in spec["model"]["vocab"].items() if k not in self.special}
         ranks = {bytes(byte_of[c] for c in k): v for k, v in vocab.items()}
-        # The pre-tokenizer's own pattern, which its file does not spell out.
+        # The byte-level pre-tokenizer's own pattern, which its file does not spell out; any other goes without.
         pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-        self.by_rank = Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        pre = spec.get("pre_tokenizer") or {}
+        plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        plain = plain and not spec.get("normalizer") and not spec["model"].get("ignore_merges") and not spec["model"].get("dropout")
+        self.by_rank = Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}) if plain else None
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if _UNUSUAL.search(text) or any(s in text for s in self.special):
+        if self.by_rank is None or _UNUSUAL.search(text) or any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return self.by_rank.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
@@ -132,10 +137,11 @@ def pack(docs: DataFrame, tokenizer_json: str, length: int = 2048, end_id: int =
 
     A row's ids, a null text's being none, are followed by end_id; only longer ones are cut, into pieces of
     `length`, the first of which may be shorter. A full piece is a sequence. The others are dealt to blocks
-    of about block_pieces by their row, and each block is packed by sums of squares, largest first; then the
-    bins that stayed open in all blocks are packed once more, as wholes, in blocks of the same size, until
-    one block holds them. Rows with null or repeated doc_id are rows like any other. An empty table gives
-    an empty result; other columns are ignored.
+    of about block_pieces by their row, and each block is packed by sums of squares, largest first. The bins
+    that stayed open are then dealt anew to such blocks and packed as wholes, level by level, until one block
+    holds them all or a level closes fewer than HELP of them; no task ever holds more than a block. Rows with
+    null or repeated doc_id are rows like any other. An empty table gives an empty result; other columns are
+    ignored; a text of any length is encoded whole, by one task.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
@@ -143,31 +149,30 @@ def pack(docs: DataFrame, tokenizer_json: str, length: int = 2048, end_id: int =
     rows = save(pieces_of(docs, tokenizer_json, length, end_id).withColumn("row", F.monotonically_increasing_id()), "pieces")
     full = rows.where(F.col("length") == length).withColumn("sequence_id", F.col("row") * 2 + 1).withColumn("offset", F.lit(0).cast("long"))
     part = rows.where(F.col("length") < length)
-    n = part.count()
-    blocks = blocks_for(n, block_pieces)
-    items = part.select(salt(F.col("row"), blocks).cast("long").alias("block"), "row", F.col("length").alias("size"))
-    schema = "block long, row long, size long, bin long, offset long, fill long"
-    packed = save(items.groupBy("block").applyInPandas(_pack(length, ["row"]), schema), "packed")
-    bin_id = F.col("bin") * blocks + F.col("block")
-    placed = packed.select("row", bin_id.alias("bin"), "offset", "fill")
-    while blocks > 1:
-        # What is open after a level is far less than the level: a few bins for each block.
-        open_ = placed.where(F.col("fill") < length).groupBy("bin").agg(F.max("fill").alias("size")).withColumnRenamed("bin", "row")
-        fewer = -(-blocks // 64)
-        again = open_.select(F.pmod("row", F.lit(blocks)).alias("from_"), "row", "size").select(F.floor(F.col("from_") / 64).alias("block"), "row", "size")
-        again = save(again.groupBy("block").applyInPandas(_pack(length, ["row"]), schema), "again")
-        base = F.lit(1 << 40) * (1 + len(bin(blocks)))
-        moved = again.select(F.col("row").alias("bin"), (base + F.col("bin") * fewer + F.col("block")).alias("to_"), F.col("offset").alias("more"), F.col("fill").alias("now"))
-        placed = placed.join(moved, "bin", "left").select(
-            "row",
-            F.coalesce("to_", "bin").alias("bin"),
-            (F.col("offset") + F.coalesce("more", F.lit(0))).alias("offset"),
-            F.coalesce("now", "fill").alias("fill"),
-        )
-        if fewer == 1:
+    items, n = part.select("row", F.col("length").alias("size")), part.count()
+    open_, done = None, []
+    for level in range(LEVELS):
+        blocks = blocks_for(n, block_pieces)
+        dealt = items.withColumn("block", salt(F.struct(F.lit(level), "row"), blocks).cast("long"))
+        packed = dealt.groupBy("block").applyInPandas(_pack(length, ["row"]), "block long, row long, size long, bin long, offset long, fill long")
+        bin_id = (F.col("bin") * blocks + F.col("block")) * LEVELS + level
+        packed = save(packed.select("row", bin_id.alias("bin"), "offset", "fill"), "packed")
+        if open_ is None:
+            placed = packed
+        else:
+            moved = packed.select(F.col("row").alias("bin"), F.col("bin").alias("to_"), F.col("offset").alias("more"), F.col("fill").alias("now"))
+            placed = open_.join(moved, "bin").select("row", F.col("to_").alias("bin"), (F.col("offset") + F.col("more")).alias("offset"), F.col("now").alias("fill"))
+            placed = save(placed, "placed")
+        bins = save(packed.where(F.col("fill") < length).groupBy(F.col("bin").alias("row")).agg(F.max("fill").alias("size")), "open")
+        left = bins.count()
+        if blocks == 1 or left > (1 - HELP) * n:
+            done.append(placed)
             break
-        blocks = fewer
-        placed = save(placed, "placed")
+        done.append(placed.where(F.col("fill") == length))
+        open_, items, n = placed.where(F.col("fill") < length), bins, left
+    else:
+        done.append(open_)
+    placed = reduce(DataFrame.unionByName, done)
     part = part.join(placed.select("row", (F.col("bin") * 2).alias("sequence_id"), "offset"), "row")
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     return full.select(*names).unionByName(part.select(*names))
