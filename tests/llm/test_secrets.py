@@ -1,11 +1,17 @@
 import hashlib
 import math
+import random
 import re
+import string
+import time
+from collections import Counter
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tests.llm.common import cases, frame
+from threadlake.llm import secrets
 from threadlake.llm.secrets import MASK, redact, scan, window_bits
 
 KINDS = {
@@ -79,5 +85,56 @@ def test_redaction_keeps_what_is_no_secret(spark):
             assert got[doc_id]["n_chars"] == len(got[doc_id]["text"])
 
 
+def test_many_hits_in_one_text(spark):
+    text = "".join(f"password=value{i:06d} é " for i in range(25_000))
+    df = frame(spark, [(1, text, *[None] * 11)])
+    scan(frame(spark, [])).count()
+    began = time.time()
+    r = scan(df).first()
+    assert r["n_assign"] == 25_000 and r["base_sha256"] == hashlib.sha256(",".join(by_force(text)).encode()).hexdigest()
+    assert redact(df).first()["text"] == f"{MASK} é " * 25_000
+    assert time.time() - began < 20
+
+
+def entropy_by_force(text):
+    """The entropy spans by plain Python: whole runs, what is allowed taken out, every window counted anew."""
+    out = []
+    for m in regex.finditer(secrets.CANDIDATE, text):
+        run = value = m.group()
+        for p in secrets.ALLOWED:
+            value = regex.sub(p, "-", value)
+        value = re.sub("[-_/+=]", "", value)
+
+        def bits(s):
+            w = min(secrets.WINDOW, len(s))
+            return max(math.log2(w) - sum(c * math.log2(c) for c in Counter(s[i : i + w]).values()) / w for i in range(len(s) - w + 1))
+
+        alphabet = next((n for p, n in secrets.CLASSES if re.search(p, value)), secrets.MIXED)
+        hit = len(value) >= secrets.LEAST_VALUE and re.search("[A-Za-z]", value) and bits(value) >= secrets.least_bits(alphabet, min(len(value), secrets.WINDOW))
+        grouped = value and re.search("[-_/+=]", run) and not re.search(secrets.SLUG, run)
+        if hit or (grouped and bits(run) >= secrets.WHOLE_BITS):
+            out.append(f"{'entropy_hex' if re.search(secrets.HEX_CLASS, value) else 'entropy_mixed'}:{m.start()}:{m.end()}")
+    return out
+
+
+def test_entropy_spans_are_those_of_plain_python(spark):
+    rng = random.Random(4)
+    alphabets = [string.ascii_lowercase, string.ascii_letters + string.digits, "0123456789abcdef", string.ascii_uppercase + "234567", string.ascii_lowercase + string.digits + "-_"]
+    texts = [" ".join("".join(rng.choice(a) for _ in range(rng.randint(12, 60))) for a in alphabets) + " plain words and-a-slug-of-words " for _ in range(60)]
+    texts += EXTRA + [c[1] or "" for c in cases()]
+    got = {r["doc_id"]: r["spans"] for r in scan(frame(spark, [(i, t, *[None] * 11) for i, t in enumerate(texts)])).collect()}
+    found = 0
+    for i, t in enumerate(texts):
+        want = entropy_by_force(t)
+        found += len(want)
+        assert [s for s in got[i].split(",") if s.startswith("entropy")] == want, t
+    assert found > 100
+
+
+def test_a_clashing_column_stays(spark):
+    df = spark.createDataFrame([("token=abcdefgh", 5)], "text string, __secret_spans long")
+    assert redact(df).first().asDict() == {"text": MASK, "__secret_spans": 5}
+
+
 def test_empty(spark):
     assert scan(frame(spark, [])).count() == 0
