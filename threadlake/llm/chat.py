@@ -13,7 +13,8 @@ from pyspark.sql.window import Window
 
 from .shared import save
 
-ROLES = ["system", "user", "assistant"]
+#: Speakers; all that are none of the first three count as tools.
+ROLES = ["system", "user", "assistant", "tool"]
 #: States: each role's first line of a turn, and its further lines.
 STATES = [(r, p) for r in ROLES for p in ("first", "further")]
 #: What a line's marker may say, in this order; 0 is none.
@@ -21,9 +22,10 @@ MARKERS = {
     "system": r"^\s*[\[#*(<|]*\s*(system|instructions?)\s*[\])*>|]*\s*[:>\]]",
     "user": r"^\s*[\[#*(<|]*\s*(user|human|me|question|q)\s*[\])*>|]*\s*[:>\]]",
     "assistant": r"^\s*[\[#*(<|]*\s*(assistant|ai|bot|answer|a)\s*[\])*>|]*\s*[:>\]]",
+    "tool": r"^\s*[\[#*(<|]*\s*(tool|function|observation|result)\s*[\])*>|]*\s*[:>\]]",
 }
 #: Values of the features: marker, after a blank line or at the start, length, ends in a question mark.
-SIZES = (4, 3, 4, 2)
+SIZES = (5, 3, 4, 2)
 #: Lines, or groups of lines, that one task of a level takes in turn.
 SEGMENT = 512
 
@@ -40,6 +42,36 @@ def features(text: Column, before: Column) -> Column:
     return F.array(marker, gap, size, F.rtrim(text).endswith("?").cast("int"))
 
 
+def with_before(rows: DataFrame, *names: str) -> DataFrame:
+    """rows (conv_id, line_no from 0 without gaps, ...) with before_<name> of the line before, null at the start.
+
+    Conversations are cut in segments of SEGMENT lines; a segment's last line goes to the next one too, so
+    that a hot conversation is many groups.
+    """
+    own = F.floor(F.col("line_no") / SEGMENT)
+    ends = F.col("line_no") % SEGMENT == SEGMENT - 1
+    rows = rows.withColumn("__segment", F.explode(F.when(ends, F.array(own, own + 1)).otherwise(F.array(own))))
+    order = Window.partitionBy("conv_id", "__segment").orderBy("line_no")
+    rows = rows.select("*", *[F.lag(c).over(order).alias(f"before_{c}") for c in names])
+    return rows.where(F.col("__segment") == own).drop("__segment")
+
+
+def with_running(rows: DataFrame, flag: str, name: str) -> DataFrame:
+    """rows with the number of flagged lines up to each; segments are counted first, as in with_before."""
+    rows = rows.withColumn("__segment", F.floor(F.col("line_no") / SEGMENT))
+    counts = rows.groupBy("conv_id", "__segment").agg(F.count_if(flag).alias("__n"))
+    ahead = Window.partitionBy("conv_id").orderBy("__segment").rowsBetween(Window.unboundedPreceding, -1)
+    start = counts.select("conv_id", "__segment", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__start"))
+    order = Window.partitionBy("conv_id", "__segment").orderBy("line_no")
+    rows = rows.withColumn(name, F.sum(F.col(flag).cast("long")).over(order)).join(start, ["conv_id", "__segment"])
+    return rows.withColumn(name, F.col(name) + F.col("__start")).drop("__segment", "__start")
+
+
+def held_out(conv_id: Column) -> Column:
+    """Whether a conversation is one of the quarter that the model never learns from."""
+    return F.pmod(F.xxhash64(F.lit("held out"), conv_id), F.lit(4)) == 2
+
+
 @dataclass
 class Hmm:
     """Log probabilities: first state, next state, and each feature's value in each state."""
@@ -58,15 +90,13 @@ class Hmm:
 
 
 def fit(lines: DataFrame) -> Hmm:
-    """Count an Hmm from labelled lines (conv_id, line_no, line, state); every count starts at 1.
+    """Count an Hmm from labelled lines (conv_id, line_no from 0 without gaps, line, state); counts start at 1.
 
     Rows with a null state or line are passed over. Counts are sums over all rows; what reaches the driver
     is one row for each state and feature value.
     """
-    order = Window.partitionBy("conv_id").orderBy("line_no")
-    seen = lines.where("state is not null and line is not null").select(
-        "state", F.lag("state").over(order).alias("past"), features(F.col("line"), F.lag("line").over(order)).alias("f")
-    )
+    seen = with_before(lines.select("conv_id", "line_no", "line", "state"), "state", "line").where("state is not null and line is not null")
+    seen = seen.select("state", F.col("before_state").alias("past"), features(F.col("line"), F.col("before_line")).alias("f"))
     s = len(STATES)
     start, step, emit = np.ones(s), np.ones((s, s)), [np.ones((s, k)) for k in SIZES]
     for r in seen.groupBy("past", "state").count().collect():
@@ -194,51 +224,55 @@ def transcripts(turns: DataFrame) -> DataFrame:
     """Raw transcript lines of turns (conv_id, turn, role, text), with their true states.
 
     A conversation writes its speakers in one of four styles. A third of all turns but the first, chosen
-    by hash, have lost their marker and start after a blank line only. Turns whose conv_id or turn is null,
-    or whose role is not one of ROLES, are left out; a null text is an empty line; of turns that share a
-    number, all stay, in the order of role and text.
+    by hash, have lost their marker and start after a blank line only. Turns whose conv_id or turn is null
+    are left out; a role that is null or not one of ROLES is written as a tool's; a null text is an empty
+    line; of turns that share a number, all stay, in the order of role and text.
     """
     style = F.pmod(F.xxhash64(F.lit("style"), "conv_id"), F.lit(4))
-    said = {"system": ("System", "Instructions"), "user": ("User", "Human"), "assistant": ("Assistant", "AI")}
+    said = {"system": ("System", "Instructions"), "user": ("User", "Human"), "assistant": ("Assistant", "AI"), "tool": ("Tool", "Function")}
     role = F.col("role")
-    name = lambda i: F.when(role == "system", said["system"][i]).when(role == "user", said["user"][i]).otherwise(said["assistant"][i])
+
+    def name(i: int) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for r in ROLES for x in (r, said[r][i])]), role)
+
     marker = F.when(style == 0, F.concat(name(0), F.lit(": "))).when(style == 1, F.concat(F.lit("### "), name(1), F.lit(": "))).when(style == 2, F.concat(F.lit("["), F.lower(name(0)), F.lit("] "))).otherwise(F.concat(F.lit("<|"), F.lower(name(1)), F.lit("|>: ")))
     lost = (F.col("turn") > 0) & (F.pmod(F.xxhash64(F.lit("lost"), "conv_id", "turn"), F.lit(3)) == 0)
-    rows = turns.where("conv_id is not null and turn is not null").where(role.isin(*ROLES))
+    rows = turns.where("conv_id is not null and turn is not null").withColumn("role", F.when(role.isin(*ROLES), role).otherwise("tool"))
     rows = rows.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), F.when(lost, F.lit("")).otherwise(marker).alias("marker"))
     parts = F.split(F.concat(F.when(F.col("turn") > 0, F.lit("\n")).otherwise(F.lit("")), "marker", "text"), "\n")
     rows = rows.select("conv_id", "turn", "role", "text", F.posexplode(parts).alias("k", "line"))
-    rows = numbered(rows, "conv_id", "turn", "role", "text", "k")
-    which = F.element_at(F.create_map(*[x for i, r in enumerate(ROLES) for x in (F.lit(r), F.lit(2 * i))]), F.col("role"))
+    rows = with_before(numbered(rows, "conv_id", "turn", "role", "text", "k").drop("text"), "role")
+    state = lambda r: 2 * (F.array_position(F.array(*[F.lit(x) for x in ROLES]), r) - 1)
     # The blank line between two turns belongs to the turn before it, as a further line.
     blank = (F.col("turn") > 0) & (F.col("k") == 0)
     first = F.col("k") == F.when(F.col("turn") > 0, 1).otherwise(0)
-    order = Window.partitionBy("conv_id").orderBy("line_no")
-    before = F.coalesce(F.lag("role").over(order), F.col("role"))
-    rows = rows.withColumn("before", before)
-    state = F.when(blank, F.element_at(F.create_map(*[x for i, r in enumerate(ROLES) for x in (F.lit(r), F.lit(2 * i + 1))]), F.col("before"))).otherwise(which + F.when(first, 0).otherwise(1))
-    return rows.select("conv_id", "line_no", "line", state.cast("int").alias("state"))
+    own = state(role) + F.when(first, 0).otherwise(1)
+    return rows.select("conv_id", "line_no", "line", F.when(blank, state(F.coalesce("before_role", "role")) + 1).otherwise(own).cast("int").alias("state"))
+
+
+def escaped(text: Column) -> Column:
+    """A text in which no marker can begin: a backslash more between < and |, however many stand there."""
+    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|")
 
 
 def parse(lines: DataFrame, hmm: Hmm) -> DataFrame:
     """Canonical turns of transcript lines (conv_id, line_no, line).
 
-    Returns conv_id, turn (from 0), role, text (without marker and outer blank lines), n_lines and
-    rendered. Rows with a null conv_id or line_no are left out, a null line is an empty one, and repeated
-    line numbers all stay, in the order of their text. An empty table gives an empty result; other columns
-    are ignored. A conversation of any length is many tasks; one turn's text is put together in one place.
+    Returns conv_id, turn (from 0), role, text (without marker and outer blank lines), n_lines, rendered,
+    whose text is escaped so that it holds no marker of its own, and held_out (whether fit() should not have
+    seen the conversation). Rows with a null conv_id or line_no are left out, a null line is an empty one, and
+    repeated line numbers all stay, in the order of their text. An empty table gives an empty result; other
+    columns are ignored. A conversation of any length is many tasks; one turn's text is put together in one place.
     """
     rows = lines.where("conv_id is not null and line_no is not null").select("conv_id", F.col("line_no").alias("at"), F.coalesce("line", F.lit("")).alias("line"))
-    rows = numbered(rows, "conv_id", "at", "line")
-    order = Window.partitionBy("conv_id").orderBy("line_no")
-    rows = save(rows.select("conv_id", "line_no", "line", features(F.col("line"), F.lag("line").over(order)).alias("f")), "lines")
+    rows = with_before(numbered(rows, "conv_id", "at", "line"), "line")
+    rows = save(rows.select("conv_id", "line_no", "line", features(F.col("line"), F.col("before_line")).alias("f")), "lines")
     states = viterbi(rows, hmm)
     said = rows.select("conv_id", "line_no", "line").join(states, ["conv_id", "line_no"])
     role = F.element_at(F.array(*[F.lit(r) for r in ROLES]), F.floor(F.col("state") / 2).cast("int") + 1)
-    starts = (F.col("state") % 2 == 0) | (F.col("line_no") == 0)
-    said = said.withColumn("role", role)
-    starts = starts | (F.col("role") != F.lag("role").over(order))
-    said = said.withColumn("turn", F.sum(starts.cast("int")).over(order) - 1)
+    said = with_before(said.withColumn("role", role), "role")
+    starts = (F.col("state") % 2 == 0) | (F.col("line_no") == 0) | (F.col("role") != F.col("before_role"))
+    said = with_running(save(said.withColumn("starts", starts), "said"), "starts", "turn").withColumn("turn", F.col("turn") - 1)
     marked = "|".join(f"({m})" for m in MARKERS.values())
     line = F.when(F.col("state") % 2 == 0, F.regexp_replace("line", f"(?i)({marked})\\s?", "")).otherwise(F.col("line"))
     turns = said.groupBy("conv_id", "turn").agg(
@@ -247,4 +281,5 @@ def parse(lines: DataFrame, hmm: Hmm) -> DataFrame:
     text = F.array_join(F.transform("lines", lambda x: x["line"]), "\n")
     text = F.regexp_replace(text, r"^\n+|\n+$", "")
     turns = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", text.alias("text"), F.size("lines").cast("long").alias("n_lines"))
-    return turns.withColumn("rendered", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("<|end|>\n")))
+    rendered = F.concat(F.lit("<|"), "role", F.lit("|>\n"), escaped(F.col("text")), F.lit("<|end|>\n"))
+    return turns.withColumn("rendered", rendered).withColumn("held_out", held_out(F.col("conv_id")))

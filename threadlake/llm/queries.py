@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import ann, chat, digest_index, jaccard, packing, quality, secrets, sentencepiece, sharding, substring
 from .shared import small_batches
@@ -48,7 +49,7 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     lines = chat.save(chat.transcripts(table(spark, sf_dir, "conversations")), "transcripts")
-    return chat.parse(lines, chat.fit(lines))
+    return chat.parse(lines, chat.fit(lines.where(~chat.held_out(F.col("conv_id")))))
 
 
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +76,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return digest_index.dedup(table(spark, sf_dir, "documents"), digest_index.fresh_index(spark))
+    docs = table(spark, sf_dir, "documents")
+    return digest_index.dedup(docs, digest_index.fresh_index(spark, docs.count()))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
