@@ -69,6 +69,12 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc": pdf["doc"], "digest": pdf["digest"], "sig": out})
 
 
+def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts as their shingles, once each, however many blocks they go to."""
+    for pdf in batches:
+        yield pdf.drop(columns="text").assign(grams=[shingles(t).tobytes() for t in pdf["text"]])
+
+
 class _Sets:
     """Union-find over places 0 to n - 1."""
 
@@ -158,7 +164,7 @@ def _verify(threshold: float):
         with b = null counts links to documents of different words, and to copies of them.
         """
         pdf = pdf.sort_values(["side", "doc"], ignore_index=True)
-        held = [shingles(t) for t in pdf["text"]]
+        held = [np.frombuffer(g, np.uint64) for g in pdf["grams"]]
         size = np.array([len(h) for h in held], np.int64)
         owner = np.repeat(np.arange(len(held)), size)
         _, column, times = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
@@ -250,7 +256,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     # One row of each text: rows of a shared id may differ in text, so the digest decides.
     held = rows.join(sized(family, 64), ["doc", "digest"]).dropDuplicates(["doc", "digest"])
     keys = ["family", "i", "j"]
-    blocks = _block_pairs(held.select("family", "n", "doc", "copies", "text"), "family", "n", VERIFY_BLOCK)
+    held = held.select("family", "n", "doc", "copies", "text").mapInPandas(_hashed, "family long, n long, doc long, copies long, grams binary")
+    blocks = _block_pairs(held, "family", "n", VERIFY_BLOCK)
     checked = save(blocks.groupBy(*keys).applyInPandas(_verify(threshold), "a long, b long, texts long, rows long"), "checked")
     root = components(checked.where("b is not null").select("a", "b"))
     links = checked.where("b is null").groupBy("a").agg(F.sum("texts").alias("texts"), F.sum("rows").alias("rows"))
