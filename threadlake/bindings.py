@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadlake.functions.payload import OWN_TOOLS
+from threadlake.operators import normalize
+
 EVENT_COLUMNS = ["event_id", "session_id", "ts", "seq", "hook_event", "cwd", "repo_root", "parent_session_id", "tool_name", "turn_id", "tool_use_id", "text", "tokens"]
-#: Hooks whose text says something (fixed values).
-SIGNAL_HOOKS = ["UserPromptSubmit", "Note", "Stop", "PreCompact", "PostCompact"]
 _ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 
@@ -73,6 +74,55 @@ def doc_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rich_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as events with JSON payloads, as hooks give them, of all that filters and fields tell apart.
+
+    Some prompts are heartbeats, requests for suggestions or delegations, some answers only suggestions or
+    given by a stop hook; payloads name parents, agents, models, tools and token counters in all their places.
+    """
+    c, t, role = F.col("conv_id"), F.col("turn"), F.col("role")
+    user, answer = role == "user", role == "assistant"
+    said = (
+        F.when(user & (c % 7 == 5) & (t <= 1), "# Overview generate 0 to 3 hyperpersonalized suggestions for what this user can do with tools")
+        .when(user & (c % 11 == 0), F.concat(F.lit("<heartbeat> "), "text"))
+        .when(user & (c % 17 == 4) & (t <= 1), F.concat(F.lit("<host_delegation><source_thread_id> conv-"), F.floor(c / 2), F.lit(" </source_thread_id> "), "text"))
+        .when(answer & (c % 7 == 3), '{"suggestions": ["a"]}').otherwise(F.col("text"))
+    )
+    n, conv = F.length("text").cast("long"), lambda k: F.concat(F.lit("conv-"), F.floor(c / k))
+    has = lambda cond, x: F.when(cond, x)
+    usage = F.struct(n.alias("input_token_count"), t.alias("cached_input_token_count"), (n * 2).alias("output_token_count"), (t - 2).alias("reasoning_output_token_count"), has(c % 2 == 0, (n * 3).cast("double")).alias("total_token_count"))
+    meta = F.struct(has((c >= 8) & (c % 3 == 1), conv(4)).alias("parent_thread_id"), F.lit("helper").alias("agent_role"), F.struct(F.struct(F.struct(has((c >= 8) & (c % 3 == 2), conv(4)).alias("parent_thread_id")).alias("thread_spawn")).alias("subagent")).alias("source"))
+    tool = has(answer, F.when(c % 19 == 0, OWN_TOOLS + "search").otherwise(F.concat(F.lit("tool"), t % 4)))
+    payload = F.to_json(
+        F.struct(
+            has(user & (c % 2 == 0), said).alias("prompt"), has(user & (c % 2 == 1), said).alias("message"), has(answer, said).alias("last_assistant_message"), has(~user & ~answer, said).alias("note"),
+            has(answer & (c % 13 == 0), F.lit(True)).alias("stop_hook_active"), has((c >= 8) & (c % 3 == 0), conv(4)).alias("parent_session_id"), meta.alias("metadata"), usage.alias("usage"),
+            F.concat(F.lit("agent-"), c % 5).alias("agentId"), F.concat(F.lit("m"), t % 3).alias("model"), F.concat(F.lit(" "), t, F.lit(" ")).alias("turn_id"), t.alias("tool_use_id"), tool.alias("toolName"),
+        )
+    )
+    rows = conv_events(spark, sf_dir).select("event_id", "session_id", "ts", "seq", "hook_event", "cwd", "repo_root")
+    made = read(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), c, F.lit("-"), "turn").alias("event_id"), payload.alias("payload"), tool.alias("tool_name"), F.lit(None).cast("string").alias("git_branch"))
+    return normalize.read_payload(rows.join(made, "event_id"))
+
+
+#: rich_events in DuckDB's SQL, without a payload: what its fields are is said directly.
+RICH_SQL = r"""rv AS (
+  SELECT *, CASE WHEN role = 'user' AND conv_id % 7 = 5 AND turn <= 1 THEN 'asked' WHEN role = 'user' AND conv_id % 11 = 0 THEN 'heartbeat'
+                 WHEN role = 'user' AND conv_id % 17 = 4 AND turn <= 1 THEN 'delegated' WHEN role = 'assistant' AND conv_id % 7 = 3 THEN 'answered' ELSE 'plain' END AS form FROM conversations),
+ev AS (
+  SELECT 'c' || conv_id || '-' || turn AS event_id, 'conv-' || conv_id AS session_id,
+         strftime(TIMESTAMP '2026-01-01' + to_hours(conv_id) + to_minutes(turn), '%Y-%m-%dT%H:%M:%S.%gZ') AS ts, conv_id * 100 + turn AS seq,
+         CASE role WHEN 'user' THEN 'UserPromptSubmit' WHEN 'assistant' THEN 'Stop' ELSE 'Note' END AS hook_event, '/w/' || (conv_id % 7) AS cwd,
+         CASE WHEN conv_id % 3 = 0 THEN '/r/' || (conv_id % 5) END AS repo_root,
+         regexp_replace(CASE form WHEN 'asked' THEN '# Overview generate 0 to 3 hyperpersonalized suggestions for what this user can do with tools' WHEN 'heartbeat' THEN '<heartbeat> ' || text
+           WHEN 'delegated' THEN '<host_delegation><source_thread_id> conv-' || (conv_id // 2) || ' </source_thread_id> ' || text WHEN 'answered' THEN '{"suggestions": ["a"]}' ELSE text END, '^\s+|\s+$', '', 'g') AS text,
+         CASE WHEN conv_id >= 8 THEN 'conv-' || (conv_id // 4) WHEN form = 'delegated' THEN 'conv-' || (conv_id // 2) END AS parent_session_id,
+         length(text) AS total_input_tokens, turn AS cached_input_tokens, length(text) * 2 AS output_tokens, CASE WHEN turn >= 2 THEN turn - 2 END AS reasoning_output_tokens,
+         CASE WHEN conv_id % 2 = 0 THEN length(text) * 3 END AS total_tokens, 'agent-' || (conv_id % 5) AS agent_id, 'helper' AS agent_role, 'm' || (turn % 3) AS model, CAST(turn AS VARCHAR) AS turn_id,
+         CASE WHEN role = 'assistant' THEN CASE WHEN conv_id % 19 = 0 THEN 'mcp__threadlake__search' ELSE 'tool' || (turn % 4) END END AS tool_name,
+         role = 'assistant' AND conv_id % 19 = 0 AS is_own_tool, form IN ('asked', 'answered') AS is_suggestion,
+         form NOT IN ('asked', 'answered', 'heartbeat') AND NOT (role = 'assistant' AND conv_id % 13 = 0) AS is_source
+  FROM rv)"""
 #: The same events in DuckDB's SQL.
 CONV_SQL = """ev AS (
   SELECT 'c' || conv_id || '-' || turn AS event_id, 'conv-' || conv_id AS session_id,

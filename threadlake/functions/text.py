@@ -8,10 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that relaxed matching and topics pass over.
-STOP_WORDS = (
-    "a an and are as at be but by can could did do does for from had has have how if in into is it its just kind make me my "
-    "of on or out so than that the then there this to was we what when where which who why will with would you"
-).split()
+STOP_WORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "can", "could", "did", "do", "does", "for", "from", "had", "has", "have",
+    "how", "if", "in", "into", "is", "it", "its", "just", "kind", "make", "me", "my", "of", "on", "or", "out", "so", "than", "that",
+    "the", "then", "there", "this", "to", "was", "we", "what", "when", "where", "which", "who", "why", "will", "with", "would", "you",
+]
 # Token patterns in the order they are applied, with what replaces them.
 TOKEN_PATTERNS = [
     (r"(?i)(?<![A-Za-z0-9_])([a-z][a-z0-9+.-]*://[^:\s/@]*:)(?!\[REDACTED:secret\])([^@\s/]+)(@)", "$1[REDACTED:secret]$3"),
@@ -93,6 +94,100 @@ def term_hits(c: Column, terms: list[str]) -> Column:
     return out.cast("long")
 
 
+def has_query(c: Column, query: str) -> Column:
+    """Whether a text has the whole query or one of its terms; an empty query is in every text."""
+    whole = query.strip().lower()
+    if not whole:
+        return F.lit(True)
+    low = F.lower(c)
+    out = low.contains(whole)
+    for t in query_terms(whole):
+        out = out | contains_term(low, t)
+    return out
+
+
+def occurrences(low: Column, needle: str) -> Column:
+    """How often a string stands in a text, without overlaps."""
+    return ((F.length(low) - F.length(F.replace(low, F.lit(needle), F.lit("")))) / len(needle)).cast("long")
+
+
+def term_count(low: Column, term: str) -> Column:
+    """How often lower-cased text has a term, by the rules of contains_term."""
+    if term.isdigit():
+        return F.regexp_count(low, F.lit(rf"(?:^|[^\p{{L}}\p{{N}}_]){term}(?=$|[^\p{{L}}\p{{N}}_])")).cast("long")
+    found = occurrences(low, term)
+    if re.search("[-_]", term):
+        found = F.when(found > 0, found).otherwise(occurrences(F.regexp_replace(low, "[-_]+", " "), re.sub("[-_]+", " ", term)))
+    return found
+
+
+def directness(c: Column, terms: list[str], weight: float) -> Column:
+    """Points for each of the terms that a text has, less one for each repetition, six at most."""
+    low, unique, total = F.lower(c), F.lit(0), F.lit(0)
+    for t in terms:
+        n = term_count(low, t)
+        unique, total = unique + (n > 0).cast("long"), total + n
+    return unique * weight - F.least(F.greatest(total - unique, F.lit(0)), F.lit(6))
+
+
+def lines_of(c: Column) -> Column:
+    return F.split(c, "\r?\n")
+
+
+def node_title(c: Column) -> Column:
+    """A summary's heading: its first bullet with a name in capitals or digits, else what it is about, else all."""
+    bullet = F.get(F.filter(lines_of(c), lambda x: F.startswith(x, F.lit("- ")) & x.rlike("[A-Z0-9][A-Z0-9_-]{3,}")), 0)
+    focus = F.get(F.filter(lines_of(c), lambda x: F.startswith(x, F.lit("Focus:"))), 0)
+    return title(F.coalesce(F.regexp_replace(bullet, r"^-\s*", ""), F.regexp_replace(focus, r"^Focus:\s*", ""), c))
+
+
+def snippet_cut(c: Column, most: int) -> Column:
+    """Compacted text, cut three short of `most` with three dots if longer."""
+    t = compact(c)
+    return F.when(F.length(t) <= most, t).otherwise(F.concat(F.regexp_replace(F.substring(t, 1, most - 3), r"(?U)\s+$", ""), F.lit("...")))
+
+
+def snippet(c: Column, query: str, most: int = 220) -> Column:
+    """A text's best line for a query: that with most terms, topics last, cut around the query's own words."""
+    terms = query_terms(query)
+    lines = F.filter(F.transform(lines_of(c), compact), lambda x: x != "")
+    scored = F.transform(lines, lambda x, i: F.struct((-term_hits(x, terms)).alias("k"), i.alias("i"), x.alias("line")))
+    said = F.filter(scored, lambda x: (x["k"] < 0) & ~F.startswith(x["line"], F.lit("Topics:")))
+    best = F.coalesce(F.array_min(said)["line"], F.array_min(scored)["line"], F.lit(""))
+    phrase = re.sub(r"\s+", " ", query).strip().lower()
+    body = most - 6
+    place = F.locate(phrase, F.lower(best)) - 1
+    start = F.greatest(F.lit(0), F.least(place - body // 3, F.length(best) - body))
+    around = F.concat(F.when(start > 0, "...").otherwise(""), F.substring(best, start + 1, F.lit(body)), F.when(start + body < F.length(best), "...").otherwise(""))
+    return F.when(F.length(best) <= most, best).when(place < 0, snippet_cut(best, most)).otherwise(around)
+
+
+def excerpt(c: Column, query: str, most: int) -> Column:
+    """`most` characters of a text from the first place on where one of the query's words stands."""
+    words = [w for w in re.split("[^a-z0-9_-]+", query.lower()) if w]
+    places = F.filter(F.array(*[F.locate(w, F.lower(c)) - 1 for w in words]) if words else F.array().cast("array<int>"), lambda p: p >= 0)
+    hit = F.coalesce(F.array_min(places), F.lit(0))
+    before, after = F.when(hit > 0, "...").otherwise(""), F.when(hit + most < F.length(c), "...").otherwise("")
+    body = F.greatest(F.lit(0), F.lit(most) - F.length(before) - F.length(after))
+    start = F.greatest(F.lit(0), F.least(hit, F.length(c) - body))
+    return F.when(F.length(c) <= most, c).otherwise(F.concat(before, F.substring(c, start + 1, body), after))
+
+
+def quoted(c: Column, indent: str = "") -> Column:
+    """A text as quotation, line by line."""
+    return F.array_join(F.transform(lines_of(c), lambda x: F.concat(F.lit(f"{indent}> "), x)), "\n")
+
+
+def strings_of(c: Column) -> Column:
+    """The strings of a JSON array; of anything else, none."""
+    return F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
+
+
+def iso(c: Column) -> Column:
+    """A time text as ISO-8601 in UTC with milliseconds; null if it is none."""
+    return F.date_format(F.try_to_timestamp(c), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
 def redact_tokens(c: Column) -> Column:
     """Private keys and known token shapes replaced."""
     c = F.regexp_replace(c, PRIVATE_KEY, "[REDACTED:secret]")

@@ -1,56 +1,157 @@
-"""Full-text index as postings, with phrase tiers and BM25."""
+"""Full-text search: tokens, phrase tiers, BM25, and a stored index of postings that grows by batches."""
 
 from __future__ import annotations
 
 import re
+import unicodedata
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadlake.functions.text import query_terms
+from threadlake.storage import exists, written
+
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
+#: Folders that a stored index deals its terms to.
+TERM_BUCKETS = 64
+
+
+def _plain_letters() -> tuple[str, str]:
+    """Latin letters with one mark, and the letters without it."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]]
+    pairs = [(c, d[0]) for c, d in pairs if len(d) == 2 and d[0].isascii()]
+    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+
+
+MARKED, PLAIN = _plain_letters()
+
+
+def tokens(text: Column) -> Column:
+    """Runs of letters and digits, lower-cased, without diacritics."""
+    bare = F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), MARKED, PLAIN), r"[̀-ͯ]", "")
+    return F.regexp_extract_all(bare, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def words(text: str) -> list[str]:
+    """tokens() of a string on the driver."""
+    bare = re.sub("[̀-ͯ]", "", text.lower().translate(str.maketrans(MARKED, PLAIN)))
+    return re.findall(r"[^\W_]+", bare)
+
+
+def strict_phrases(query: str) -> list[list[str]]:
+    """Each word of a query as the tokens of a phrase, all of which are wanted."""
+    return [p for w in query.split() if (p := words(w))]
+
+
+def relaxed_phrases(query: str) -> list[list[str]]:
+    """A query's terms that say something, any of which will do; none if that is no other search than the strict one."""
+    terms = [p for t in query_terms(query) if (p := words(t))]
+    return terms if len(terms) > 1 else []
 
 
 def postings(docs: DataFrame, key: str = "event_id") -> DataFrame:
-    """(doc, term, pos) of every token of text: runs of letters and digits, lower-cased."""
-    tokens = F.expr(r"regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+', 0)")
-    return docs.select(F.col(key).alias("doc"), F.posexplode(tokens).alias("pos", "term"))
+    """(doc, term, pos) of every token of text."""
+    return docs.select(F.col(key).alias("doc"), F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
+
 
+def _count(hits: Column, phrase: list[str]) -> Column:
+    """How often a phrase stands in a text's hits (p, t): places of its first token that the others follow."""
 
-def doc_lengths(post: DataFrame) -> DataFrame:
-    return post.groupBy("doc").agg(F.count(F.lit(1)).alias("dl"))
+    def places(t: str) -> Column:
+        return F.transform(F.filter(hits, lambda h: h["t"] == t), lambda h: h["p"])
 
+    def followed(first: Column, k: int, t: str) -> Column:
+        after = places(t)
+        return F.filter(first, lambda p: F.array_contains(after, p + k))
 
-def query_phrases(query: str) -> list[list[str]]:
-    """Each word of a query as the tokens of a phrase."""
-    return [p for w in query.split() if (p := re.findall(r"[^\W_]+", w.lower()))]
+    first = places(phrase[0])
+    for k, t in enumerate(phrase[1:], 1):
+        first = followed(first, k, t)
+    return F.size(first).cast("long")
 
 
-def phrase_counts(post: DataFrame, phrases: list[list[str]]) -> DataFrame:
-    """(doc, phrase, f): how often each phrase occurs in each document.
+def matched(docs: DataFrame, phrases: list[list[str]]) -> DataFrame:
+    """docs whose text has one of the phrases, with dl, its number of tokens, and f, each phrase's count.
 
-    Only the query's terms are read from the postings; a phrase of n tokens counts where n of them stand in a row.
+    Nothing is shuffled: a text's tokens are cut down to the query's where it is read.
     """
-    wanted = [(i, j, t) for i, p in enumerate(phrases) for j, t in enumerate(p)]
-    sizes = {i: len(p) for i, p in enumerate(phrases)}
-    terms = post.sparkSession.createDataFrame(wanted, "phrase int, k int, term string")
-    hits = post.where(F.col("term").isin(sorted({t for _, _, t in wanted}))).join(F.broadcast(terms), "term")
-    runs = hits.groupBy("doc", "phrase", (F.col("pos") - F.col("k")).alias("at")).agg(F.countDistinct("k").alias("n"))
-    size = F.element_at(F.create_map(*[x for i, n in sizes.items() for x in (F.lit(i), F.lit(n))]), F.col("phrase"))
-    return runs.where(F.col("n") == size).groupBy("doc", "phrase").agg(F.count(F.lit(1)).alias("f"))
-
-
-def bm25(post: DataFrame, n_docs: int, phrases: list[list[str]], every: bool) -> DataFrame:
-    """(doc, score), smaller is better: documents with every phrase, or with any."""
-    counts = phrase_counts(post, phrases)
-    stats = doc_lengths(post)
-    mean = stats.agg((F.sum("dl") / F.lit(n_docs)).alias("avgdl"))
-    df = counts.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
-    rows = counts.join(F.broadcast(df), "phrase").join(stats, "doc").crossJoin(F.broadcast(mean))  # mean is one row
-    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    out = rows.groupBy("doc").agg((-F.sum(part)).alias("score"), F.count(F.lit(1)).alias("n_phrases"))
-    if every:
-        out = out.where(F.col("n_phrases") == len(phrases))
-    return out.select("doc", "score")
+    wanted = sorted({t for p in phrases for t in p})
+    rows = docs.withColumn("__tokens", tokens(F.col("text"))).withColumn("dl", F.size("__tokens").cast("long"))
+    hits = F.filter(F.transform("__tokens", lambda t, i: F.struct(i.alias("p"), t.alias("t"))), lambda h: h["t"].isin(wanted) if wanted else F.lit(False))
+    rows = rows.withColumn("__hits", hits).where(F.size("__hits") > 0)
+    f = F.array(*[_count(F.col("__hits"), p) for p in phrases]) if phrases else F.array().cast("array<long>")
+    return rows.withColumn("f", f).drop("__tokens", "__hits").where(F.exists("f", lambda n: n > 0))
+
+
+def sizes(docs: DataFrame) -> tuple[int, int]:
+    """How many documents there are, and how many tokens."""
+    row = docs.agg(F.count(F.lit(1)), F.sum(F.size(tokens(F.col("text"))).cast("long"))).first()
+    return row[0], row[1] or 0
+
+
+def scored(rows: DataFrame, size: tuple[int, int], which: list[int], every: bool) -> DataFrame:
+    """matched() rows that have every one, or any, of the phrases `which`, with their BM25 score: smaller is better.
+
+    The number of documents that have a phrase is one row of counts on the driver.
+    """
+    if not which:
+        return rows.where("false").withColumn("score", F.lit(0.0))
+    n, total = size
+    own = [F.get("f", i) for i in which]
+    df = rows.agg(*[F.count_if(F.get("f", i) > 0) for i in which]).first()
+    score = F.lit(0.0)
+    for f, d in zip(own, df, strict=True):
+        idf = F.log((F.lit(n) - d + 0.5) / (F.lit(d) + 0.5))
+        part = F.when(idf <= 0, LEAST_IDF).otherwise(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.lit(max(total, 1) / max(n, 1))))
+        score = score - F.when(f > 0, part).otherwise(0.0)
+    has = [f > 0 for f in own]
+    keep = has[0]
+    for h in has[1:]:
+        keep = keep & h if every else keep | h
+    return rows.where(keep).withColumn("score", score)
+
+
+class Index:
+    """Postings (doc, term, positions) and documents (doc, dl) in a folder: batches are added, terms looked up.
+
+    Postings are dealt to folders by their term, so a look-up reads those of its terms alone.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def add(self, docs: DataFrame, key: str = "event_id") -> None:
+        """Add the documents that the index does not have."""
+        new = docs.select(F.col(key).alias("doc"), tokens(F.col("text")).alias("tokens")).dropDuplicates(["doc"])
+        if exists(self.spark, f"{self.path}/docs"):
+            new = new.join(self.docs(), "doc", "left_anti")
+        new = written(new, "new")
+        rows = new.select("doc", F.posexplode("tokens").alias("pos", "term")).groupBy("term", "doc").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+        rows = rows.withColumn("bucket", self._bucket(F.col("term")))
+        rows.repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(8))).write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
+        new.select("doc", F.size("tokens").cast("long").alias("dl")).write.mode("append").parquet(f"{self.path}/docs")
+
+    @staticmethod
+    def _bucket(term: Column) -> Column:
+        return F.pmod(F.crc32(term.cast("binary")), F.lit(TERM_BUCKETS)).cast("int")
+
+    def docs(self) -> DataFrame:
+        return self.spark.read.schema("doc string, dl long").parquet(f"{self.path}/docs")
+
+    def lookup(self, terms: list[str]) -> DataFrame:
+        """(doc, term, positions) of some terms."""
+        rows = self.spark.read.schema("term string, doc string, positions array<int>, bucket int").parquet(f"{self.path}/postings")
+        buckets = self.spark.createDataFrame([(t,) for t in terms] or [("",)], "t string").select(self._bucket(F.col("t"))).distinct().collect()
+        return rows.where(F.col("bucket").isin([r[0] for r in buckets]) & F.col("term").isin(terms)).drop("bucket")
+
+    def matched(self, phrases: list[list[str]]) -> DataFrame:
+        """(doc, dl, f) as matched() gives them."""
+        hits = self.lookup(sorted({t for p in phrases for t in p}))
+        hits = hits.groupBy("doc").agg(F.flatten(F.collect_list(F.transform("positions", lambda p: F.struct(p.alias("p"), F.col("term").alias("t"))))).alias("hits"))
+        rows = hits.select("doc", F.array(*[_count(F.col("hits"), p) for p in phrases]).alias("f")).where(F.exists("f", lambda n: n > 0))
+        return rows.join(self.docs(), "doc")
+
+    def sizes(self) -> tuple[int, int]:
+        row = self.docs().agg(F.count(F.lit(1)), F.sum("dl")).first()
+        return row[0], row[1] or 0

@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from threadlake.functions.text import node_title
+
 #: A checkpoint stands at every so many events.
 CHECKPOINT_EVERY = 50
+
+
 def _order():
     return Window.partitionBy("session_id").orderBy("ts", "seq")
 
 
-
 def positions(events: DataFrame) -> DataFrame:
     """Events with their place in the session, from 1."""
     return events.withColumn("position", F.row_number().over(_order()).cast("long"))
@@ -92,3 +95,52 @@ def node_counts(events: DataFrame) -> DataFrame:
 
 def edge_counts(events: DataFrame) -> DataFrame:
     return edges(events).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def summary_budget(limit: int) -> int:
+    """How many of a graph's nodes may be summaries."""
+    return min(max(-(-limit // 4), 8), limit // 2) if limit >= 20 else limit // 4
+
+
+def lineage_first(nodes: DataFrame, session_id: str, limit: int, read: int = 2000) -> DataFrame:
+    """A session's nodes for a graph: the deepest and latest, each with all that it is made of, until `limit`.
+
+    Only the ids and sources of the first `read` nodes are looked at on the driver.
+    """
+    own = nodes.where(F.col("session_id") == session_id)
+    rows = own.orderBy("depth", "earliest_at", "node_id").limit(read).select("node_id", "depth", "source_type", "source_ids", "latest_at", "earliest_at").collect()
+    by_id, chosen = {r["node_id"]: r for r in rows}, dict[str, None]()
+    roots = sorted(rows, key=lambda r: (r["earliest_at"], r["node_id"]))
+    for r in sorted(sorted(roots, key=lambda r: r["latest_at"], reverse=True), key=lambda r: -r["depth"]):
+        stack = [r["node_id"]]
+        while stack and len(chosen) < limit:
+            node = stack.pop()
+            if node not in chosen and node in by_id:
+                chosen[node] = None
+                stack += reversed(by_id[node]["source_ids"]) if by_id[node]["source_type"] == "nodes" else []
+    return own.where(F.col("node_id").isin(list(chosen))).orderBy("depth", "earliest_at", "node_id")
+
+
+def as_graph_nodes(nodes: DataFrame) -> DataFrame:
+    """Summary nodes as nodes of a graph, labelled by depth and title."""
+    label = F.concat(F.lit("D"), "depth", F.lit(" "), node_title(F.col("summary_text")))
+    return nodes.select("session_id", "node_id", F.lit("summary").alias("kind"), F.col("latest_at").alias("ts"), label.alias("label"), "depth", "source_type", "source_ids")
+
+
+def with_summaries(events: DataFrame, nodes: DataFrame, session_id: str, limit: int = 200) -> tuple[DataFrame, DataFrame]:
+    """bounded() with summary nodes in what it leaves free, a quarter or so at least, and edges from them to their sources."""
+    own = max(1, limit - summary_budget(limit))
+    first = events.where(F.col("session_id") == session_id).orderBy("ts", "seq").limit(own)
+    base, links = bounded(first, session_id, own)
+    some = as_graph_nodes(lineage_first(nodes, session_id, max(0, limit - base.count())))
+    both = base.select("session_id", "node_id", "kind").unionByName(some.select("session_id", "node_id", "kind"))
+    to = some.select("session_id", F.col("node_id").alias("from_id"), F.explode("source_ids").alias("to_id"), F.lit("summary_source").alias("kind"))
+    to = to.join(both.select(F.col("node_id").alias("to_id")), "to_id", "left_semi")
+    return both, links.unionByName(to.select(*links.columns)).dropDuplicates(["from_id", "to_id", "kind"])
+
+
+def checkpoint_tail(events: DataFrame, last: int = 5) -> DataFrame:
+    """Each session's latest checkpoint with the ids of the last events up to it, in order."""
+    point = latest_checkpoint(events).select("session_id", F.col("event_id").alias("checkpoint"), "position")
+    before = positions(events).select("session_id", "event_id", F.col("position").alias("at")).join(point, "session_id").where(F.col("at").between(F.col("position") - last + 1, F.col("position")))
+    return before.groupBy("session_id", "checkpoint").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "event_id"))), lambda x: x["event_id"]).alias("last_events"))

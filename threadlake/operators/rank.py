@@ -1,18 +1,24 @@
-"""Session search: two tiers over three indexes, evidence by kind, explainable discovery scores."""
+"""Session search: two tiers over three indexes, evidence by kind, explainable discovery scores; ranking of nodes."""
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from threadlake.functions import text as tx
 from threadlake.functions.text import query_terms, term_hits
 from threadlake.operators import fts
+from threadlake.storage import written
 
-KIND_WEIGHT = {"event": 1, "session_summary": 3, "summary_node": 4}
-KIND_ORDER = {"event": 1, "session_summary": 2, "summary_node": 3}
+# What a match of each kind weighs, and the kinds' order where all else is equal.
+KIND_WEIGHT = {"summary_node": 4, "session_summary": 3, "event": 1}
+KIND_ORDER = {"summary_node": 3, "session_summary": 2, "event": 1}
+#: Columns of an index that candidates keep; the text itself is joined again for the few that are shown.
+KEPT = ["key", "session_id", "at", "depth", "sources", "source_tokens"]
 
 
 def broad(query: str) -> bool:
@@ -21,26 +27,67 @@ def broad(query: str) -> bool:
     return sum(len(w) >= 3 or bool(re.search(r"[-_\d]", w)) for w in words) >= 4
 
 
-def candidates(docs: DataFrame, query: str, every: bool, k: int) -> DataFrame:
-    """The k best rows of an index (key, session_id, text, at, ...) by BM25, then recency."""
-    phrases = fts.query_phrases(query) if every else [[t] if not re.search("[-_]", t) else re.findall(r"[^\W_]+", t) for t in query_terms(query)]
-    if not phrases:
-        return docs.limit(0)
-    scores = fts.bm25(fts.postings(docs, "key"), docs.count(), phrases, every)
-    return docs.join(scores.withColumnRenamed("doc", "key"), "key").orderBy("score", F.desc("at"), "key").limit(k)
+def wants_suggestions(query: str) -> bool:
+    """Whether a query asks for generated suggestions, which it does not find otherwise."""
+    return bool(re.search(r"(?i)\b(hyperpersonalized|suggestions?)\b", query))
+
+
+def event_index(events: DataFrame, query: str = "") -> DataFrame:
+    """Events as an index: what is searched is search_text, what is counted is what the event says."""
+    if "is_source" in events.columns:
+        events = events.where((F.col("is_source") & ~F.col("is_suggestion") if not wants_suggestions(query) else F.col("is_indexed")) & ~F.col("is_own_tool"))
+    none = F.lit(0).cast("long")
+    searched = F.col("search_text") if "search_text" in events.columns else F.col("text")
+    return events.select(F.col("event_id").alias("key"), "session_id", searched.alias("text"), F.col("text").alias("said"), F.col("ts").alias("at"), F.lit(0).alias("depth"), none.alias("sources"), none.alias("source_tokens"))
+
+
+def node_index(nodes: DataFrame) -> DataFrame:
+    text = F.concat_ws("\n", "summary_text", "topics", "source_event_ids")
+    return nodes.select(F.col("node_id").alias("key"), "session_id", text.alias("text"), F.col("summary_text").alias("said"), F.col("latest_at").alias("at"), "depth", F.col("source_event_count").alias("sources"), F.col("source_token_count").alias("source_tokens"))
+
+
+def summary_index(summaries: DataFrame) -> DataFrame:
+    return summaries.select(F.col("session_id").alias("key"), "session_id", F.col("summary_text").alias("text"), F.col("summary_text").alias("said"), F.col("updated_at").alias("at"), F.lit(0).alias("depth"), F.size("source_event_ids").cast("long").alias("sources"), F.lit(0).cast("long").alias("source_tokens"))
+
+
+class Matches:
+    """The rows of an index that have any of a query's phrases, written once; both tiers are read from them."""
+
+    def __init__(self, docs: DataFrame, query: str, keep: list[str] = KEPT):
+        strict, relaxed = fts.strict_phrases(query), fts.relaxed_phrases(query)
+        phrases = [p for i, p in enumerate(strict + relaxed) if p not in (strict + relaxed)[:i]]
+        self.which = {True: sorted({phrases.index(p) for p in strict}), False: sorted({phrases.index(p) for p in relaxed})}
+        if self.which[True] == self.which[False] and len(strict) < 2:
+            self.which[False] = []
+        hits = term_hits(F.col("said"), query_terms(query)) if "said" in docs.columns else F.lit(0).cast("long")
+        rows = fts.matched(docs, phrases).withColumn("hits", hits)
+        self.rows = written(rows.select(*keep, "hits", "dl", "f"), "matches")
+        self.size = fts.sizes(docs) if phrases else (0, 0)
+
+    def tier(self, every: bool) -> DataFrame:
+        """Rows of a tier with their score."""
+        return fts.scored(self.rows, self.size, self.which[every], every)
+
+    def best(self, every: bool, k: int) -> DataFrame:
+        """A tier's k best rows by BM25, then depth and recency."""
+        return self.tier(every).withColumn("score", F.round("score", 9)).orderBy("score", F.desc("depth"), F.desc("at"), "key").limit(k)
 
 
 def evidence(rows: DataFrame) -> DataFrame:
     """Per session, the rows of the kind with the largest score, then count, then weight."""
     per = rows.groupBy("session_id", "kind").agg(F.sum("row_score").alias("kind_score"), F.count(F.lit(1)).alias("kind_count"))
-    weight = F.element_at(F.create_map(*[x for k, w in KIND_ORDER.items() for x in (F.lit(k), F.lit(w))]), F.col("kind"))
-    best = Window.partitionBy("session_id").orderBy(F.desc("kind_score"), F.desc("kind_count"), F.desc(weight))
+    best = Window.partitionBy("session_id").orderBy(F.desc("kind_score"), F.desc("kind_count"), F.desc(_order(F.col("kind"))))
     chosen = per.withColumn("__at", F.row_number().over(best)).where("__at = 1").select("session_id", "kind")
     return rows.join(chosen, ["session_id", "kind"], "left_semi")
 
 
+def _order(kind: Column) -> Column:
+    return F.element_at(F.create_map(*[x for k, w in KIND_ORDER.items() for x in (F.lit(k), F.lit(w))]), kind)
+
+
 def discovery(per: DataFrame, query: str) -> DataFrame:
     """Add discovery score, confidence and reasons to sessions with their best match."""
+    # Conditions, points and reasons.
     parts = [
         (F.col("kind") == "summary_node", 10, "summary-node match"), (F.col("kind") == "session_summary", 6, "session-summary match"), (F.col("kind") == "event", 0, "raw-event match"),
         (F.col("sources") >= 4, 12, "source-rich summary"), (F.col("sources").between(2, 3), 6, "multiple source events"),
@@ -57,39 +104,114 @@ def discovery(per: DataFrame, query: str) -> DataFrame:
     return out.withColumn("confidence", F.when(F.col("discovery_score") >= 34, "high").when(F.col("discovery_score") >= 18, "medium").otherwise("low"))
 
 
-def search(events: DataFrame, nodes: DataFrame, sessions: DataFrame, query: str, limit: int = 10, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """The best sessions for a query; strict matches first, looser ones only if there are none."""
+SEARCHED = ["session_id", "kind", "score", "match_count", "last_match_at", "best_key", "discovery_score", "confidence", "reasons", "snippet"]
+
+
+def search(
+    events: DataFrame, nodes: DataFrame, summaries: DataFrame, sessions: DataFrame, query: str, limit: int = 10,
+    exclude: tuple[str, ...] = (), cwd: str | None = None, repo_root: str | None = None,
+) -> DataFrame:
+    """The best sessions for a query; strict matches first, looser ones only if there are none; without words the latest.
+
+    Each index is read once: its rows that have any of the query's words are written with their counts, and
+    tiers, scores and evidence come from those. Snippets are cut from the texts of the sessions that are returned.
+    """
+    for name, value in (("cwd", cwd), ("repo_root", repo_root)):
+        if value is not None:
+            sessions = sessions.where(F.col(name) == value)
+    sessions = sessions.where(~F.col("session_id").isin(list(exclude))) if exclude else sessions
+    if not query.strip():
+        none = {"kind": "string", "score": "long", "match_count": "long", "last_match_at": "string", "best_key": "string", "discovery_score": "long", "confidence": "string", "reasons": "string", "snippet": "string"}
+        latest = sessions.orderBy(F.desc("last_seen"), "session_id").limit(limit)
+        return latest.select("session_id", *[F.lit(None).cast(t).alias(n) for n, t in none.items()])
     k = max(limit * 20, 50)
-    none = F.lit(0).cast("long")
-    index = {
-        "summary_node": nodes.select(F.col("node_id").alias("key"), "session_id", F.concat_ws("\n", "summary_text", F.array_join("topics", " ")).alias("text"), F.col("latest_at").alias("at"), F.size("source_event_ids").cast("long").alias("sources"), "source_token_count"),
-        "event": events.select(F.col("event_id").alias("key"), "session_id", "text", F.col("ts").alias("at"), none.alias("sources"), none.alias("source_token_count")),
-    }
-    top = F.max_by(F.struct("key", "text"), F.struct("row_score", "at", "key"))
-    terms = query_terms(query)
+    indexes = {"summary_node": node_index(nodes), "session_summary": summary_index(summaries), "event": event_index(events, query)}
+    wanted = sessions.select("session_id")
+    scoped = cwd is not None or repo_root is not None or exclude
+    found = {kind: Matches(docs.join(wanted, "session_id", "left_semi") if scoped else docs, query) for kind, docs in indexes.items()}
     for every in (True, False):
-        rows = None
-        for kind, docs in index.items():
-            docs = docs.where(~F.col("session_id").isin(list(exclude))) if exclude else docs
-            got = candidates(docs, query, every, k).withColumn("kind", F.lit(kind)).withColumn("row_score", term_hits(F.col("text"), terms) * KIND_WEIGHT[kind])
-            rows = got if rows is None else rows.unionByName(got)
-        if every and rows.isEmpty():
-            continue
-        break
+        parts = []
+        for kind, m in found.items():
+            rows = m.best(every, k).withColumn("kind", F.lit(kind)).withColumn("row_score", F.col("hits") * KIND_WEIGHT[kind])
+            place = F.row_number().over(Window.partitionBy("kind").orderBy("score", F.desc("depth"), F.desc("at"), "key"))  # k rows at most
+            parts.append(rows.withColumn("first", F.lit(len(parts) * k) + place))
+        rows = written(reduce(DataFrame.unionByName, parts), "candidates")
+        if not rows.isEmpty():
+            break
+    best = F.struct("row_score", "at", -F.col("first"))
     per = evidence(rows).groupBy("session_id", "kind").agg(
         F.sum("row_score").alias("score"), F.count(F.lit(1)).alias("match_count"), F.max("at").alias("last_match_at"), F.max("row_score").alias("best_score"),
-        top.alias("best"), F.max_by("sources", F.struct("row_score", "at", "key")).alias("sources"), F.max_by("source_token_count", F.struct("row_score", "at", "key")).alias("source_tokens"),
+        F.max_by("key", best).alias("best_key"), F.max_by("sources", best).alias("sources"), F.max_by("source_tokens", best).alias("source_tokens"), F.min("first").alias("first"),
     )
     out = discovery(per.join(sessions.select("session_id", "event_count", "last_seen"), "session_id"), query)
-    out = out.orderBy(F.desc("discovery_score"), F.desc("score"), F.desc("best_score"), F.desc("match_count"), F.desc("last_match_at"), "session_id").limit(limit)
-    return out.select("session_id", "kind", "score", "match_count", "last_match_at", F.col("best.key").alias("best_key"), "discovery_score", "confidence", "reasons")
+    keys = [F.desc("discovery_score"), F.desc("score"), F.desc("best_score"), F.desc("match_count"), F.desc("last_match_at"), F.asc("first")]
+    out = written(out.orderBy(*keys).limit(limit), "found")
+    texts = reduce(DataFrame.unionByName, [docs.select(F.lit(kind).alias("kind"), F.col("key").alias("best_key"), "said") for kind, docs in indexes.items()])
+    shown = texts.join(F.broadcast(out.select("kind", "best_key")), ["kind", "best_key"]).select("kind", "best_key", tx.snippet(F.col("said"), query).alias("snippet"))  # `limit` rows
+    return out.join(shown, ["kind", "best_key"], "left").orderBy(*keys).select(*SEARCHED)
 
 
-def rank_nodes(nodes: DataFrame, query: str) -> DataFrame:
-    """Nodes for a context: title and topic hits, all hits, shallow first, support, recency."""
+def rank_columns(nodes: DataFrame, query: str) -> DataFrame:
+    """Nodes with what ranks them for a context."""
     terms = query_terms(query)
-    ids = F.greatest(F.size("source_event_ids"), F.size("source_ids"))
+    heading, subjects = tx.node_title(F.col("summary_text")), F.array_join("topics", " ")
+    ids = F.greatest(F.size("source_ids").cast("long"), "source_event_count")
     support = F.least(F.lit(8.0), F.log2(ids + 1.0)) * 2 + F.least(F.lit(8.0), F.log2(F.greatest(F.lit(1), "source_token_count") / 120 + 1))
-    focus = term_hits(F.array_join("topics", "\n"), terms)
-    out = nodes.withColumn("focused_hits", focus).withColumn("hits", term_hits(F.col("summary_text"), terms)).withColumn("support", F.round(support, 4))
-    return out.orderBy(F.desc("focused_hits"), F.desc("hits"), "depth", F.desc("support"), F.desc("latest_at"), "node_id").select("node_id", "depth", "focused_hits", "hits", "support")
+    return nodes.withColumns(
+        {
+            "focused_hits": term_hits(F.concat_ws("\n", heading, "topics"), terms),
+            "directness": (tx.directness(heading, terms, 5.0) + tx.directness(subjects, terms, 2.5)).cast("double"),
+            "hits": term_hits(F.concat_ws("\n", "summary_text", "topics", "source_event_ids"), terms),
+            "support": F.round(support, 4),
+        }
+    )
+
+
+def rank_order(query: str) -> list[Column]:
+    """Title and topic hits, directness, all hits, shallow first, support, recency; without words shallow and late first."""
+    if not query_terms(query):
+        return [F.asc("depth"), F.desc("latest_at"), F.asc("node_id")]
+    return [F.desc("focused_hits"), F.desc("directness"), F.desc("hits"), F.asc("depth"), F.desc("support"), F.desc("latest_at"), F.asc("node_id")]
+
+
+def rank_nodes(nodes: DataFrame, query: str) -> DataFrame:
+    """Nodes in the order in which a context takes them."""
+    return rank_columns(nodes, query).orderBy(*rank_order(query)).select("node_id", "depth", "focused_hits", "directness", "hits", "support")
+
+
+def search_nodes(nodes: DataFrame, query: str, limit: int = 10, sessions: list[str] | None = None, cwd: str | None = None) -> DataFrame:
+    """Nodes for a query by the two tiers, then by rank; without words the deepest and latest."""
+    rows = nodes if cwd is None else nodes.where(F.col("cwd") == cwd)
+    own = (lambda d: d.where(F.col("session_id").isin(sessions))) if sessions else (lambda d: d)
+    if not query.strip():
+        return own(rows.orderBy(F.desc("depth"), F.desc("latest_at"), "node_id").limit(max(limit * 4, 20))).limit(limit)
+    m = Matches(node_index(rows), query)
+    best = written(m.best(True, max(limit * 10, 50)), "best")
+    if best.isEmpty():
+        best = written(m.best(False, max(limit * 10, 50)), "best")
+    rows = own(rows.join(F.broadcast(best.select(F.col("key").alias("node_id"))), "node_id", "left_semi"))  # 50 rows, or 10 for each wanted
+    return rank_columns(rows, query).orderBy(*rank_order(query)).limit(limit).select(*nodes.columns)
+
+
+def search_events(events: DataFrame, query: str, limit: int = 3, sessions: list[str] | None = None, cwd: str | None = None) -> DataFrame:
+    """Source events for a query by the two tiers, then by the whole phrase, hits and recency."""
+    rows = events if cwd is None else events.where(F.col("cwd") == cwd)
+    rows = rows.where(F.col("session_id").isin(sessions)) if sessions else rows
+    m = Matches(event_index(rows), query)
+    best = written(m.best(True, max(limit * 10, 50)), "best")
+    if best.isEmpty():
+        best = written(m.best(False, max(limit * 10, 50)), "best")
+    rows = rows.join(F.broadcast(best.select(F.col("key").alias("event_id"))), "event_id", "left_semi")
+    phrase = re.sub(r"\s+", " ", query).strip().lower()
+    order = [F.desc(F.lower("text").contains(phrase)), F.desc(term_hits(F.col("text"), query_terms(query))), F.desc("ts"), F.desc("event_id")]
+    return rows.orderBy(*order).limit(limit)
+
+
+def quality(ranks: DataFrame, by: list[str]) -> DataFrame:
+    """Recall at 1 and 5 and the mean reciprocal rank of queries (rank null if not found): over all, and by each column."""
+    ratio = lambda c: F.round(F.avg(c), 4)
+    sets = ranks.groupingSets([[], *[[F.col(b)] for b in by]], *by)
+    return sets.agg(
+        F.count(F.lit(1)).alias("queries"), ratio(F.coalesce((F.col("rank") == 1).cast("double"), F.lit(0.0))).alias("recall_at_1"),
+        ratio(F.coalesce((F.col("rank") <= 5).cast("double"), F.lit(0.0))).alias("recall_at_5"), ratio(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))).alias("mean_reciprocal_rank"),
+    )

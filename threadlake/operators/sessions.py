@@ -2,17 +2,34 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from threadlake.operators import normalize, summaries
+from threadlake.storage import written
+
+
+COUNTERS = list(normalize.COUNTERS)
+#: Fields of a session whose latest value that is not null counts, and that not all events tables have.
+LATEST = ["git_branch", "agent_role", "agent_nickname", "model", "reasoning_effort"]
+
 
 def rollup(events: DataFrame) -> DataFrame:
-    """One row for each session; where a field changes, its latest arrival counts."""
+    """One row for each session; where a field changes, its latest arrival counts, and of counters the largest value.
+
+    Events need not have all of LATEST and COUNTERS; sessions have what there is. An event's tokens count as
+    total_tokens where it has no counters.
+    """
+    if "total_tokens" not in events.columns:
+        events = events.withColumn("total_tokens", F.col("tokens"))
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
+    some = [last(c) for c in LATEST if c in events.columns] + [F.max(c).alias(c) for c in COUNTERS if c in events.columns]
     return events.groupBy("session_id").agg(
-        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), last("cwd"), last("repo_root"), last("parent_session_id"),
-        F.max("tokens").alias("total_tokens"), F.count(F.lit(1)).alias("event_count"),
+        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.max_by("cwd", "seq").alias("cwd"), last("repo_root"), last("parent_session_id"),
+        *some, F.count(F.lit(1)).alias("event_count"),
     )
 
 
@@ -32,20 +49,23 @@ def listing(sessions: DataFrame, limit: int = 50, offset: int = 0, cwd: str | No
 
 
 def usage(sessions: DataFrame) -> DataFrame:
-    return sessions.agg(F.count(F.lit(1)).alias("sessions"), F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("total_tokens"))
+    """How many sessions, and the sums of their token counters; a counter that there is not is 0."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)) if c in sessions.columns else F.lit(0).cast("long")
+    return sessions.agg(F.count(F.lit(1)).alias("sessions"), *[total(c).alias(c) for c in COUNTERS])
 
 
-def descendants(sessions: DataFrame, roots: DataFrame, most_levels: int = 100) -> DataFrame:
-    """Session ids of roots and all below them, by joins level by level; ids seen before are not followed again."""
-    links = sessions.select("session_id", "parent_session_id")
-    found = frontier = roots.select("session_id").distinct()
-    for _ in range(most_levels):
-        frontier = links.join(frontier.withColumnRenamed("session_id", "parent_session_id"), "parent_session_id").select("session_id")
-        frontier = frontier.join(found, "session_id", "left_anti").distinct()
-        if frontier.isEmpty():
-            return found
-        found = found.unionByName(frontier)
-    raise RuntimeError("sessions nest too deeply")
+def descendants(sessions: DataFrame, roots: DataFrame) -> DataFrame:
+    """Session ids of roots and all below them, by joins level by level; ids seen before are not followed again.
+
+    Each level is written, so that none is computed twice; a cycle ends where nothing new is found.
+    """
+    links = written(sessions.select("session_id", "parent_session_id").where("parent_session_id is not null"), "links")
+    levels = [written(roots.select("session_id").distinct(), "roots")]
+    while not levels[-1].isEmpty():
+        found = reduce(DataFrame.unionByName, levels)
+        below = links.join(levels[-1].withColumnRenamed("session_id", "parent_session_id"), "parent_session_id").select("session_id").distinct()
+        levels.append(written(below.join(found, "session_id", "left_anti"), "found"))
+    return reduce(DataFrame.unionByName, levels)
 
 
 def usage_with_descendants(sessions: DataFrame, **filters) -> DataFrame:
@@ -87,11 +107,7 @@ def index_stats(events: DataFrame) -> DataFrame:
 
 def head_tail_sample(events: DataFrame, head: int = 120, tail: int = 240, recent_: int = 40) -> DataFrame:
     """What a session summary reads: first and last signals, and the last events of any kind."""
-    signal = F.col("hook_event").isin("UserPromptSubmit", "Note", "Stop", "PreCompact", "PostCompact")
-    up, down = Window.partitionBy("session_id").orderBy("ts", "seq"), Window.partitionBy("session_id").orderBy(F.desc("ts"), F.desc("seq"))
-    n = F.sum(signal.cast("int"))
-    out = events.withColumn("__up", n.over(up)).withColumn("__down", n.over(down)).withColumn("__at", F.row_number().over(down))
-    return out.where((signal & ((F.col("__up") <= head) | (F.col("__down") <= tail))) | (F.col("__at") <= recent_)).drop("__up", "__down", "__at")
+    return summaries.session_sample(events, head, tail, recent_)
 
 
 def rebuild_triggers(events: DataFrame) -> DataFrame:
@@ -100,3 +116,37 @@ def rebuild_triggers(events: DataFrame) -> DataFrame:
     n = F.row_number().over(w)
     out = events.withColumn("event_no", n.cast("long")).where("hook_event = 'UserPromptSubmit'")
     return out.where(F.col("event_no") % 8 <= 1).select("session_id", "event_id", "event_no")
+
+
+def next_cursor(offset: int, limit: int, page: DataFrame, total: int) -> str | None:
+    """The cursor of the page after this one, if there is one."""
+    shown = min(limit, max(0, total - offset))
+    return str(offset + shown) if offset + shown < total else None
+
+
+def freshness(events: DataFrame, nodes: DataFrame, summaries_: DataFrame) -> DataFrame:
+    """How far the derived tables go: the latest event and node, the deepest node, and sessions with either kind of summary."""
+    e = events.agg(F.max("ts").alias("latest_event_at"))
+    n = nodes.agg(F.max("latest_at").alias("latest_node_at"), F.max("depth").alias("max_depth"), F.countDistinct("session_id").alias("sessions_with_nodes"))
+    s = summaries_.agg(F.countDistinct("session_id").alias("sessions_with_summary"))
+    return e.crossJoin(n).crossJoin(s)  # one row each
+
+
+def has_event(events: DataFrame, event_id: str) -> bool:
+    return not events.where(F.col("event_id") == event_id).isEmpty()
+
+
+def recount(sessions: DataFrame, events: DataFrame) -> DataFrame:
+    """Sessions with their events counted anew, 0 for those that have none left."""
+    now = events.groupBy("session_id").agg(F.count(F.lit(1)).alias("__now"))
+    return sessions.join(now, "session_id", "left").withColumn("event_count", F.coalesce("__now", F.lit(0))).drop("__now")
+
+
+def upsert(table: DataFrame, fresh: DataFrame, key: str = "session_id") -> DataFrame:
+    """A derived table with the rows of some keys replaced by new ones."""
+    return table.join(fresh.select(key), key, "left_anti").unionByName(fresh)
+
+
+def rebuilt(table: DataFrame, events: DataFrame, touched: DataFrame, derive) -> DataFrame:
+    """A table derived by session, with the touched sessions derived again from all their events."""
+    return upsert(table, derive(events.join(touched.select("session_id").distinct(), "session_id", "left_semi")))

@@ -1,26 +1,48 @@
-"""Deterministic extractive summaries: topics, leaf nodes, condensed nodes."""
+"""Deterministic extractive summaries: topics, leaf and condensed nodes, session summaries, and their upkeep."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from threadlake.functions.payload import SIGNAL_HOOKS
 from threadlake.functions.text import head_tail, signal_terms, title, token_estimate, truncated
+from threadlake.operators.ordering import numbered
+from threadlake.storage import written
 
+# Events of a leaf, nodes of a condensed node, depths, topics, versions of nodes and summaries.
 LEAF_EVENTS, FAN_IN, MOST_DEPTH, TOPICS = 8, 4, 8, 16
+NODE_VERSION, SUMMARY_VERSION = 3, 4
+#: Ids of events at each end that a node holds itself; edges lead to all of them.
+END_IDS = 80
+#: What a session summary reads: first and last signals, last events of any kind (fixed values).
+FIRST, LAST, RECENT = 120, 240, 40
+NO_OVERVIEW = "No high-signal user prompt or assistant outcome has been captured yet."
+
+_strings = "array<string>"
 
 
 def topics(signals: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, topics) of texts (keys, i, n, text): i from 0 in a group of n, at most a few dozen texts each."""
+    """(keys, topics) of texts (keys, i, n, text): i from 0 in a group of n, at most a few hundred texts each."""
     rows = signals.select(*keys, "i", "n", F.posexplode(signal_terms(F.col("text"), 80, False)).alias("k", "term"))
     stat = rows.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("i", "k")).alias("first"), F.max("i").alias("last"), F.max("n").alias("n"))
+    # Points for a term's frequency, shape and place.
     score = F.least("count", F.lit(2)) * 6 + F.when(F.col("term").contains("-"), 4).otherwise(0) + F.when(F.col("term").rlike("[0-9]"), 3).otherwise(0) + F.when(F.col("last") == F.col("n") - 1, 8).otherwise(0)
     order = Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("last"), "first")
     best = stat.withColumn("score", score).withColumn("at", F.row_number().over(order)).where(F.col("at") <= TOPICS)
     return best.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "term"))), lambda x: x["term"]).alias("topics"))
 
 
+def _with_topics(group: DataFrame, keys: list[str], texts: Column) -> DataFrame:
+    """A written group of bounded rows with the topics of its texts; blank ones do not count."""
+    said = group.select(*keys, F.filter(texts, lambda t: F.trim(t) != "").alias("t"))
+    signals = said.select(*keys, F.size("t").alias("n"), F.posexplode("t").alias("i", "text"))
+    return group.join(topics(signals, keys), keys, "left").withColumn("topics", F.coalesce("topics", F.array().cast(_strings)))
+
+
 def node_id(session: Column, depth: int, kind: str, ids: Column) -> Column:
     text = F.concat_ws("\n", session, F.lit(str(depth)), F.lit(kind), F.array_join(ids, "\n"))
     return F.concat(F.lit("summary:"), session, F.lit(f":d{depth}:"), F.substring(F.sha2(text, 256), 1, 24))
@@ -28,64 +50,73 @@ def node_id(session: Column, depth: int, kind: str, ids: Column) -> Column:
 
 def _text(head: Column, focus: Column, found: Column, bullets: Column) -> Column:
     topic_line = F.when(F.size(found) > 0, F.concat(F.lit("Topics: "), F.array_join(found, ", ")))
-    return F.concat_ws("\n", head, F.concat(F.lit("Focus: "), title(focus)), topic_line, F.array_join(head_tail(bullets, 6, 3), "\n"))
+    shown = F.when(F.size(bullets) > 0, F.array_join(head_tail(bullets, 6, 3), "\n"))
+    return F.concat_ws("\n", head, F.concat(F.lit("Focus: "), title(focus)), topic_line, shown)
+
+
+def sources(events: DataFrame) -> DataFrame:
+    """The events that summaries are made of."""
+    if "is_source" in events.columns:
+        return events.where(F.col("is_source") & ~F.col("is_own_tool"))
+    return events.where(F.col("text").isNotNull())
 
 
 def leaves(events: DataFrame) -> DataFrame:
     """Nodes of depth 0: eight signal events of a session each, in order; the bounded group is one array."""
-    order = Window.partitionBy("session_id").orderBy("ts", "seq")
-    rows = events.where(F.col("text").isNotNull()).withColumn("chunk", F.floor((F.row_number().over(order) - 1) / LEAF_EVENTS).cast("long"))
-    group = rows.groupBy("session_id", "chunk").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "text", "cwd"))).alias("e"))
+    rows = numbered(sources(events).select("session_id", "ts", "seq", "event_id", "hook_event", "text", "cwd", "repo_root"), "session_id", "ts", "seq")
+    rows = rows.withColumn("chunk", F.floor(F.col("place") / LEAF_EVENTS))
     keys = ["session_id", "chunk"]
-    signals = group.select(*keys, F.size("e").alias("n"), F.posexplode("e").alias("i", "x")).select(*keys, "n", "i", F.col("x.text").alias("text"))
-    out = group.join(topics(signals, keys), keys, "left").withColumn("topics", F.coalesce("topics", F.array().cast("array<string>")))
-    ids, n = F.transform("e", lambda x: x["event_id"]), F.size("e")
-    bullets = F.transform("e", lambda x: F.concat(F.lit("- "), truncated(x["text"], 180)))
-    text = _text(F.concat(F.lit("D0 leaf summary covering "), n, F.lit(" high-signal events.")), F.element_at("e", -1)["text"], F.col("topics"), bullets)
+    group = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "text", "hook_event", "cwd", "repo_root"))).alias("e"))
+    group = written(group.withColumn("said", F.filter(F.transform("e", lambda x: x["text"]), lambda t: t != "")), "leaves")
+    out = _with_topics(group, keys, F.col("said"))
+    ids, n, last = F.transform("e", lambda x: x["event_id"]), F.size("e"), F.element_at("e", -1)
+    bullets = F.transform("said", lambda t: F.concat(F.lit("- "), truncated(t, 180)))
+    focus = F.coalesce(F.try_element_at("said", F.lit(-1)), last["hook_event"])
+    text = _text(F.concat(F.lit("D0 leaf summary covering "), n, F.lit(" high-signal events.")), focus, F.col("topics"), bullets)
     tokens = F.aggregate("e", F.lit(0).cast("long"), lambda a, x: a + token_estimate(x["text"]))
     return out.select(
         node_id(F.col("session_id"), 0, "events", ids).alias("node_id"), "session_id", F.lit(0).alias("depth"), "chunk", text.alias("summary_text"),
         token_estimate(text).alias("token_count"), tokens.alias("source_token_count"), F.lit("events").alias("source_type"),
-        ids.alias("source_ids"), ids.alias("source_event_ids"), F.col("e")[0]["ts"].alias("earliest_at"), F.element_at("e", -1)["ts"].alias("latest_at"),
-        F.element_at("e", -1)["cwd"].alias("cwd"), "topics",
+        ids.alias("source_ids"), ids.alias("source_event_ids"), n.cast("long").alias("source_event_count"), F.col("e")[0]["ts"].alias("earliest_at"), last["ts"].alias("latest_at"),
+        last["cwd"].alias("cwd"), F.coalesce(last["repo_root"], F.col("e")[0]["repo_root"]).alias("repo_root"), "topics", F.lit(NODE_VERSION).alias("summary_version"),
     )
 
 
 def condense(level: DataFrame, depth: int) -> DataFrame:
-    """Nodes of the next depth: four nodes of a session each; sessions with one node are done."""
-    w = Window.partitionBy("session_id")
-    rows = level.withColumn("many", F.count(F.lit(1)).over(w)).where("many > 1")
-    rows = rows.withColumn("up", F.floor((F.row_number().over(w.orderBy("chunk")) - 1) / FAN_IN).cast("long"))
-    fields = ["earliest_at", "node_id", "summary_text", "depth", "topics", "source_event_ids", "source_token_count", "latest_at", "cwd"]
+    """Nodes of the next depth: four nodes of a session each; sessions with one node are done.
+
+    A level's chunks count from 0 without gaps, so no order has to be made again.
+    """
+    more = level.where("chunk = 1").select("session_id")
+    rows = level.join(more, "session_id", "left_semi").withColumn("up", F.floor(F.col("chunk") / FAN_IN))
+    fields = ["earliest_at", "node_id", "summary_text", "depth", "topics", "source_event_ids", "source_event_count", "source_token_count", "latest_at", "cwd", "repo_root"]
     group = rows.groupBy("session_id", "up").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("e")).withColumnRenamed("up", "chunk")
-    keys = ["session_id", "chunk"]
-    signals = group.select(*keys, F.size("e").alias("n"), F.posexplode("e").alias("i", "x")).select(*keys, "n", "i", F.array_join("x.topics", " ").alias("text"))
-    out = group.join(topics(signals, keys), keys, "left").withColumn("topics", F.coalesce("topics", F.array().cast("array<string>")))
-    ids, n = F.transform("e", lambda x: x["node_id"]), F.size("e")
+    group = written(group, "level")
+    out = _with_topics(group, ["session_id", "chunk"], F.transform("e", lambda x: F.array_join(x["topics"], " ")))
+    ids, n, last = F.transform("e", lambda x: x["node_id"]), F.size("e"), F.element_at("e", -1)
     bullets = F.transform("e", lambda x: F.concat(F.lit("- d"), x["depth"], F.lit(" "), truncated(x["summary_text"], 180)))
     head = F.concat(F.lit(f"D{depth} condensed summary covering "), n, F.lit(f" D{depth - 1} summary nodes."))
-    text = _text(head, F.element_at("e", -1)["summary_text"], F.col("topics"), bullets)
+    text = _text(head, last["summary_text"], F.col("topics"), bullets)
+    events = F.array_distinct(F.flatten(F.transform("e", lambda x: x["source_event_ids"])))
+    total = lambda name: F.aggregate("e", F.lit(0).cast("long"), lambda a, x: a + x[name])
     return out.select(
         node_id(F.col("session_id"), depth, "nodes", ids).alias("node_id"), "session_id", F.lit(depth).alias("depth"), "chunk", text.alias("summary_text"),
-        token_estimate(text).alias("token_count"), F.aggregate("e", F.lit(0).cast("long"), lambda a, x: a + x["source_token_count"]).alias("source_token_count"),
-        F.lit("nodes").alias("source_type"), ids.alias("source_ids"), F.array_distinct(F.flatten(F.transform("e", lambda x: x["source_event_ids"]))).alias("source_event_ids"),
-        F.col("e")[0]["earliest_at"].alias("earliest_at"), F.element_at("e", -1)["latest_at"].alias("latest_at"), F.element_at("e", -1)["cwd"].alias("cwd"), "topics",
+        token_estimate(text).alias("token_count"), total("source_token_count").alias("source_token_count"),
+        F.lit("nodes").alias("source_type"), ids.alias("source_ids"), head_tail(events, 2 * END_IDS, END_IDS).alias("source_event_ids"), total("source_event_count").alias("source_event_count"),
+        F.col("e")[0]["earliest_at"].alias("earliest_at"), last["latest_at"].alias("latest_at"), last["cwd"].alias("cwd"),
+        F.coalesce(last["repo_root"], F.col("e")[0]["repo_root"]).alias("repo_root"), "topics", F.lit(NODE_VERSION).alias("summary_version"),
     )
 
 
 def dag(events: DataFrame, depths: int = MOST_DEPTH) -> DataFrame:
-    """All nodes of all depths; stops at the depth where every session has one node."""
-    level = leaves(events)
-    out = level
-    most = events.groupBy("session_id").count().agg(F.max("count")).first()[0] or 0
-    n = -(-most // LEAF_EVENTS)
-    for depth in range(1, depths + 1):
-        if n <= 1:
-            break
-        level = condense(level, depth)
-        out = out.unionByName(level)
-        n = -(-n // FAN_IN)
-    return out
+    """All nodes of all depths; stops at the depth where every session has one node. Each depth is written once.
+
+    A node holds the ids of its first and last END_IDS events, lineage() finds all of them.
+    """
+    levels = [written(leaves(events), "nodes")]
+    while len(levels) <= depths and not levels[-1].where("chunk = 1").isEmpty():
+        levels.append(written(condense(levels[-1], len(levels)), "nodes"))
+    return reduce(DataFrame.unionByName, levels)
 
 
 def edges(nodes: DataFrame) -> DataFrame:
@@ -93,7 +124,109 @@ def edges(nodes: DataFrame) -> DataFrame:
     return nodes.select("node_id", F.posexplode("source_ids").alias("position", "source_id"), "source_type")
 
 
+def lineage(nodes: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(node_id, event_id, place) of all events below nodes, or below those of `of` (node_id): edges followed down by joins."""
+    links = written(edges(nodes), "edges")
+    top = links if of is None else links.join(of.select("node_id"), "node_id", "left_semi")
+    place = F.array("position")
+    found, open_ = [], top.select("node_id", "source_id", "source_type", place.alias("path"))
+    for _ in range(MOST_DEPTH + 1):
+        open_ = written(open_, "open")
+        found.append(open_.where("source_type = 'events'"))
+        open_ = open_.where("source_type = 'nodes'")
+        if open_.isEmpty():
+            break
+        below = links.select(F.col("node_id").alias("source_id"), F.col("source_id").alias("next"), F.col("source_type").alias("next_type"), "position")
+        open_ = open_.join(below, "source_id").select("node_id", F.col("next").alias("source_id"), F.col("next_type").alias("source_type"), F.concat("path", F.array("position")).alias("path"))
+    return reduce(DataFrame.unionByName, found).select("node_id", F.col("source_id").alias("event_id"), "path")
+
+
 def top_nodes(nodes: DataFrame) -> DataFrame:
     """Each session's nodes of its largest depth."""
-    w = Window.partitionBy("session_id")
-    return nodes.withColumn("__top", F.max("depth").over(w)).where("depth = __top").drop("__top")
+    deepest = nodes.groupBy("session_id").agg(F.max("depth").alias("depth"))
+    return nodes.join(deepest, ["session_id", "depth"], "left_semi")
+
+
+def listing(nodes: DataFrame, session_id: str, limit: int = 200) -> DataFrame:
+    """A session's nodes, leaves first, in order of time."""
+    return nodes.where(F.col("session_id") == session_id).orderBy("depth", "earliest_at", "node_id").limit(limit)
+
+
+def counts(nodes: DataFrame, by: str) -> DataFrame:
+    """Nodes by depth, or by what they are made of."""
+    return nodes.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def session_sample(events: DataFrame, first: int = FIRST, last: int = LAST, recent: int = RECENT) -> DataFrame:
+    """Of each session its first and last signals and its last events of any kind: each limit is met before rows are shuffled."""
+    up, down = [F.asc("ts"), F.asc("seq")], [F.desc("ts"), F.desc("seq")]
+
+    def best(rows: DataFrame, order: list[Column], k: int) -> DataFrame:
+        at = F.row_number().over(Window.partitionBy("session_id").orderBy(*order))
+        return rows.withColumn("__at", at).where(F.col("__at") <= k).drop("__at")
+
+    signals = events.where(F.col("hook_event").isin(SIGNAL_HOOKS))
+    return best(signals, up, first).unionByName(best(signals, down, last)).unionByName(best(events, down, recent)).dropDuplicates(["session_id", "event_id"])
+
+
+def session_summaries(events: DataFrame) -> DataFrame:
+    """One summary of each session that has a source event: title, overview, topics, prompts, outcomes, tools."""
+    flags = {"is_source": F.col("hook_event").isin(SIGNAL_HOOKS) & F.col("text").isNotNull(), "is_own_tool": F.lit(False)}
+    events = events.withColumns({k: v for k, v in flags.items() if k not in events.columns})
+    names = ["ts", "event_id", "hook_event", "text", "tool_name", "cwd", "repo_root", "is_source"]
+    rows = session_sample(events.select("session_id", "seq", "is_own_tool", *names))
+    rows = rows.where(~F.col("is_own_tool") & (~F.col("hook_event").isin(SIGNAL_HOOKS) | F.col("is_source")))
+    group = rows.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("e"))
+
+    def said(*hooks: str) -> Column:
+        own = F.filter("e", lambda x: x["is_source"] & x["hook_event"].isin(*hooks) & (x["text"] != ""))
+        return F.transform(own, lambda x: x["text"])
+
+    group = group.where(F.exists("e", lambda x: x["is_source"])).withColumns({"prompts": said("UserPromptSubmit", "Note"), "outcomes": said("Stop", "PreCompact", "PostCompact")})
+    out = _with_topics(written(group, "sessions"), ["session_id"], F.concat("prompts", "outcomes"))
+    last, short = F.element_at("e", -1), lambda c: F.transform(c, lambda t: truncated(t, 120))
+    prompt, outcome = F.try_element_at("prompts", F.lit(-1)), F.try_element_at("outcomes", F.lit(-1))
+    overview = F.concat_ws(" ", F.concat(F.lit("User focus: "), truncated(prompt, 220)), F.concat(F.lit("Latest outcome: "), truncated(outcome, 220)))
+    ids = F.transform(F.filter("e", lambda x: x["is_source"]), lambda x: x["event_id"])
+    tools = F.slice(F.array_distinct(F.filter(F.transform("e", lambda x: x["tool_name"]), lambda t: F.coalesce(t, F.lit("")) != "")), 1, 8)
+    out = out.select(
+        "session_id", last["ts"].alias("updated_at"), last["cwd"].alias("cwd"), F.coalesce(last["repo_root"], F.col("e")[0]["repo_root"]).alias("repo_root"),
+        title(F.coalesce(F.get("prompts", 0), F.get("outcomes", 0), last["hook_event"])).alias("title"), F.coalesce(F.nullif(overview, F.lit("")), F.lit(NO_OVERVIEW)).alias("overview"),
+        "topics", head_tail(short(F.col("prompts")), 5, 3).alias("key_prompts"), F.slice(F.reverse(short(F.col("outcomes"))), 1, 5).alias("outcomes"), tools.alias("tools"),
+        head_tail(ids, 12, 6).alias("source_event_ids"), F.lit(SUMMARY_VERSION).alias("summary_version"),
+    )
+    out = out.withColumn("outcomes", F.reverse("outcomes"))
+    return out.withColumn("summary_text", F.concat_ws("\n", "title", "overview", "topics", "key_prompts", "outcomes", "tools"))
+
+
+def with_summaries(sessions: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Sessions, each with its summary if it has one."""
+    own = summaries.select("session_id", "updated_at", "title", "overview", "topics", "key_prompts", "outcomes", F.size("source_event_ids").cast("long").alias("source_event_count"))
+    return sessions.join(own, "session_id", "left")
+
+
+def outdated(sessions: DataFrame, summaries: DataFrame, nodes: DataFrame, limit: int | None = 5) -> DataFrame:
+    """Sessions without a summary or nodes of the present version, the latest first."""
+    newest = nodes.groupBy("session_id").agg(F.max("summary_version").alias("node_version"))
+    rows = sessions.join(summaries.select("session_id", "summary_version"), "session_id", "left").join(newest, "session_id", "left")
+    old = (F.coalesce("summary_version", F.lit(0)) < SUMMARY_VERSION) | (F.coalesce("node_version", F.lit(0)) < NODE_VERSION)
+    rows = rows.where(old).select("session_id", "last_seen").orderBy(F.desc("last_seen"), "session_id")
+    return rows if limit is None else rows.limit(limit)
+
+
+def cleanup_candidates(events: DataFrame, sessions: DataFrame, summaries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Outdated sessions that have events to make a summary of."""
+    return outdated(sessions, summaries, nodes, None).join(sources(events), "session_id", "left_semi")
+
+
+def node_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(node_id, change) that turn one set of nodes into another: delete, insert or rewrite; equal versions stay."""
+    was = old.select("node_id", F.col("summary_version").alias("was"))
+    both = was.join(new.select("node_id", F.col("summary_version").alias("now")), "node_id", "full")
+    change = F.when(F.col("now").isNull(), "delete").when(F.col("was").isNull(), "insert").when(F.col("was") != F.col("now"), "rewrite")
+    return both.select("node_id", change.alias("change")).where("change is not null")
+
+
+def stats(nodes: DataFrame) -> DataFrame:
+    """For each session, how many nodes it has and their tokens."""
+    return nodes.groupBy("session_id").agg(F.count(F.lit(1)).alias("nodes"), F.sum("token_count").alias("summary_tokens"))

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadlake.bindings import ACTIVITY_SQL, CONV_SQL, DOC_SQL, activity_events, conv_events, doc_events, read
+from threadlake.bindings import ACTIVITY_SQL, CONV_SQL, DOC_SQL, RICH_SQL, activity_events, conv_events, doc_events, read, rich_events
+from threadlake.functions import redaction
 from threadlake.functions import text as tx
-from threadlake.operators import context, files, fts, graph, rank, sessions, summaries, upkeep
+from threadlake.functions.payload import SIGNAL_HOOKS
+from threadlake.operators import context, files, fts, graph, normalize, overflow, rank, sessions, summaries, upkeep
+from threadlake.plans import summary_sql as SQL
+from threadlake.storage import shared_dir, written
 from threadlake.streaming import ingest
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 QUERY = "the and tion or"
-STOP_SQL = "(" + ", ".join(f"'{w}'" for w in tx.STOP_WORDS) + ")"
+LOOSE = "the rewh orre inoran"
 
 
 def query(sql: str | None = None, binding: str = ""):
@@ -65,7 +67,7 @@ def session_list_overlap(spark, d):
 
 @query(ROLL + "SELECT count(*) AS sessions, CAST(coalesce(sum(total_tokens), 0) AS BIGINT) AS total_tokens FROM roll", CONV_SQL)
 def usage_totals(spark, d):
-    return sessions.usage(sessions.rollup(conv_events(spark, d)))
+    return sessions.usage(sessions.rollup(conv_events(spark, d))).select("sessions", "total_tokens")
 
 
 ORACLES_RECURSIVE = (
@@ -78,7 +80,117 @@ ORACLES_RECURSIVE = (
 
 @query(ORACLES_RECURSIVE)
 def usage_roots_descendants(spark, d):
-    return sessions.usage_with_descendants(sessions.rollup(conv_events(spark, d)), cwd="/w/1")
+    return sessions.usage_with_descendants(sessions.rollup(conv_events(spark, d)), cwd="/w/1").select("sessions", "total_tokens")
+
+
+FIELDS = ["turn_id", "agent_id", "parent_session_id", "agent_role", "model", *sessions.COUNTERS, "is_source", "is_suggestion", "is_own_tool"]
+
+
+@query("SELECT event_id, session_id, sha256(text) AS said, (is_source OR is_suggestion) AND NOT is_own_tool AS is_indexed, " + ", ".join(FIELDS) + " FROM ev", RICH_SQL)
+def event_fields(spark, d):
+    """What payloads carry: ids, parents, counters, what an event says, and whether summaries and search read it."""
+    return rich_events(spark, d).select("event_id", "session_id", F.sha2("text", 256).alias("said"), "is_indexed", *FIELDS)
+
+
+RICH_ROLL = """, roll AS (
+  SELECT session_id, min(ts) AS first_seen, max(ts) AS last_seen, arg_max(cwd, seq) AS cwd, arg_max(repo_root, seq) FILTER (repo_root IS NOT NULL) AS repo_root,
+         arg_max(parent_session_id, seq) FILTER (parent_session_id IS NOT NULL) AS parent_session_id, arg_max(agent_role, seq) AS agent_role, arg_max(model, seq) AS model,
+         max(total_input_tokens) AS total_input_tokens, max(cached_input_tokens) AS cached_input_tokens, max(output_tokens) AS output_tokens,
+         max(reasoning_output_tokens) AS reasoning_output_tokens, max(total_tokens) AS total_tokens, count(*) AS event_count
+  FROM ev GROUP BY session_id) """
+SUMS = ", ".join(f"CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}" for c in sessions.COUNTERS)
+
+
+def _rich_roll(spark, d):
+    return sessions.rollup(rich_events(spark, d)).drop("git_branch", "agent_nickname", "reasoning_effort")
+
+
+@query(RICH_ROLL + "SELECT * FROM roll", RICH_SQL)
+def session_fields(spark, d):
+    return _rich_roll(spark, d)
+
+
+@query(RICH_ROLL + f"SELECT count(*) AS sessions, {SUMS} FROM roll", RICH_SQL)
+def usage_counters(spark, d):
+    return sessions.usage(_rich_roll(spark, d))
+
+
+@query(
+    "WITH RECURSIVE " + RICH_SQL + RICH_ROLL + f""", tree AS (SELECT session_id FROM roll WHERE parent_session_id IS NULL
+    UNION SELECT r.session_id FROM roll r JOIN tree t ON r.parent_session_id = t.session_id) SELECT count(*) AS sessions, {SUMS} FROM roll JOIN tree USING (session_id)"""
+)
+def usage_counters_descendants(spark, d):
+    return sessions.usage_with_descendants(_rich_roll(spark, d))
+
+
+@query("SELECT 'conv-3' AS identifier, 'conv-3' AS session_id FROM ev WHERE session_id = 'conv-3' GROUP BY 1 UNION ALL SELECT 'agent-2', arg_max(session_id, seq) FROM ev WHERE agent_id = 'agent-2' HAVING count(*) > 0 UNION ALL SELECT 'nobody', NULL", RICH_SQL)
+def resolve_sessions(spark, d):
+    e = rich_events(spark, d)
+    asked = spark.createDataFrame([("conv-3",), (" agent-2 ",), ("nobody",), ("",)], "identifier string")
+    return normalize.resolve(sessions.rollup(e), e, asked)
+
+
+@query("SELECT event_id, hook_event FROM ev WHERE is_source AND NOT is_own_tool", RICH_SQL)
+def source_events(spark, d):
+    return summaries.sources(rich_events(spark, d)).select("event_id", "hook_event")
+
+
+@query("SELECT event_id, concat_ws(chr(10), hook_event, session_id, cwd, repo_root, tool_name, turn_id) AS head FROM ev", RICH_SQL)
+def search_texts(spark, d):
+    """What the index reads of an event, but for the payload at its end."""
+    return rich_events(spark, d).select("event_id", F.expr("substr(search_text, 1, length(search_text) - length(payload) - 1)").alias("head"))
+
+
+SUMMARY_FIELDS = "session_id, updated_at, cwd, title, overview, array_to_string(topics, ', ') AS topics, array_to_string(key_prompts, ' | ') AS key_prompts, array_to_string(outcomes, ' | ') AS outcomes, array_to_string(tools, ', ') AS tools, array_to_string(source_event_ids, ' ') AS source_event_ids"
+
+
+def _joined(df, *arrays):
+    seps = {"key_prompts": " | ", "outcomes": " | ", "source_event_ids": " "}
+    return df.withColumns({c: F.array_join(c, seps.get(c, ", ")) for c in arrays})
+
+
+@query(SQL.session_summaries() + f" SELECT {SUMMARY_FIELDS} FROM summaries", RICH_SQL)
+def session_summaries(spark, d):
+    out = _joined(summaries.session_summaries(rich_events(spark, d)), "topics", "key_prompts", "outcomes", "tools", "source_event_ids")
+    return out.select("session_id", "updated_at", "cwd", "title", "overview", "topics", "key_prompts", "outcomes", "tools", "source_event_ids")
+
+
+@query(RICH_ROLL + SQL.session_summaries() + " SELECT r.session_id, r.last_seen, r.event_count, s.title, s.overview, CAST(len(s.source_event_ids) AS BIGINT) AS source_event_count FROM roll r LEFT JOIN summaries s USING (session_id) ORDER BY last_seen DESC, session_id LIMIT 50", RICH_SQL)
+def session_list_summaries(spark, d):
+    e = rich_events(spark, d)
+    page = sessions.listing(sessions.rollup(e))
+    return summaries.with_summaries(page, summaries.session_summaries(e)).select("session_id", "last_seen", "event_count", "title", "overview", "source_event_count")
+
+
+@query(RICH_ROLL + SQL.session_summaries() + " SELECT session_id, last_seen FROM roll WHERE session_id NOT IN (SELECT session_id FROM summaries WHERE CAST(substr(session_id, 6) AS BIGINT) % 4 > 0) ORDER BY last_seen DESC, session_id LIMIT 5", RICH_SQL)
+def stale_summaries(spark, d):
+    """The latest sessions whose summary is missing or old: a quarter of the stored ones is made old."""
+    e = rich_events(spark, d)
+    old = F.substring("session_id", 6, 9).cast("long") % 4 == 0
+    held = summaries.session_summaries(e).withColumn("summary_version", F.col("summary_version") - old.cast("int"))
+    nodes = summaries.leaves(e)
+    return summaries.outdated(sessions.rollup(e), held, nodes)
+
+
+@query(SQL.session_summaries() + ", z AS (SELECT session_id FROM summaries) SELECT (SELECT max(ts) FROM ev) AS latest_event_at, (SELECT max(ts) FROM ev WHERE is_source AND NOT is_own_tool) AS latest_node_at, 0 AS max_depth, (SELECT count(DISTINCT session_id) FROM ev WHERE is_source AND NOT is_own_tool) AS sessions_with_nodes, (SELECT count(*) FROM z) AS sessions_with_summary", RICH_SQL)
+def freshness(spark, d):
+    e = rich_events(spark, d)
+    return sessions.freshness(e, summaries.leaves(e), summaries.session_summaries(e))
+
+
+@query(ROLL + "SELECT * FROM roll", CONV_SQL)
+def touched_sessions(spark, d):
+    """Sessions rolled up in two steps, the second for those alone that new events touch: the same as in one."""
+    e = conv_events(spark, d)
+    fresh = e.where("seq % 9 = 0")
+    before = written(sessions.rollup(e.where("seq % 9 <> 0")), "before")
+    return sessions.rebuilt(before, e, fresh, sessions.rollup)
+
+
+@query(RICH_ROLL + "SELECT r.session_id, count(e.event_id) AS event_count FROM roll r LEFT JOIN (SELECT * FROM ev WHERE seq % 3 = 0 AND ts >= '2026-01-02') e USING (session_id) GROUP BY 1", RICH_SQL)
+def recounted_sessions(spark, d):
+    e = rich_events(spark, d)
+    return sessions.recount(sessions.rollup(e), e.where("seq % 3 = 0 and ts >= '2026-01-02'")).select("session_id", "event_count")
 
 
 @query(ROLL + "SELECT session_id, last_seen FROM roll WHERE cwd = '/w/2' ORDER BY last_seen DESC, session_id LIMIT 1", CONV_SQL)
@@ -220,7 +332,7 @@ def retention_expiry(spark, d):
 
 @query("SELECT event_id, hook_event FROM ev WHERE hook_event IN ('UserPromptSubmit', 'Note', 'Stop', 'PreCompact', 'PostCompact')", ACTIVITY_SQL)
 def high_signal_filter(spark, d):
-    return activity_events(spark, d).where(F.col("hook_event").isin("UserPromptSubmit", "Note", "Stop", "PreCompact", "PostCompact")).select("event_id", "hook_event")
+    return activity_events(spark, d).where(F.col("hook_event").isin(SIGNAL_HOOKS)).select("event_id", "hook_event")
 
 
 @query(
@@ -245,7 +357,7 @@ def overflow_search(spark, d):
 
 
 TERMS = f""", t0 AS (SELECT event_id, list_filter(list_transform(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_-]+'), lambda w: regexp_replace(w, '^-+|-+$', '', 'g')),
-   lambda w: length(w) >= 2 AND w NOT IN {STOP_SQL} AND (regexp_matches(w, '[-0-9]') OR length(w) >= 3)) AS kept FROM ev) """
+   lambda w: length(w) >= 2 AND w NOT IN {SQL.STOP_SQL} AND (regexp_matches(w, '[-0-9]') OR length(w) >= 3)) AS kept FROM ev) """
 
 
 @query(TERMS + "SELECT event_id, array_to_string(kept[1:80], ' ') AS terms FROM t0", DOC_SQL)
@@ -263,12 +375,45 @@ def token_estimates(spark, d):
     return doc_events(spark, d).select("event_id", tx.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("SELECT event_id, sha256(concat_ws('|', hook_event, session_id, ts, sha256(text))) AS id FROM ev", DOC_SQL)
+@query("SELECT event_id, sha256(hook_event || chr(0) || session_id || chr(0) || ts || chr(0) || sha256(text)) AS id, 'unknown-' || substr(sha256(hook_event || chr(0) || cwd || chr(0) || sha256(text)), 1, 12) AS session FROM ev", DOC_SQL)
 def event_ids(spark, d):
-    return doc_events(spark, d).select("event_id", F.sha2(F.concat_ws("|", "hook_event", "session_id", "ts", F.sha2("text", 256)), 256).alias("id"))
+    raw = F.sha2("text", 256)
+    return doc_events(spark, d).select("event_id", normalize.event_id(F.col("hook_event"), F.col("session_id"), F.col("ts"), raw).alias("id"), normalize.fallback_session(F.col("hook_event"), F.col("cwd"), raw).alias("session"))
+
+
+@query(
+    """, k AS (SELECT event_id, (regexp_extract_all(text, '[A-Za-z]+'))[1:2] AS w, seq FROM ev), n AS (SELECT event_id, array_to_string(w, '_') || (['Token', '_key', 'ApiKey', '-password', '_tokens_total', 'private-key', 'Budget'])[seq % 7 + 1] AS key FROM k),
+    p AS (SELECT event_id, key, list_filter(regexp_split_to_array(lower(regexp_replace(key, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[^a-z0-9]+'), lambda x: x <> '') AS parts FROM n)
+    SELECT event_id, key, list_has_any(parts, ['api', 'auth', 'authorization', 'bearer', 'cookie', 'credential', 'password', 'private', 'secret', 'token', 'database', 'tokens']) OR regexp_matches(array_to_string(parts, ''), 'tokens?$|^(api|private|secret)key$')
+      OR (list_contains(parts, 'key') AND (list_contains(parts, 'api') OR list_contains(parts, 'private'))) AS secret,
+      list_has_any(parts, ['token', 'tokens']) AND list_has_any(parts, ['budget', 'count', 'estimated', 'limit', 'remaining', 'total', 'used', 'window']) AS metric FROM p""",
+    DOC_SQL,
+)
+def secret_keys(spark, d):
+    """Keys made of the first words of documents and seven endings, by the classifier of secrets."""
+    words = F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), 1, 2)
+    ends = F.array(*[F.lit(x) for x in ("Token", "_key", "ApiKey", "-password", "_tokens_total", "private-key", "Budget")])
+    keys = doc_events(spark, d).select("event_id", F.concat(F.array_join(words, "_"), F.get(ends, (F.col("seq") % 7).cast("int"))).alias("key"))
+    return keys.select("event_id", "key", redaction.is_secret_key(F.col("key")).alias("secret"), redaction.is_token_metric(F.col("key")).alias("metric"))
 
 
-POST = r", toks AS (SELECT event_id AS doc, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS t FROM ev), post AS (SELECT doc, unnest(t) AS term, unnest(range(len(t))) AS pos FROM toks), dl AS (SELECT doc, len(t) AS dl FROM toks WHERE len(t) > 0) "
+@query("SELECT event_id, sha256(regexp_replace(text, 'token = \"[^\"]*\"', 'token = \"[REDACTED:secret]\"', 'g')) AS sha256, CAST(len(regexp_extract_all(text, 'token = \"[^\"]+\"')) AS BIGINT) AS redactions FROM ev", DOC_SQL)
+def redact_assignments(spark, d):
+    """Documents without secrets; theirs are quoted tokens, tests have all other forms."""
+    out = doc_events(spark, d).select("event_id", redaction.redacted(F.col("text")).alias("r"))
+    return out.select("event_id", F.sha2("r.text", 256).alias("sha256"), F.col("r.redactions").alias("redactions"))
+
+
+@query("SELECT CAST(sum(len(regexp_extract_all(text, 'token = \"[^\"]+\"'))) AS BIGINT) AS redactions, CAST(count(*) FILTER (strlen(text) > 16384) AS BIGINT) AS cut FROM ev", DOC_SQL)
+def normalized_inputs(spark, d):
+    """Documents as raw prompts through the normalizer: secrets redacted, strings over 64 KiB cut, all with ids."""
+    none = F.lit(None).cast("string")
+    raw = doc_events(spark, d).select(F.to_json(F.struct(F.concat(F.lit("x" * 49_152), "text").alias("prompt"), "session_id")).alias("raw"), "hook_event", "ts", "seq", "cwd", none.alias("env_session_id"), none.alias("repo_root"), none.alias("git_branch"))
+    e = normalize.normalized(raw.withColumnRenamed("cwd", "env_cwd"))
+    return e.agg(F.sum(F.size("redactions")).alias("redactions"), F.sum(F.size("truncations")).alias("cut"))
+
+
+POST = r", toks AS (SELECT event_id AS doc, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\p{L}\p{N}]+') AS t FROM ev), post AS (SELECT doc, unnest(t) AS term, unnest(range(len(t))) AS pos FROM toks), dl AS (SELECT doc, len(t) AS dl FROM toks WHERE len(t) > 0) "
 
 
 @query(POST + "SELECT (SELECT count(*) FROM post) AS tokens, (SELECT count(DISTINCT term) FROM post) AS terms, (SELECT count(*) FROM dl) AS docs", DOC_SQL)
@@ -277,24 +422,40 @@ def fts_postings_stats(spark, d):
     return p.agg(F.count(F.lit(1)).alias("tokens"), F.countDistinct("term").alias("terms"), F.countDistinct("doc").alias("docs"))
 
 
-def _bm25_sql(having: str) -> str:
-    return POST + f""", tf AS (SELECT doc, term, count(*) AS f FROM post WHERE term IN ('the', 'and', 'tion', 'or') GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+def _bm25_sql(words: str, having: str = "") -> str:
+    return POST + f""", tf AS (SELECT doc, term, count(*) AS f FROM post WHERE term IN ({words}) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
     n AS (SELECT (SELECT count(*) FROM ev) AS n, (SELECT sum(dl) FROM dl) / (SELECT count(*) FROM ev) AS avgdl),
     s AS (SELECT doc, -sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score, count(*) AS k
       FROM tf JOIN df USING (term) JOIN dl USING (doc), n GROUP BY doc {having})
     SELECT doc, round(score, 6) AS score FROM s"""
 
 
-@query(_bm25_sql("HAVING count(*) = 4"), DOC_SQL)
+def _tier(spark, d, text, every):
+    docs = doc_events(spark, d).select(F.col("event_id").alias("key"), "session_id", "text", F.col("ts").alias("at"))
+    return rank.Matches(docs, text, ["key", "session_id", "at"]).tier(every).select(F.col("key").alias("doc"), F.round("score", 6).alias("score"))
+
+
+@query(_bm25_sql("'the', 'and', 'tion', 'or'", "HAVING count(*) = 4"), DOC_SQL)
 def fts_strict(spark, d):
-    e = doc_events(spark, d)
-    return fts.bm25(fts.postings(e), e.count(), fts.query_phrases(QUERY), True).select("doc", F.round("score", 6).alias("score"))
+    return _tier(spark, d, QUERY, True)
 
 
-@query(_bm25_sql(""), DOC_SQL)
+@query(_bm25_sql("'rewh', 'orre', 'inoran'"), DOC_SQL)
 def fts_relaxed(spark, d):
+    """The second tier: words that say something, any of them; 'the' is none."""
+    return _tier(spark, d, LOOSE, False)
+
+
+@query(_bm25_sql("'rewh', 'orre', 'inoran'"), DOC_SQL)
+def fts_stored(spark, d):
+    """The same from a stored index that got the documents in two batches, the second with some of the first again."""
     e = doc_events(spark, d)
-    return fts.bm25(fts.postings(e), e.count(), fts.query_phrases(QUERY), False).select("doc", F.round("score", 6).alias("score"))
+    index = fts.Index(spark, shared_dir(spark))
+    index.add(e.where("seq % 3 <> 0"))
+    index.add(e.where("seq % 3 <> 1"))
+    phrases = fts.relaxed_phrases(LOOSE)
+    rows = fts.scored(written(index.matched(phrases), "m"), index.sizes(), list(range(len(phrases))), False)
+    return rows.select("doc", F.round("score", 6).alias("score"))
 
 
 LEAF = ", r AS (SELECT *, (row_number() OVER (PARTITION BY session_id ORDER BY ts, seq) - 1) // 8 AS chunk FROM ev), leaf AS (SELECT session_id, chunk, count(*) AS n, min(ts) AS earliest_at, max(ts) AS latest_at, 'summary:' || session_id || ':d0:' || substr(sha256(session_id || chr(10) || '0' || chr(10) || 'events' || chr(10) || string_agg(event_id, chr(10) ORDER BY ts, event_id)), 1, 24) AS node_id FROM r GROUP BY session_id, chunk) "
@@ -305,13 +466,14 @@ def summary_leaf_nodes(spark, d):
     return summaries.leaves(doc_events(spark, d)).select("node_id", "session_id", "chunk", F.size("source_ids").cast("long").alias("n"), "earliest_at", "latest_at")
 
 
-@query(
-    LEAF + """, c AS (SELECT session_id, count(*) AS d0, (count(*) + 3) // 4 AS d1, (count(*) + 15) // 16 AS d2 FROM leaf GROUP BY session_id)
-    SELECT 0 AS depth, CAST(sum(d0) AS BIGINT) AS n FROM c UNION ALL SELECT 1, CAST(sum(d1) AS BIGINT) FROM c WHERE d0 > 1 HAVING count(*) > 0 UNION ALL SELECT 2, CAST(sum(d2) AS BIGINT) FROM c WHERE d1 > 1 HAVING count(*) > 0""",
-    DOC_SQL,
-)
+@query(SQL.dag() + " SELECT depth, count(*) AS n FROM nodes GROUP BY depth", DOC_SQL)
 def nodes_by_depth(spark, d):
-    return summaries.dag(doc_events(spark, d)).groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
+    return summaries.counts(summaries.dag(doc_events(spark, d)), "depth")
+
+
+@query(SQL.dag() + " SELECT source_type, count(*) AS n FROM nodes GROUP BY source_type", DOC_SQL)
+def nodes_by_source(spark, d):
+    return summaries.counts(summaries.dag(doc_events(spark, d)), "source_type")
 
 
 @query(LEAF + ", e AS (SELECT session_id, chunk, node_id, event_id, ts FROM leaf JOIN r USING (session_id, chunk)) SELECT node_id, event_id AS source_id, CAST(row_number() OVER (PARTITION BY node_id ORDER BY ts, event_id) - 1 AS INTEGER) AS position FROM e", DOC_SQL)
@@ -319,57 +481,157 @@ def summary_edges(spark, d):
     return summaries.edges(summaries.leaves(doc_events(spark, d))).select("node_id", "source_id", "position")
 
 
-@query()
+@query(SQL.dag() + " SELECT node_id, unnest(source_ids) AS source_id, CAST(unnest(range(len(source_ids))) AS INTEGER) AS position, source_type FROM nodes", DOC_SQL)
 def summary_dag_edges(spark, d):
     """Edges of all depths; summary_edges, with its SQL, has those of leaves."""
     return summaries.edges(summaries.dag(doc_events(spark, d))).select("node_id", "source_id", "position", "source_type")
 
 
-@query()
+@query(SQL.dag() + ", x AS (SELECT *, chunk * CAST(power(4, depth) AS BIGINT) AS lo, (chunk + 1) * CAST(power(4, depth) AS BIGINT) AS hi FROM nodes) SELECT x.node_id, r.event_id FROM x JOIN r ON r.session_id = x.session_id AND r.chunk >= lo AND r.chunk < hi", DOC_SQL)
+def summary_lineage(spark, d):
+    """All events below each node."""
+    return summaries.lineage(summaries.dag(doc_events(spark, d))).select("node_id", "event_id")
+
+
+@query(SQL.dag() + " SELECT node_id, session_id, depth, summary_text, token_count, source_token_count, n_events AS source_event_count, array_to_string(topics, ', ') AS topics FROM nodes", DOC_SQL)
 def summary_dag(spark, d):
-    return summaries.dag(doc_events(spark, d)).select("node_id", "session_id", "depth", "summary_text", "token_count", F.array_join("topics", ", ").alias("topics"))
+    return summaries.dag(doc_events(spark, d)).select("node_id", "session_id", "depth", "summary_text", "token_count", "source_token_count", "source_event_count", F.array_join("topics", ", ").alias("topics"))
 
 
-@query()
+@query(SQL.dag() + " SELECT node_id, session_id, depth FROM nodes QUALIFY depth = max(depth) OVER (PARTITION BY session_id)", DOC_SQL)
 def summary_top_nodes(spark, d):
     return summaries.top_nodes(summaries.dag(doc_events(spark, d))).select("node_id", "session_id", "depth")
 
 
-@query()
+@query(SQL.dag() + ", z AS (SELECT * FROM nodes WHERE session_id <> 'src3'), o AS (SELECT * FROM nodes WHERE session_id <> 'src2') SELECT coalesce(z.node_id, o.node_id) AS node_id, CASE WHEN z.node_id IS NULL THEN 'insert' WHEN o.node_id IS NULL THEN 'delete' ELSE 'rewrite' END AS change FROM o FULL JOIN z USING (node_id) WHERE z.node_id IS NULL OR o.node_id IS NULL OR o.depth = 1", DOC_SQL)
+def node_changes(spark, d):
+    """From nodes without src3, and depth 1 of an old version, to nodes without src2; named from the later to the earlier."""
+    nodes = summaries.dag(doc_events(spark, d))
+    old = nodes.where("session_id <> 'src3'").withColumn("summary_version", F.col("summary_version") - (F.col("depth") == 1).cast("int"))
+    return summaries.node_changes(old, nodes.where("session_id <> 'src2'"))
+
+
+@query(SQL.dag() + SQL.ranked(LOOSE) + " SELECT node_id, depth, focused_hits, directness, hits, support FROM rk", DOC_SQL)
 def rank_nodes(spark, d):
-    return rank.rank_nodes(summaries.dag(doc_events(spark, d)), QUERY)
+    return rank.rank_nodes(summaries.dag(doc_events(spark, d)), LOOSE)
 
 
-@query()
-def search_sessions(spark, d):
+def _memory(spark, d):
     e = doc_events(spark, d)
-    return rank.search(e, summaries.dag(e), sessions.rollup(e), QUERY)
+    return context.Memory(e, written(sessions.rollup(e), "sessions"), summaries.dag(e), written(summaries.session_summaries(e), "summaries"))
 
 
-@query()
+def _search_sql(text: str, exclude: tuple[str, ...] = ()) -> str:
+    flags = DOC_SQL.replace("ev AS (", "ev_ AS (", 1) + ", ev AS (SELECT *, text IS NOT NULL AS is_source, FALSE AS is_own_tool, CAST(NULL AS VARCHAR) AS tool_name FROM ev_)"
+    # A session of these has more than 400 events only from sf1 on: the sample is the whole.
+    return "WITH " + flags + SQL.dag() + SQL.session_summaries() + SQL.search(text, exclude)
+
+
+@query(_search_sql(QUERY))
+def search_sessions(spark, d):
+    m = _memory(spark, d)
+    return rank.search(m.events, m.nodes, m.summaries, m.sessions, QUERY).drop("reasons", "snippet")
+
+
+@query(_search_sql(QUERY, ("src1", "src2")))
 def search_excluding(spark, d):
-    e = doc_events(spark, d)
-    return rank.search(e, summaries.dag(e), sessions.rollup(e), QUERY, exclude=("src1", "src2"))
+    m = _memory(spark, d)
+    return rank.search(m.events, m.nodes, m.summaries, m.sessions, QUERY, exclude=("src1", "src2")).drop("reasons", "snippet")
 
 
 @query()
+def search_snippets(spark, d):
+    """The sessions that are found, with reasons and the best line of their best match."""
+    m = _memory(spark, d)
+    return rank.search(m.events, m.nodes, m.summaries, m.sessions, LOOSE).select("session_id", "kind", "reasons", "snippet")
+
+
+@query("SELECT session_id FROM (SELECT session_id, max(ts) AS last_seen FROM ev GROUP BY 1) ORDER BY last_seen DESC, session_id LIMIT 10", DOC_SQL)
+def search_without_words(spark, d):
+    e = doc_events(spark, d)
+    s = sessions.rollup(e)
+    none = summaries.leaves(e.where("false"))
+    return rank.search(e, none, summaries.session_summaries(e.where("false")), s, "  ").select("session_id")
+
+
+@query(
+    SQL.dag() + """, p AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, seq DESC) AS back FROM ev),
+    q AS (SELECT session_id, string_agg(concat_ws(chr(10), hook_event, session_id, cwd, nullif(text, '')), chr(10) ORDER BY ts, seq) AS t, max(ts) AS latest_event_at FROM p WHERE back <= 80 GROUP BY session_id),
+    s AS (SELECT session_id, sum(token_count) AS st, count(*) AS nodes FROM nodes GROUP BY session_id),
+    a AS (SELECT session_id, """ + SQL.tokens("t") + """ AS recent_tokens, CAST(coalesce(st, 0) AS BIGINT) AS summary_tokens, coalesce(nodes, 0) AS nodes, latest_event_at FROM q LEFT JOIN s USING (session_id))
+    SELECT *, recent_tokens + summary_tokens AS total_tokens, CASE WHEN recent_tokens >= 20000 THEN 'over_context' WHEN recent_tokens >= 15000 THEN 'over_limit' WHEN recent_tokens >= 12000 THEN 'near_limit' ELSE 'under_limit' END AS state FROM a""",
+    DOC_SQL,
+)
 def context_plan(spark, d):
     e = doc_events(spark, d)
-    return context.plan(e, summaries.dag(e), 20_000, 15_000)
+    return context.plan(e, summaries.dag(e), sessions.rollup(e), 20_000, 15_000).drop("advice")
 
 
 @query()
 def pack_context(spark, d):
-    e = doc_events(spark, d)
-    return context.pack(e, summaries.dag(e), QUERY)
+    return context.pack(_memory(spark, d), QUERY).frame(spark)
 
 
 @query()
+def expand_query(spark, d):
+    return context.expand_query(_memory(spark, d), LOOSE).frame(spark)
+
+
+@query(
+    SQL.dag() + f""", top AS (SELECT * FROM nodes WHERE depth = 1 ORDER BY node_id LIMIT 1), below AS (SELECT unnest(source_ids) AS id, unnest(range(len(source_ids))) AS position FROM top),
+    evs AS (SELECT event_id, text, {SQL.hits('text', LOOSE)} AS hits, ts FROM r, top WHERE r.session_id = top.session_id AND r.chunk >= top.chunk * 4 AND r.chunk < top.chunk * 4 + 4)
+    SELECT 'node' AS kind, id AS source_id, 0 AS hits, summary_text AS text, CAST(b.position AS INTEGER) AS position FROM below b JOIN nodes n ON n.node_id = b.id WHERE b.position < 4
+    UNION ALL (SELECT 'event', event_id, hits, text, CAST(row_number() OVER (ORDER BY hits DESC, ts, event_id) - 1 AS INTEGER) AS position FROM evs ORDER BY hits DESC, ts, event_id LIMIT 4)""",
+    DOC_SQL,
+)
 def expand_node(spark, d):
     e = doc_events(spark, d)
     nodes = summaries.dag(e, 1)
     top = nodes.where("depth = 1").agg(F.min("node_id")).first()[0]
-    return context.expand(nodes, e, top or "", QUERY)
+    m = context.Memory(e, e.limit(0), nodes, e.limit(0))
+    return context.expand(m, top, LOOSE) if top else summaries.leaves(e.limit(0)).selectExpr("'node' kind", "node_id source_id", "0L hits", "summary_text text", "0 position").limit(0)
+
+
+@query(SQL.dag() + f", top AS (SELECT * FROM nodes ORDER BY node_id LIMIT 1) SELECT 'summary_node' AS target, session_id, node_id, CAST(len(source_ids) AS BIGINT) AS sources, n_events AS source_event_count, {SQL.node_title('summary_text')} AS title FROM top", DOC_SQL)
+def describe_node(spark, d):
+    m = _memory(spark, d)
+    return context.describe(m, node_id=m.nodes.agg(F.min("node_id")).first()[0])
+
+
+@query(SQL.dag() + " SELECT node_id, depth FROM nodes WHERE session_id = 'src1' ORDER BY depth, earliest_at, node_id LIMIT 200", DOC_SQL)
+def node_listing(spark, d):
+    return summaries.listing(summaries.dag(doc_events(spark, d)), "src1").select("node_id", "depth")
+
+
+@query()
+def graph_with_summaries(spark, d):
+    e = doc_events(spark, d)
+    return graph.with_summaries(e, summaries.dag(e), "src1", 60)[1].select("from_id", "to_id", "kind")
+
+
+@query(POS + ", b AS (SELECT * FROM p WHERE session_id = 'user-1') SELECT (SELECT count(*) FROM b) + 0 AS events, (SELECT count(*) FROM ck WHERE session_id = 'user-1') AS checkpoints, (SELECT count(*) - 1 FROM b) AS next", ACTIVITY_SQL)
+def graph_edges(spark, d):
+    """Edges of one session's whole graph, counted by kind."""
+    nodes, edges = graph.bounded(activity_events(spark, d), "user-1", 1_000_000)
+    n = nodes.agg(F.count_if(F.col("kind") == "event").alias("events"))
+    k = edges.agg(F.count_if(F.col("kind") == "checkpoint").alias("checkpoints"), F.count_if(F.col("kind") == "next").alias("next"))
+    return n.crossJoin(k)  # one row each
+
+
+@query(POS + """, l AS (SELECT session_id, max(position) AS position, arg_max(event_id, position) AS checkpoint FROM ck GROUP BY session_id)
+    SELECT l.session_id, checkpoint, string_agg(p.event_id, ' ' ORDER BY p.position) AS last_events FROM l JOIN p ON p.session_id = l.session_id AND p.position BETWEEN l.position - 4 AND l.position GROUP BY ALL""", ACTIVITY_SQL)
+def checkpoint_tails(spark, d):
+    return graph.checkpoint_tail(activity_events(spark, d)).withColumn("last_events", F.array_join("last_events", " "))
+
+
+@query("WITH r AS (SELECT item_id, min(rank) AS rank, item_id % 2 AS half FROM (SELECT b.item_id, row_number() OVER (PARTITION BY b.item_id ORDER BY l.doc_id) + b.item_id % 3 AS rank FROM benchmark b LEFT JOIN labels l ON l.doc_id % 50 = b.item_id AND l.quality = 1) GROUP BY item_id), g AS (SELECT half, count(*) AS queries, round(avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0.0 END), 4) AS recall_at_1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 4) AS recall_at_5, round(avg(coalesce(1.0 / rank, 0)), 4) AS mean_reciprocal_rank FROM r GROUP BY GROUPING SETS ((), (half))) SELECT * FROM g")
+def retrieval_quality(spark, d):
+    """Recall and reciprocal rank, over all queries and by half, of ranks that follow from benchmark and labels."""
+    lab = read(spark, d, "labels").where("quality = 1").select((F.col("doc_id") % 50).alias("item_id"), "doc_id")
+    at = F.row_number().over(Window.partitionBy("item_id").orderBy("doc_id"))
+    ranks = read(spark, d, "benchmark").select("item_id").join(lab, "item_id", "left").withColumn("rank", at + F.col("item_id") % 3)
+    ranks = ranks.groupBy("item_id").agg(F.min("rank").alias("rank")).withColumn("half", F.col("item_id") % 2)
+    return rank.quality(ranks, ["half"])
 
 
 @query()
@@ -383,14 +645,63 @@ def truncate_strings(spark, d):
     return read(spark, d, "documents").select("doc_id", tx.utf8_prefix(F.col("text"), 64).alias("cut"))
 
 
-@query("SELECT 'file:' || substr(sha256(session_id || '|' || '/d/' || event_id || '.txt' || '|' || sha256(text)), 1, 32) AS file_id, session_id, '/d/' || event_id || '.txt' AS path, 'text/plain' AS mime, strlen(text) AS bytes FROM ev WHERE strlen(text) >= 25600", DOC_SQL)
+FILE_SQL = """, f AS (SELECT event_id, session_id, ts, text, '/d/' || event_id || (['.md', '.py', '.csv', '.txt'])[seq % 4 + 1] AS path, (['text/plain', 'text/x-code', 'text/csv', 'text/plain'])[seq % 4 + 1] AS mime FROM ev WHERE strlen(text) >= 4000)"""
+
+
+@query(
+    FILE_SQL + r""" SELECT 'file:' || substr(sha256(session_id || chr(0) || path || chr(0) || sha256(text)), 1, 32) AS file_ref_id, session_id, event_id AS observed_event_id, path, mime AS mime_type, strlen(text) AS byte_count, sha256(text) AS sha256,
+    '$.payload.files[0].content' AS source_path, CASE mime WHEN 'text/plain' THEN 'Text file at ' || path || ', ' || strlen(text) || ' bytes. Preview: ' || substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 220) || '.' END AS said FROM f""",
+    DOC_SQL,
+)
 def file_refs(spark, d):
-    return files.references(doc_events(spark, d))
+    """Long documents as contents that stand beside a path in a nested payload."""
+    ends = F.array(*[F.lit(x) for x in (".md", ".py", ".csv", ".txt")])
+    path = F.concat(F.lit("/d/"), "event_id", F.get(ends, (F.col("seq") % 4).cast("int")))
+    payload = F.to_json(F.struct(F.array(F.struct(path.alias("file_path"), F.col("text").alias("content"))).alias("files"), F.lit("x").alias("text")))
+    e = doc_events(spark, d).withColumn("payload", payload)
+    said = F.when(F.col("mime_type") == "text/plain", F.col("exploration_summary"))
+    return files.references(e, 4000).select("file_ref_id", "session_id", "observed_event_id", "path", "mime_type", "byte_count", "sha256", "source_path", said.alias("said"))
 
 
-@query("SELECT page_id, CASE WHEN regexp_matches(ltrim(html), '^[\\[{]') THEN 'application/json' WHEN lower(url) LIKE '%.html' THEN 'text/html' ELSE 'application/octet-stream' END AS mime FROM pages")
+@query(
+    r"""SELECT page_id, CASE WHEN regexp_matches(ltrim(html), '^[\[{]') OR ext = 'json' THEN 'application/json' WHEN ext = 'csv' THEN 'text/csv' WHEN ext IN ('ts', 'tsx', 'js', 'jsx', 'mjs', 'cjs') THEN 'text/x-typescript'
+    WHEN ext IN ('py', 'rb', 'go', 'rs', 'swift', 'java', 'kt', 'c', 'cc', 'cpp', 'h') THEN 'text/x-code' WHEN ext IN ('md', 'txt', 'log', 'yaml', 'yml', 'toml', 'sql', 'xml', 'html', 'css') THEN 'text/plain' ELSE 'application/octet-stream' END AS mime
+    FROM (SELECT *, lower(regexp_extract('page' || page_id || (['.html', '.PY', '.tsx', '.json', '.bin', ''])[page_id % 6 + 1], '\.([^./]*)$', 1)) AS ext FROM pages)"""
+)
 def mime_types(spark, d):
-    return read(spark, d, "pages").select("page_id", files.mime(F.col("url"), F.col("html")).alias("mime"))
+    ends = F.array(*[F.lit(x) for x in (".html", ".PY", ".tsx", ".json", ".bin", "")])
+    path = F.concat(F.lit("page"), "page_id", F.get(ends, (F.col("page_id") % 6).cast("int")))
+    return read(spark, d, "pages").select("page_id", files.mime(path, F.col("html")).alias("mime"))
+
+
+@query(
+    """, b AS (SELECT event_id, text, sha256(text) AS sha FROM ev WHERE strlen(text) > 4000)
+    SELECT 'overflow:' || sha AS file_ref_id, event_id AS observed_event_id, strlen(text) AS sanitized_byte_count, sha256(text) AS content_sha FROM b""",
+    DOC_SQL,
+)
+def overflow_refs(spark, d):
+    """Large payloads stored apart, found again by their references, and verified."""
+    e = doc_events(spark, d).withColumn("payload", F.col("text")).withColumn("original_bytes", F.octet_length("text").cast("long"))
+    folder = shared_dir(spark)
+    small, blobs = overflow.split_off(e, folder, 4000)
+    overflow.write(blobs, folder)
+    found = overflow.read(spark, folder, normalize.overflow_refs(small))
+    return found.select("file_ref_id", "observed_event_id", "sanitized_byte_count", F.sha2("content", 256).alias("content_sha"))
+
+
+@query("SELECT DISTINCT sha256(text) AS sha256 FROM ev WHERE strlen(text) > 4000 AND sha256(text) NOT IN (SELECT sha256(text) FROM ev WHERE strlen(text) > 4000 AND seq % 2 = 0)", DOC_SQL)
+def overflow_orphans(spark, d):
+    e = doc_events(spark, d).withColumn("payload", F.col("text")).withColumn("original_bytes", F.lit(None).cast("long"))
+    small, blobs = overflow.split_off(e, "/o", 4000)
+    return overflow.orphans(blobs, normalize.overflow_refs(small.where("seq % 2 = 0"))).select("sha256")
+
+
+@query(r"SELECT event_id, CASE WHEN regexp_matches(text, '^\s*<(environment_context>|developer|apps_instructions>|skills_instructions>|plugins_instructions>)') THEN TRUE ELSE FALSE END AS synthetic FROM (SELECT event_id, CASE seq % 5 WHEN 0 THEN '  <environment_context> ' WHEN 1 THEN '<developer x>' WHEN 2 THEN '<environment>' ELSE '' END || text AS text FROM ev)", CONV_SQL)
+def synthetic_filter(spark, d):
+    from threadlake.functions.payload import synthetic
+
+    head = F.when(F.expr("seq % 5 = 0"), "  <environment_context> ").when(F.expr("seq % 5 = 1"), "<developer x>").when(F.expr("seq % 5 = 2"), "<environment>").otherwise("")
+    return conv_events(spark, d).select("event_id", F.coalesce(synthetic(F.concat(head, "text")), F.lit(False)).alias("synthetic"))
 
 
 @query(
@@ -415,12 +726,10 @@ def recovery_state(spark, d):
 
 @query("SELECT event_id, session_id, seq FROM ev", CONV_SQL)
 def stream_ingest(spark, d):
-    """Events through the stream, a third of them twice, into a table in the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="threadlake-")
-    base = f"{base.rstrip('/')}/stream-{spark.sql('select uuid()').first()[0]}"
+    """Events through the stream, a third of them twice, in several batches, into a table in the shared folder, as it is."""
+    base = shared_dir(spark)
     given = _twice(spark, d)
-    given.repartition(3).write.parquet(f"{base}/in")
-    ingest.ingest(ingest.open_stream(spark, given.schema, f"{base}/in"), f"{base}/table", f"{base}/checkpoint")
-    w = Window.partitionBy("event_id").orderBy("seq")
-    out = spark.read.parquet(f"{base}/table").withColumn("at", F.row_number().over(w)).where("at = 1")
-    return out.select("event_id", "session_id", "seq")
+    given.repartition(6).write.parquet(f"{base}/in")
+    ingest.ingest(ingest.open_stream(spark, given.schema, f"{base}/in", 2), f"{base}/table", f"{base}/checkpoint")
+    # Which of two arrivals comes first is the stream's to say: both have one sequence number but for a constant.
+    return ingest.read_table(spark, given.schema, f"{base}/table").select("event_id", "session_id", F.expr("seq % 1000000000").alias("seq"))

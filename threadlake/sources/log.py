@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from threadlake.operators.ordering import numbered
 
 ENVELOPE = "schema_version int, event_id string, timestamp string, hook_event string, session_id string, cwd string, repo_root string, tool_name string, raw_input_sha256 string, original_bytes long, sanitized_bytes long"
 
@@ -17,6 +20,26 @@ def read_log(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
     return parsed.where(ok).select("e.*", "payload", "segment"), parsed.where(~ok).select("line", "segment")
 
 
+def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """(segment, line_no from 0, byte_offset, line) of a log's files: where each line stands."""
+    rows = spark.read.option("recursiveFileLookup", "true").text(list(paths))
+    rows = rows.select(F.col("_metadata.file_path").alias("segment"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("line"))
+    rows = numbered(rows, "segment", "block", "row", name="line_no")
+    before = F.sum(F.octet_length("line") + 1).over(Window.partitionBy("segment").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.select("segment", "line_no", F.coalesce(before, F.lit(0)).alias("byte_offset"), F.regexp_replace("line", "\r$", "").alias("line"))
+
+
+def at(lines: DataFrame, segment: str, line_no: int) -> DataFrame:
+    """The event at a place of the log."""
+    line = lines.where((F.col("segment") == segment) & (F.col("line_no") == line_no))
+    return line.select(F.from_json("line", ENVELOPE).alias("e"), F.get_json_object("line", "$.payload").alias("payload")).select("e.*", "payload")
+
+
+def quarantine(malformed: DataFrame, path: str) -> None:
+    """What could not be read, by segment, size and hash, and the lines themselves, beside the log."""
+    malformed.select("segment", F.octet_length("line").cast("long").alias("length"), F.sha2("line", 256).alias("sha256"), "line").write.mode("append").parquet(path)
+
+
 def append_log(events: DataFrame, path: str, per_file: int = 100_000) -> None:
     """Append events as gzipped JSON lines; the commit protocol makes it whole or nothing."""
     events.write.mode("append").option("maxRecordsPerFile", per_file).option("compression", "gzip").json(path)
@@ -27,3 +50,10 @@ def log_stats(events: DataFrame, malformed: DataFrame) -> DataFrame:
     good = events.groupBy("segment").agg(F.count(F.lit(1)).alias("events"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
     bad = malformed.groupBy("segment").agg(F.count(F.lit(1)).alias("malformed"))
     return good.join(bad, "segment", "full").na.fill(0, ["events", "malformed"])
+
+
+def storage_stats(spark: SparkSession, *paths: str) -> DataFrame:
+    """Files and bytes of a log's segments, gzipped or not."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)).select("path", "length")
+    zipped = F.col("path").endswith(".gz")
+    return files.groupBy(zipped.alias("compressed")).agg(F.count(F.lit(1)).alias("segments"), F.sum("length").alias("bytes"))
