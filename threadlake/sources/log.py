@@ -22,7 +22,7 @@ def read_log(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
 
 def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
     """(segment, line_no from 0, byte_offset, line) of a log's files: where each line stands."""
-    rows = spark.read.option("recursiveFileLookup", "true").text(list(paths))
+    rows = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(list(paths))
     rows = rows.select(F.col("_metadata.file_path").alias("segment"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("line"))
     rows = numbered(rows, "segment", "block", "row", name="line_no")
     before = F.sum(F.octet_length("line") + 1).over(Window.partitionBy("segment").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))

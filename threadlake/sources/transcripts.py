@@ -25,7 +25,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
     Large files are read in splits: a line's place follows from its split's start and its row in the split.
     """
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path)
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("lineSep", "\n").text(path)
     rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.regexp_replace("value", "\r$", "").alias("line"))
     return numbered(rows, "file", "block", "row", name="line_no").select("file", "line_no", "line")
 
@@ -118,12 +118,12 @@ def raw_inputs(records: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [talk.select(*names), rows.where(F.col("source_text").isNull()).select(*names)])
 
 
-def inputs_of(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(inputs for normalize.normalized(), records, errors) of all transcripts under a path."""
+def inputs_of(spark: SparkSession, path: str, cwd: str = ".") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(inputs for normalize.normalized(), records, errors) of all transcripts under a path; cwd is where sessions without one are."""
     records, errors = decoded(read_lines(spark, path))
     rows = raw_inputs(records)
     none = F.lit(None).cast("string")
-    return rows.select("raw", "hook_event", "ts", F.col("line_no").alias("seq"), F.lit("").alias("env_cwd"), none.alias("env_session_id"), "repo_root", "git_branch", "file"), records, errors
+    return rows.select("raw", "hook_event", "ts", F.col("line_no").alias("seq"), F.lit(cwd).alias("env_cwd"), none.alias("env_session_id"), "repo_root", "git_branch", "file"), records, errors
 
 
 def report(events: DataFrame, records: DataFrame, errors: DataFrame, known: DataFrame) -> DataFrame:
