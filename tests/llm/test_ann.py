@@ -39,3 +39,18 @@ def test_few_and_none(spark):
     assert nearest(spark.createDataFrame([(0, [1.0, 0.0])], schema), 20, 5).count() == 0
     got = nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 0.0])], schema), 20, 5).orderBy("rank").collect()
     assert [(r["vec_id"], r["score"]) for r in got] == [(2, 1.0), (1, 0.5)]
+
+
+def test_a_far_vector_hides_no_inner_products(spark):
+    """One vector is 5000 times as long as the others; vectors of another length take no part."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((600, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[7] *= 5000
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, [1.0, 2.0]), (1020, [1.0] * 17)]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20, 10, shard_vectors=250).collect()
+    score = x @ x.T
+    np.fill_diagonal(score, -np.inf)
+    best = {i: set(np.argsort(-score[i])[:10].tolist()) for i in range(0, 600, 20)}
+    found = sum(r["vec_id"] in best[r["query_id"]] for r in got)
+    assert {r["query_id"] for r in got} == set(best) and found >= 0.95 * 10 * len(best)

@@ -76,8 +76,8 @@ class Graph:
         """Nearest first, keep an edge unless a kept one's end is nearer to it by the relaxed factor."""
         near = np.unique(near)
         near = near[near != node]
-        x = self.x[near]
-        far = ((x - self.x[node]) ** 2).sum(axis=1)
+        x = self.x[near] - self.x[node]  # seen from the node, so that a common large component cancels first
+        far = (x**2).sum(axis=1)
         by = np.argsort(far, kind="stable")
         near, far, x = near[by], far[by], x[by]
         dots = x @ x.T
@@ -93,16 +93,23 @@ class Graph:
                 alive &= between[i] > far
         return near[kept]
 
-    def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Beam search from the entry for each lifted query: node ids (-1: none), nearest first, and distances."""
+    def search(self, queries: np.ndarray, beam: int, inner: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Beam search from the entry for each lifted query: node ids (-1: none), nearest first, and distances.
+
+        inner: order by the largest inner product instead, which is the same order for queries of lift 0 but
+        keeps its precision where one vector is far longer than the others.
+        """
+
+        def away(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            return -np.einsum("ij,ij->i", x, y) if inner else ((x - y) ** 2).sum(axis=1)
+
         q = queries.astype(np.float32)
-        rows = np.arange(len(q))
         ids = np.full((len(q), beam), -1, np.int32)
         dist = np.full((len(q), beam), np.inf, np.float32)
         open_ = np.zeros((len(q), beam), bool)
         seen = np.zeros((len(q), self.n), bool)
         ids[:, 0], open_[:, 0] = self.entry, True
-        dist[:, 0] = ((q - self.x[self.entry]) ** 2).sum(axis=1)
+        dist[:, 0] = away(q, np.broadcast_to(self.x[self.entry], q.shape))
         seen[:, self.entry] = True
         while True:
             live = np.flatnonzero(open_.any(axis=1))
@@ -117,8 +124,7 @@ class Graph:
                 continue
             seen[live[r], near[r, c]] = True
             d = np.full(near.shape, np.inf, np.float32)
-            diff = self.x[near[r, c]] - q[live[r]]
-            d[r, c] = np.einsum("ij,ij->i", diff, diff)
+            d[r, c] = away(self.x[near[r, c]], q[live[r]])
             all_d = np.concatenate([dist[live], d], axis=1)
             all_i = np.concatenate([ids[live], np.where(new, near, -1)], axis=1)
             all_o = np.concatenate([open_[live], new], axis=1)
@@ -160,7 +166,7 @@ def _search(norm: float, k: int, beam: int):
         for at in range(0, len(right), QUERY_BATCH):
             part = right.iloc[at : at + QUERY_BATCH]
             q = np.array(part["vector"].tolist(), np.float64)
-            ids, _ = g.search(g.lifted(q), max(beam, 2 * k))
+            ids, _ = g.search(g.lifted(q), max(beam, 2 * k), inner=True)
             # k + 1: one of a query's results may be the query's own vector
             score = np.where(ids >= 0, (exact[ids] * q[:, None, :]).sum(axis=2), -np.inf)
             by = np.lexsort((reps[ids], -score), axis=1)[:, : k + 1]
@@ -188,8 +194,8 @@ def nearest(
     so each distinct vector keeps those, found by partial lists in salted groups; hot vectors make no hot task.
     Repeated ids count as one row for each distinct vector. Distinct vectors are dealt to shards of about
     `shard_vectors`; each shard's graph is built and written once, then all queries search every shard, and the
-    shards' results are merged. All vectors must have one length. An empty table gives an empty result; other
-    columns are ignored.
+    shards' results are merged. Vectors of another length than most rows have (the longer one of two that are as
+    frequent) take no part. An empty table gives an empty result; other columns are ignored.
 
     Returns query_id, rank (from 1), vec_id, score (inner product in double precision).
     """
@@ -198,6 +204,8 @@ def nearest(
     v = v.where("vec_id is not null and vector is not null").where(~F.exists("vector", bad) & F.exists("vector", lambda x: x != 0))
     v = v.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0)))  # -0.0 equals 0.0
     v = save(v.withColumn("key", F.md5(F.to_json("vector"))), "vectors")
+    common = v.groupBy(F.size("vector").alias("length")).count().orderBy(F.desc("count"), F.desc("length")).first()
+    v = v.where(F.size("vector") == (common["length"] if common else 0))
     n = v.count()
     square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
     norm = float(v.agg(F.max(F.sqrt(square))).first()[0] or 0.0)
