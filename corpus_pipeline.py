@@ -1,7 +1,9 @@
 """The corpus pipeline: five stages over documents, each by one operator of threadlake.llm.
 
 Every stage takes (spark, docs, sf_dir) and reads all that the one before it kept. Null doc_ids and texts
-are rows like any other, and rows that share an id are judged each for itself.
+are rows like any other, and rows that share an id are judged each for itself; of rows that are equal in
+all, dedup keeps one. Columns beside doc_id and text, whatever their names, are carried along by all stages
+but the last; texts of any length are read whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,42 +22,48 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.accepted(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
-def _rows(docs: DataFrame, nulls_first: bool) -> DataFrame:
-    """docs with __row, a number of each row's own in the order of doc_id: the id itself where ids are unique."""
+def _rows(docs: DataFrame, nulls_first: bool) -> tuple[DataFrame, str]:
+    """docs with a number of each row's own in the order of doc_id (the id itself where ids are unique), and its name."""
+    name = "__row"
+    while name in docs.columns:
+        name += "_"
     n, distinct = docs.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
     if n == distinct:
-        return docs.withColumn("__row", F.col("doc_id"))
+        return docs.withColumn(name, F.col("doc_id")), name
     by = F.col("doc_id").asc_nulls_first() if nulls_first else F.col("doc_id").asc_nulls_last()
     # The text's hash deals out the rows of one id; numbers rise with the partition and the place in it.
     order = [by, F.xxhash64("text")]
-    return save(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__row", F.monotonically_increasing_id()), "rows")
+    return save(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
 
-def _as_docs(rows: DataFrame) -> DataFrame:
+def _as_docs(rows: DataFrame, name: str) -> DataFrame:
     """What an operator judges: the rows' numbers as ids, so that it tells rows of one id apart."""
-    return rows.select(F.col("__row").alias("doc_id"), "text")
+    return rows.select(F.col(name).alias("doc_id"), "text")
 
 
-def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+def _without(rows: DataFrame, name: str, dropped: DataFrame) -> DataFrame:
     """rows whose number is not among the dropped ones, without the numbers."""
-    dropped = dropped.select(F.col("doc_id").alias("__row"))
-    return rows.join(sized(save(dropped, "dropped"), 16), "__row", "left_anti").drop("__row")
+    dropped = dropped.select(F.col("doc_id").alias(name))
+    return rows.join(sized(save(dropped, "dropped"), 16), name, "left_anti").drop(name)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts: that of the largest id, a null id being less than all others."""
+    """One row of each group of equal texts: that of the largest id, a null id being less than all others.
+
+    The rows meet a new digest index in ranges of their numbers; its anti-join and append decide.
+    """
     small_batches(spark)
-    rows = _rows(docs, nulls_first=True)
-    judged = digest_index.dedup(_as_docs(rows), digest_index.fresh_index(spark))
-    return _without(rows, judged.where("not kept")).select(*docs.columns)
+    rows, name = _rows(docs, nulls_first=True)
+    judged = digest_index.dedup(_as_docs(rows, name), digest_index.fresh_index(spark, rows.count()))
+    return _without(rows, name, judged.where("not kept")).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near duplicates: that of the smallest id, a null id being more than all others."""
     small_batches(spark)
-    rows = _rows(docs, nulls_first=False)
-    judged = jaccard.near_duplicates(_as_docs(rows))
-    return _without(rows, judged.where("not is_kept")).select(*docs.columns)
+    rows, name = _rows(docs, nulls_first=False)
+    judged = jaccard.near_duplicates(_as_docs(rows, name))
+    return _without(rows, name, judged.where("not is_kept")).select(*docs.columns)
 
 
 def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
