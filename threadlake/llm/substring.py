@@ -17,8 +17,8 @@ from .shared import save, sized, text_or_empty
 STRETCH = 1 << 20
 #: The doubling of lengths starts below so many words.
 LEAST_LENGTH = 8
-#: Bits of the second hash that are not compared: 64 + 48 bits are.
-CHECK_SHIFT = 16
+#: Bits of the second hash that are not compared: 64 + 40 bits are.
+CHECK_SHIFT = 24
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -225,7 +225,7 @@ def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
     still be shared: a full window that two documents share has the same least part in both. Those that two
     documents have are extended to the next length; the last one is the window itself, where the later
     documents' windows are the result. For 13 words the lengths are 7 and 13. Full windows are equal if 64
-    bits of one hash of their words and 48 of another, independent one are.
+    bits of one hash of their words and 40 of another, independent one are.
     Counting is by aggregation with partial results; joins are by hash and can be split where one
     passage is very frequent. Only hashes and places are shuffled, never texts, unless the spans exceed
     what may be broadcast.
