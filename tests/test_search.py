@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from threadlake.functions import args
 from threadlake.functions import text as tx
 from threadlake.operators import context, fts, graph, ordering, rank, sessions, summaries, upkeep
+from threadlake.storage import written
 from threadlake.streaming import ingest
 
 EVENT = "event_id string, session_id string, ts string, seq long, hook_event string, cwd string, repo_root string, parent_session_id string, tool_name string, turn_id string, tool_use_id string, text string, tokens long"
@@ -23,8 +24,8 @@ def frame(spark, rows):
 
 
 def memory(events):
-    nodes = summaries.dag(events)
-    return context.Memory(events, sessions.rollup(events), nodes, summaries.session_summaries(events))
+    events = written(events)
+    return context.Memory(events, written(sessions.rollup(events)), written(summaries.dag(events)), written(summaries.session_summaries(events)))
 
 
 @pytest.mark.parametrize("query", ["alpha", "alpha beta", "beta-gamma delta", "über alpha", "none"])
@@ -79,14 +80,16 @@ def test_nodes_with_direct_titles_rank_first(spark):
     assert rank.search_nodes(nodes, "plain", 5).count() == 1 and rank.search_nodes(nodes, "", 2).count() == 2
 
 
-def long_session(spark, n=64):
+@pytest.fixture(scope="module")
+def m(spark):
+    """A long session with one sentence to find, and a short one elsewhere."""
+    n = 64
     rows = [("main", "UserPromptSubmit" if i % 2 == 0 else "Stop", "the needle is hidden in drawer seven" if i == 3 else f"step {i} of ordinary work on the parser") for i in range(n)]
     return memory(frame(spark, [*rows, ("side", "Note", "a side note on gardening", "/g")]))
 
 
 @pytest.mark.parametrize("budget", [16, 120, 800])
-def test_packs_keep_to_their_budget(spark, budget):
-    m = long_session(spark)
+def test_packs_keep_to_their_budget(m, budget):
     out = context.pack(m, "needle drawer", budget)
     assert out.chars <= max(16, budget) * 4 + 18 and out.tokens <= budget + 5
     if budget >= 120:
@@ -96,8 +99,7 @@ def test_packs_keep_to_their_budget(spark, budget):
         assert "summary" in kinds and kinds == sorted(kinds, key=["event", "note", "summary", "checkpoint"].index)
 
 
-def test_packs_without_words_and_of_given_sessions(spark):
-    m = long_session(spark)
+def test_packs_without_words_and_of_given_sessions(m):
     plain = context.pack(m, "", 1200)
     assert {i[2] for i in plain.items} == {"side"} and any(i[1] == "note" for i in plain.items)
     given = context.pack(m, "", 1200, session_ids=["main"])
@@ -106,8 +108,7 @@ def test_packs_without_words_and_of_given_sessions(spark):
     assert {i[2] for i in context.pack(m, "ordinary", 1200, current="main").items} == {"main"}
 
 
-def test_expanding_a_query_reaches_the_evidence(spark):
-    m = long_session(spark)
+def test_expanding_a_query_reaches_the_evidence(m):
     assert m.nodes.agg(F.max("depth")).first()[0] == 2
     out = context.expand_query(m, "needle drawer", 2000)
     assert "drawer seven" in out.markdown and not out.truncated and {i[1] for i in out.items} == {"event", "summary"}
@@ -121,8 +122,7 @@ def test_expanding_a_query_reaches_the_evidence(spark):
         context.expand_query(m, "  ")
 
 
-def test_describe_and_expand_nodes(spark):
-    m = long_session(spark)
+def test_describe_and_expand_nodes(m):
     top = summaries.top_nodes(m.nodes.where("session_id = 'main'")).first()
     assert top["source_event_count"] == 64 and summaries.lineage(m.nodes, m.nodes.where(F.col("node_id") == top["node_id"])).count() == 64
     got = context.expand(m, top["node_id"], "needle").collect()
@@ -136,8 +136,7 @@ def test_describe_and_expand_nodes(spark):
         context.describe(m)
 
 
-def test_graphs_take_summaries_with_their_lineage(spark):
-    m = long_session(spark)
+def test_graphs_take_summaries_with_their_lineage(m):
     assert [graph.summary_budget(n) for n in (4, 20, 40, 200)] == [1, 8, 10, 50]
     nodes, edges = graph.with_summaries(m.events, m.nodes, "main", 40)
     kinds = {r["kind"]: r["count"] for r in nodes.groupBy("kind").count().collect()}

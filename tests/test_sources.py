@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from threadlake.operators import normalize, overflow
 from threadlake.sources import log, transcripts
+from threadlake.storage import written
 
 
 def event(i, **more):
@@ -63,7 +64,7 @@ def test_transcripts_become_events(spark, tmp_path):
     (tmp_path / f"rollout-{UUID}.jsonl").write_text("\n".join([json.dumps({"type": "event_msg", "timestamp": "2026-01-02T00:00:00Z", "payload": {"type": "user_message", "message": "own"}}), json.dumps({"type": "session_meta", "payload": {"id": "foreign"}}), rows[3]]))
     (tmp_path / "skip.txt").write_text("x")
     inputs, good, errors = transcripts.inputs_of(spark, str(tmp_path), "/here")
-    e = normalize.read_payload(normalize.normalized(inputs))
+    e = written(normalize.read_payload(normalize.normalized(inputs)))
     got = [(r["session_id"], r["hook_event"], r["text"]) for r in e.orderBy("ts", "seq").collect()]
     want = [
         ("s1", "SessionStart", ""), ("s1", "TurnContext", ""), ("s1", "UserPromptSubmit", "hello"), ("s1", "UserPromptSubmit", "hello"), ("s1", "Stop", "hi"),

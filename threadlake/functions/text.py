@@ -14,14 +14,16 @@ STOP_WORDS = [
     "the", "then", "there", "this", "to", "was", "we", "what", "when", "where", "which", "who", "why", "will", "with", "would", "you",
 ]
 # Token patterns in the order they are applied, with what replaces them.
+# A border of words in ASCII stands for \b, which differs between dialects.
+_BORDER = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 TOKEN_PATTERNS = [
     (r"(?i)(?<![A-Za-z0-9_])([a-z][a-z0-9+.-]*://[^:\s/@]*:)(?!\[REDACTED:secret\])([^@\s/]+)(@)", "$1[REDACTED:secret]$3"),
     (r"(?i)Authorization:\s*Bearer\s+(?!\[REDACTED:token\])[^\s\"']+", "Authorization: Bearer [REDACTED:token]"),
     (r"(?<![A-Za-z0-9_])Bearer\s+(?!\[REDACTED:token\])[^\s\"']+", "Bearer [REDACTED:token]"),
-    (r"(?<![A-Za-z0-9_])(sk-[A-Za-z0-9]+)[-_][A-Za-z0-9_-]{6,}(?![A-Za-z0-9_])", "$1_[REDACTED:token]"),
+    (r"(?<![A-Za-z0-9_])(sk-[A-Za-z0-9]+)[-_][A-Za-z0-9_-]{6,}" + _BORDER, "$1_[REDACTED:token]"),
     (r"(?<![A-Za-z0-9_])ghp_[A-Za-z0-9_]{20,}(?![A-Za-z0-9_])", "ghp_[REDACTED:token]"),
     (r"(?<![A-Za-z0-9_])github_pat_[A-Za-z0-9_]{20,}(?![A-Za-z0-9_])", "github_pat_[REDACTED:token]"),
-    (r"(?<![A-Za-z0-9_])xox[baprs]-[A-Za-z0-9-]{16,}(?![A-Za-z0-9_])", "xox[REDACTED:token]"),
+    (r"(?<![A-Za-z0-9_])xox[baprs]-[A-Za-z0-9-]{16,}" + _BORDER, "xox[REDACTED:token]"),
     (r"(?<![A-Za-z0-9_])AKIA[0-9A-Z]{16}(?![A-Za-z0-9_])", "AKIA[REDACTED:token]"),
 ]
 PRIVATE_KEY = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"
