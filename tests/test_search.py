@@ -70,6 +70,7 @@ def test_sessions_with_more_evidence_come_first(spark):
     assert rank.search(m.events, m.nodes, m.summaries, m.sessions, "zebra").count() == 0
     assert [r["session_id"] for r in rank.search(m.events, m.nodes, m.summaries, m.sessions, "rollout", exclude=("big",)).collect()] == ["tiny"]
     assert rank.search(m.events, m.nodes, m.summaries, m.sessions, "rollout", cwd="/elsewhere").count() == 0
+    assert rank.search(m.events, m.nodes, m.summaries, m.sessions, "!?").count() == 0
 
 
 def test_nodes_with_direct_titles_rank_first(spark):

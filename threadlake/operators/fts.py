@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from threadlake.functions.text import query_terms
@@ -71,25 +71,22 @@ def _count(hits: Column, phrase: list[str]) -> Column:
     return F.size(first).cast("long")
 
 
-def matched(docs: DataFrame, phrases: list[list[str]]) -> DataFrame:
+def matched(docs: DataFrame, phrases: list[list[str]], seen: Observation | None = None) -> DataFrame:
     """docs whose text has one of the phrases, with dl, its number of tokens, and f, each phrase's count.
 
-    Nothing is shuffled: a text's tokens are cut down to the query's where it is read.
+    Nothing is shuffled: a text's tokens are cut down to the query's where it is read. seen observes n, all
+    documents that were read, and total, all their tokens.
     """
     wanted = sorted({t for p in phrases for t in p})
     rows = docs.withColumn("__tokens", tokens(F.col("text"))).withColumn("dl", F.size("__tokens").cast("long"))
+    if seen is not None:
+        rows = rows.observe(seen, F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total"))
     hits = F.filter(F.transform("__tokens", lambda t, i: F.struct(i.alias("p"), t.alias("t"))), lambda h: h["t"].isin(wanted) if wanted else F.lit(False))
     rows = rows.withColumn("__hits", hits).where(F.size("__hits") > 0)
     f = F.array(*[_count(F.col("__hits"), p) for p in phrases]) if phrases else F.array().cast("array<long>")
     return rows.withColumn("f", f).drop("__tokens", "__hits").where(F.exists("f", lambda n: n > 0))
 
 
-def sizes(docs: DataFrame) -> tuple[int, int]:
-    """How many documents there are, and how many tokens."""
-    row = docs.agg(F.count(F.lit(1)), F.sum(F.size(tokens(F.col("text"))).cast("long"))).first()
-    return row[0], row[1] or 0
-
-
 def scored(rows: DataFrame, size: tuple[int, int], which: list[int], every: bool) -> DataFrame:
     """matched() rows that have every one, or any, of the phrases `which`, with their BM25 score: smaller is better.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -51,7 +51,10 @@ def summary_index(summaries: DataFrame) -> DataFrame:
 
 
 class Matches:
-    """The rows of an index that have any of a query's phrases, written once; both tiers are read from them."""
+    """The rows of an index that have any of a query's phrases, written once; both tiers are read from them.
+
+    The index is read in one pass, which counts its documents and tokens too.
+    """
 
     def __init__(self, docs: DataFrame, query: str, keep: list[str] = KEPT):
         strict, relaxed = fts.strict_phrases(query), fts.relaxed_phrases(query)
@@ -60,9 +63,14 @@ class Matches:
         if self.which[True] == self.which[False] and len(strict) < 2:
             self.which[False] = []
         hits = term_hits(F.col("said"), query_terms(query)) if "said" in docs.columns else F.lit(0).cast("long")
-        rows = fts.matched(docs, phrases).withColumn("hits", hits)
+        if not phrases:
+            none = docs.limit(0).select(*keep, hits.alias("hits"), F.lit(0).cast("long").alias("dl"), F.array().cast("array<long>").alias("f"))
+            self.rows, self.size = none, (0, 0)
+            return
+        seen = Observation()
+        rows = fts.matched(docs, phrases, seen).withColumn("hits", hits)
         self.rows = written(rows.select(*keep, "hits", "dl", "f"), "matches")
-        self.size = fts.sizes(docs) if phrases else (0, 0)
+        self.size = (seen.get["n"], seen.get["total"] or 0)
 
     def tier(self, every: bool) -> DataFrame:
         """Rows of a tier with their score."""
