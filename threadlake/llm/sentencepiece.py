@@ -23,8 +23,8 @@ from .shared import text_or_empty
 
 SPACE = "▁"
 #: Starts of units whose best path a worker keeps, and judged pairs, before it starts anew.
-CACHE_STARTS = 900_000
-CACHE_PAIRS = 600_000
+CACHE_STARTS = 500_000
+CACHE_PAIRS = 400_000
 #: Starts of up to so many characters are kept.
 SHARED_START = 32
 # Fixed values of the model file format: kinds of pieces and of models.
