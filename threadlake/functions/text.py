@@ -58,14 +58,24 @@ def token_estimate(c: Column) -> Column:
 
 
 def signal_terms(c: Column, most: int, unique: bool) -> Column:
-    """Lower-cased words of a text that say something, the first `most` of them."""
-    words = F.transform(F.split(F.lower(c), r"[^\p{L}\p{N}_-]+"), lambda w: F.regexp_replace(w, "^-+|-+$", ""))
+    """Lower-cased words of a text that say something, the first `most` of them.
+
+    The first words are looked at alone if they have that many; a long text is looked at whole only if not.
+    """
+    words = F.split(F.lower(c), r"[^\p{L}\p{N}_-]+")
 
     def says(w: Column) -> Column:
-        return (F.length(w) >= 2) & ~w.isin(STOP_WORDS) & (w.rlike(r"^[0-9]+$") | w.rlike("[-0-9]") | (F.length(w) >= 3))
+        return (F.length(w) >= 2) & ~w.isin(STOP_WORDS) & ((F.length(w) >= 3) | w.rlike("[-0-9]"))
+
+    def kept(some: Column) -> Column:
+        out = F.filter(F.transform(some, lambda w: F.regexp_replace(w, "^-+|-+$", "")), says)
+        return F.slice(F.array_distinct(out) if unique else out, 1, most)
+
+    def chosen(w: Column) -> Column:
+        first = kept(F.slice(w, 1, 5 * most))
+        return F.when((F.size(w) <= 5 * most) | (F.size(first) >= most), first).otherwise(kept(w))
 
-    kept = F.filter(words, says)
-    return F.slice(F.array_distinct(kept) if unique else kept, 1, most)
+    return F.get(F.transform(F.array(words), chosen), 0)
 
 
 def query_terms(query: str, most: int = 12) -> list[str]:

@@ -26,8 +26,8 @@ _strings = "array<string>"
 
 
 def topics(signals: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, topics) of texts (keys, i, n, text): i from 0 in a group of n, at most a few hundred texts each."""
-    rows = signals.select(*keys, "i", "n", F.posexplode(signal_terms(F.col("text"), 80, False)).alias("k", "term"))
+    """(keys, topics) of texts' terms (keys, i, n, terms): i from 0 in a group of n, at most a few hundred texts each."""
+    rows = signals.select(*keys, "i", "n", F.posexplode("terms").alias("k", "term"))
     stat = rows.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("i", "k")).alias("first"), F.max("i").alias("last"), F.max("n").alias("n"))
     # Points for a term's frequency, shape and place.
     score = F.least("count", F.lit(2)) * 6 + F.when(F.col("term").contains("-"), 4).otherwise(0) + F.when(F.col("term").rlike("[0-9]"), 3).otherwise(0) + F.when(F.col("last") == F.col("n") - 1, 8).otherwise(0)
@@ -36,22 +36,33 @@ def topics(signals: DataFrame, keys: list[str]) -> DataFrame:
     return best.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "term"))), lambda x: x["term"]).alias("topics"))
 
 
-def _with_topics(group: DataFrame, keys: list[str], texts: Column) -> DataFrame:
-    """A written group of bounded rows with the topics of its texts; blank ones do not count."""
-    said = group.select(*keys, F.filter(texts, lambda t: F.trim(t) != "").alias("t"))
-    signals = said.select(*keys, F.size("t").alias("n"), F.posexplode("t").alias("i", "text"))
+def _with_topics(group: DataFrame, keys: list[str], terms: Column) -> DataFrame:
+    """A written group of bounded rows with the topics of its texts, given as arrays of terms; null for blank ones, which do not count."""
+    said = group.select(*keys, F.array_compact(terms).alias("t"))
+    signals = said.select(*keys, F.size("t").alias("n"), F.posexplode("t").alias("i", "terms"))
     return group.join(topics(signals, keys), keys, "left").withColumn("topics", F.coalesce("topics", F.array().cast(_strings)))
 
 
+def _said(events: DataFrame) -> DataFrame:
+    """Events with what summaries take of their text, so that texts themselves are neither sorted nor grouped."""
+    t = F.col("text")
+    return events.withColumns(
+        {
+            "speaks": F.coalesce(t != "", F.lit(False)), "terms": F.when(F.trim(t) != "", signal_terms(t, 80, False)), "heading": title(t), "line": truncated(t, 180),
+            "short": truncated(t, 120), "long": truncated(t, 220), "tokens": token_estimate(F.coalesce(t, F.lit(""))),
+        }
+    )
+
+
 def node_id(session: Column, depth: int, kind: str, ids: Column) -> Column:
     text = F.concat_ws("\n", session, F.lit(str(depth)), F.lit(kind), F.array_join(ids, "\n"))
     return F.concat(F.lit("summary:"), session, F.lit(f":d{depth}:"), F.substring(F.sha2(text, 256), 1, 24))
 
 
-def _text(head: Column, focus: Column, found: Column, bullets: Column) -> Column:
+def _text(head: Column, heading: Column, found: Column, bullets: Column) -> Column:
     topic_line = F.when(F.size(found) > 0, F.concat(F.lit("Topics: "), F.array_join(found, ", ")))
     shown = F.when(F.size(bullets) > 0, F.array_join(head_tail(bullets, 6, 3), "\n"))
-    return F.concat_ws("\n", head, F.concat(F.lit("Focus: "), title(focus)), topic_line, shown)
+    return F.concat_ws("\n", head, F.concat(F.lit("Focus: "), heading), topic_line, shown)
 
 
 def sources(events: DataFrame) -> DataFrame:
@@ -63,17 +74,17 @@ def sources(events: DataFrame) -> DataFrame:
 
 def leaves(events: DataFrame) -> DataFrame:
     """Nodes of depth 0: eight signal events of a session each, in order; the bounded group is one array."""
-    rows = numbered(sources(events).select("session_id", "ts", "seq", "event_id", "hook_event", "text", "cwd", "repo_root"), "session_id", "ts", "seq")
-    rows = rows.withColumn("chunk", F.floor(F.col("place") / LEAF_EVENTS))
-    keys = ["session_id", "chunk"]
-    group = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "text", "hook_event", "cwd", "repo_root"))).alias("e"))
-    group = written(group.withColumn("said", F.filter(F.transform("e", lambda x: x["text"]), lambda t: t != "")), "leaves")
-    out = _with_topics(group, keys, F.col("said"))
+    rows = _said(sources(events)).select("session_id", "ts", "seq", "event_id", "hook_event", "cwd", "repo_root", "speaks", "terms", "heading", "line", "tokens")
+    # Written first: dealing by ranges reads its rows twice.
+    rows = numbered(written(rows, "said"), "session_id", "ts", "seq").withColumn("chunk", F.floor(F.col("place") / LEAF_EVENTS))
+    keys, fields = ["session_id", "chunk"], ["ts", "event_id", "speaks", "heading", "line", "tokens", "terms", "hook_event", "cwd", "repo_root"]
+    group = written(rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("e")), "leaves")
+    out = _with_topics(group, keys, F.transform(F.filter("e", lambda x: x["speaks"]), lambda x: x["terms"])).withColumn("said", F.filter("e", lambda x: x["speaks"]))
     ids, n, last = F.transform("e", lambda x: x["event_id"]), F.size("e"), F.element_at("e", -1)
-    bullets = F.transform("said", lambda t: F.concat(F.lit("- "), truncated(t, 180)))
-    focus = F.coalesce(F.try_element_at("said", F.lit(-1)), last["hook_event"])
-    text = _text(F.concat(F.lit("D0 leaf summary covering "), n, F.lit(" high-signal events.")), focus, F.col("topics"), bullets)
-    tokens = F.aggregate("e", F.lit(0).cast("long"), lambda a, x: a + token_estimate(x["text"]))
+    bullets = F.transform("said", lambda x: F.concat(F.lit("- "), x["line"]))
+    heading = F.coalesce(F.try_element_at("said", F.lit(-1))["heading"], title(last["hook_event"]))
+    text = _text(F.concat(F.lit("D0 leaf summary covering "), n, F.lit(" high-signal events.")), heading, F.col("topics"), bullets)
+    tokens = F.aggregate("e", F.lit(0).cast("long"), lambda a, x: a + x["tokens"])
     return out.select(
         node_id(F.col("session_id"), 0, "events", ids).alias("node_id"), "session_id", F.lit(0).alias("depth"), "chunk", text.alias("summary_text"),
         token_estimate(text).alias("token_count"), tokens.alias("source_token_count"), F.lit("events").alias("source_type"),
@@ -92,11 +103,12 @@ def condense(level: DataFrame, depth: int) -> DataFrame:
     fields = ["earliest_at", "node_id", "summary_text", "depth", "topics", "source_event_ids", "source_event_count", "source_token_count", "latest_at", "cwd", "repo_root"]
     group = rows.groupBy("session_id", "up").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("e")).withColumnRenamed("up", "chunk")
     group = written(group, "level")
-    out = _with_topics(group, ["session_id", "chunk"], F.transform("e", lambda x: F.array_join(x["topics"], " ")))
+    subjects = F.transform("e", lambda x: F.array_join(x["topics"], " "))
+    out = _with_topics(group, ["session_id", "chunk"], F.transform(subjects, lambda t: F.when(F.trim(t) != "", signal_terms(t, 80, False))))
     ids, n, last = F.transform("e", lambda x: x["node_id"]), F.size("e"), F.element_at("e", -1)
     bullets = F.transform("e", lambda x: F.concat(F.lit("- d"), x["depth"], F.lit(" "), truncated(x["summary_text"], 180)))
     head = F.concat(F.lit(f"D{depth} condensed summary covering "), n, F.lit(f" D{depth - 1} summary nodes."))
-    text = _text(head, last["summary_text"], F.col("topics"), bullets)
+    text = _text(head, title(last["summary_text"]), F.col("topics"), bullets)
     events = F.array_distinct(F.flatten(F.transform("e", lambda x: x["source_event_ids"])))
     total = lambda name: F.aggregate("e", F.lit(0).cast("long"), lambda a, x: a + x[name])
     return out.select(
@@ -173,29 +185,27 @@ def session_summaries(events: DataFrame) -> DataFrame:
     """One summary of each session that has a source event: title, overview, topics, prompts, outcomes, tools."""
     flags = {"is_source": F.col("hook_event").isin(SIGNAL_HOOKS) & F.col("text").isNotNull(), "is_own_tool": F.lit(False)}
     events = events.withColumns({k: v for k, v in flags.items() if k not in events.columns})
-    names = ["ts", "event_id", "hook_event", "text", "tool_name", "cwd", "repo_root", "is_source"]
-    rows = session_sample(events.select("session_id", "seq", "is_own_tool", *names))
+    names = ["ts", "event_id", "hook_event", "speaks", "heading", "short", "long", "terms", "tool_name", "cwd", "repo_root", "is_source"]
+    rows = session_sample(_said(events).select("session_id", "seq", "is_own_tool", *names))
     rows = rows.where(~F.col("is_own_tool") & (~F.col("hook_event").isin(SIGNAL_HOOKS) | F.col("is_source")))
     group = rows.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("e"))
 
     def said(*hooks: str) -> Column:
-        own = F.filter("e", lambda x: x["is_source"] & x["hook_event"].isin(*hooks) & (x["text"] != ""))
-        return F.transform(own, lambda x: x["text"])
+        return F.filter("e", lambda x: x["is_source"] & x["hook_event"].isin(*hooks) & x["speaks"])
 
     group = group.where(F.exists("e", lambda x: x["is_source"])).withColumns({"prompts": said("UserPromptSubmit", "Note"), "outcomes": said("Stop", "PreCompact", "PostCompact")})
-    out = _with_topics(written(group, "sessions"), ["session_id"], F.concat("prompts", "outcomes"))
-    last, short = F.element_at("e", -1), lambda c: F.transform(c, lambda t: truncated(t, 120))
-    prompt, outcome = F.try_element_at("prompts", F.lit(-1)), F.try_element_at("outcomes", F.lit(-1))
-    overview = F.concat_ws(" ", F.concat(F.lit("User focus: "), truncated(prompt, 220)), F.concat(F.lit("Latest outcome: "), truncated(outcome, 220)))
+    out = _with_topics(written(group, "sessions"), ["session_id"], F.transform(F.concat("prompts", "outcomes"), lambda x: x["terms"]))
+    last, short = F.element_at("e", -1), lambda c: F.transform(c, lambda x: x["short"])
+    final = lambda c: F.try_element_at(c, F.lit(-1))["long"]
+    overview = F.concat_ws(" ", F.concat(F.lit("User focus: "), final(F.col("prompts"))), F.concat(F.lit("Latest outcome: "), final(F.col("outcomes"))))
     ids = F.transform(F.filter("e", lambda x: x["is_source"]), lambda x: x["event_id"])
     tools = F.slice(F.array_distinct(F.filter(F.transform("e", lambda x: x["tool_name"]), lambda t: F.coalesce(t, F.lit("")) != "")), 1, 8)
     out = out.select(
         "session_id", last["ts"].alias("updated_at"), last["cwd"].alias("cwd"), F.coalesce(last["repo_root"], F.col("e")[0]["repo_root"]).alias("repo_root"),
-        title(F.coalesce(F.get("prompts", 0), F.get("outcomes", 0), last["hook_event"])).alias("title"), F.coalesce(F.nullif(overview, F.lit("")), F.lit(NO_OVERVIEW)).alias("overview"),
-        "topics", head_tail(short(F.col("prompts")), 5, 3).alias("key_prompts"), F.slice(F.reverse(short(F.col("outcomes"))), 1, 5).alias("outcomes"), tools.alias("tools"),
+        F.coalesce(F.get("prompts", 0)["heading"], F.get("outcomes", 0)["heading"], title(last["hook_event"])).alias("title"), F.coalesce(F.nullif(overview, F.lit("")), F.lit(NO_OVERVIEW)).alias("overview"),
+        "topics", head_tail(short(F.col("prompts")), 5, 3).alias("key_prompts"), F.reverse(F.slice(F.reverse(short(F.col("outcomes"))), 1, 5)).alias("outcomes"), tools.alias("tools"),
         head_tail(ids, 12, 6).alias("source_event_ids"), F.lit(SUMMARY_VERSION).alias("summary_version"),
     )
-    out = out.withColumn("outcomes", F.reverse("outcomes"))
     return out.withColumn("summary_text", F.concat_ws("\n", "title", "overview", "topics", "key_prompts", "outcomes", "tools"))
 
 
