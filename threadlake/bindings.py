@@ -20,6 +20,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of long texts, dealt to all cores where it has fewer files than those: work on a text is far dearer than moving it."""
+    df, cores = read(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def conv_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as sessions: user prompts, assistant stops, system notes; a forest of parents."""
     c = F.col("conv_id")
@@ -67,7 +73,7 @@ def doc_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     ts = F.expr("timestamp_ntz'2026-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id as int), 0)")
     null = F.lit(None).cast("string")
-    return read(spark, sf_dir, "documents").select(
+    return read_texts(spark, sf_dir, "documents").select(
         F.concat(F.lit("d"), d).alias("event_id"), F.col("source").alias("session_id"), F.date_format(ts, _ISO).alias("ts"), d.alias("seq"),
         F.lit("UserPromptSubmit").alias("hook_event"), F.concat(F.lit("/w/"), "lang").alias("cwd"), null.alias("repo_root"), null.alias("parent_session_id"),
         null.alias("tool_name"), null.alias("turn_id"), null.alias("tool_use_id"), "text", F.length("text").cast("long").alias("tokens"),
