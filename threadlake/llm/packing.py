@@ -58,18 +58,18 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def _encoder(tokenizer_json: str) -> Encoder:
+def encoder(tokenizer_json: str) -> Encoder:
     return Encoder(tokenizer_json)
 
 
 def _pieces(tokenizer_json: str, length: int, end_id: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _encoder(tokenizer_json)
+        use = encoder(tokenizer_json)
         end = np.array([end_id], "<u4").tobytes()
         for pdf in batches:
             out = []
             for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                ids = encoder.encode(text) + end
+                ids = use.encode(text) + end
                 n = len(ids) // 4
                 head = n % length or length  # only the first piece may be shorter
                 start = 0

@@ -43,14 +43,37 @@ def clear_scratch(spark: SparkSession) -> None:
         spark.conf.unset("threadlake.scratch")
 
 
-def save(df: DataFrame, name: str = "t") -> DataFrame:
+def save(df: DataFrame, name: str = "t", compression: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, work is done once."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that save() has written; nothing may read it any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def first_ids(rows: DataFrame, k: int, per_list: int = 4096, fan_in: int = 256) -> DataFrame:
+    """(key, ids) of rows (key, id): the k smallest distinct ids of each key, in order.
+
+    Ids meet in salted parts first and parts meet level by level, so that no list holds more than about
+    per_list or fan_in * k ids, however many rows a key has.
+    """
+    least = lambda c: F.slice(F.array_sort(F.array_distinct(c)), 1, k)
+    parts = blocks_for(rows.count(), per_list)
+    lists = rows.groupBy("key", salt(F.col("id"), parts).alias("part")).agg(least(F.collect_set("id")).alias("ids"))
+    while parts > 1:
+        parts = blocks_for(parts, fan_in)
+        lists = lists.groupBy("key", (F.col("part") % parts).cast("int").alias("part")).agg(least(F.flatten(F.collect_list("ids"))).alias("ids"))
+    return lists.select("key", "ids")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound Arrow batches, so that a batch of very long texts fits in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
