@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import blocks_for, salt, save, sized, text_or_empty
-from .substring import grams, mix, word_hashes
+from .words import mix, numbered, shingles
 
 N = 5
 THRESHOLD = 0.8
@@ -30,11 +30,6 @@ _A = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + n
 _B = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
-def shingles(text: str, n: int = N) -> np.ndarray:
-    """Sorted distinct hashes of the n-grams of a text's lower-cased words; empty for fewer than n words."""
-    return np.unique(grams(word_hashes(text.lower().encode()), n))
-
-
 def signature(h: np.ndarray) -> np.ndarray:
     """16 bits of each MinHash value."""
     least = np.full(BANDS * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
@@ -63,16 +58,15 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE, st
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
-        for text in pdf["text"]:
-            h = shingles(text)
-            out.append(signature(h).tobytes() if len(h) else None)
+        for h in shingles(pdf["text"].str.lower(), N):
+            out.append(signature(h[:, 0]).tobytes() if len(h) else None)
         yield pd.DataFrame({"doc": pdf["doc"], "digest": pdf["digest"], "sig": out})
 
 
 def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Texts as their shingles, once each, however many blocks they go to."""
     for pdf in batches:
-        yield pdf.drop(columns="text").assign(grams=[shingles(t).tobytes() for t in pdf["text"]])
+        yield pdf.drop(columns="text").assign(grams=[h.tobytes() for h in shingles(pdf["text"].str.lower(), N)])
 
 
 class _Sets:
@@ -164,11 +158,11 @@ def _verify(threshold: float):
         with b = null counts links to documents of different words, and to copies of them.
         """
         pdf = pdf.sort_values(["side", "doc"], ignore_index=True)
-        held = [np.frombuffer(g, np.uint64) for g in pdf["grams"]]
+        held = [np.frombuffer(g, "<u8").reshape(-1, 2) for g in pdf["grams"]]
         size = np.array([len(h) for h in held], np.int64)
         owner = np.repeat(np.arange(len(held)), size)
-        _, column, times = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
-        shared = times[column] > 1
+        column = numbered(*np.concatenate(held).T.copy())
+        shared = np.bincount(column)[column] > 1
         owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
         both = np.zeros((len(held), len(held)), np.float64)
         by = np.argsort(column, kind="stable")
@@ -218,6 +212,8 @@ def _block_pairs(rows: DataFrame, key: str, size: str, per_block: int) -> DataFr
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """Join docs (doc_id, text) with itself where word 5-grams have a Jaccard similarity of `threshold`.
 
+    N-grams are the same if 128 bits over keyed digests of their words are.
+
     Words are lower-cased runs of characters other than blanks and tabs to carriage returns. Documents of
     the same words are one text. Texts of fewer than five words have no n-grams and no links but to copies;
     those without words have none. Rows of a null id are alone in a class of null; rows that share an id

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -12,85 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import save, sized, text_or_empty
+from .words import grams, word_hashes
 
-#: Bytes that are hashed in one stretch.
-STRETCH = 1 << 20
 #: The doubling of lengths starts below so many words.
 LEAST_LENGTH = 8
-#: Bits of the second hash that are not compared: 64 + 40 bits are.
-CHECK_SHIFT = 24
-_P = np.uint64(0x9E3779B97F4A7C15)
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    """Spread the bits of 64-bit hashes."""
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
-
-
-#: Two families of word hashes, independent of each other: bases, odd so that they have inverses, and letters.
-_BASES = (0x9E6C63D0876A9A47, 0xD1B54A32D192ED03)
-_LETTERS = tuple(np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) for seed in (11, 23))
-_BLANK = np.zeros(256, bool)
-_BLANK[[0x20, *range(0x09, 0x0E)]] = True
-
-
-@lru_cache(maxsize=2)
-def _powers(n: int, family: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of a family's base and of its inverse."""
-    out = []
-    for base in (_BASES[family], pow(_BASES[family], -1, 1 << 64)):
-        p = np.full(n, base, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
-def word_hashes(data: bytes, family: int = 0) -> np.ndarray:
-    """64-bit hashes of the words of a UTF-8 text: runs of bytes that are no blank, as bytes.split() gives them.
-
-    A word's hash is the difference of two prefix sums of letters times powers, moved to power 0; so a
-    whole text is hashed in a few array operations.
-    """
-    parts, at = [], 0
-    while at < len(data):
-        end = min(len(data), at + STRETCH)
-        while end < len(data) and not _BLANK[data[end]]:
-            end += 1
-        a = np.frombuffer(data, np.uint8, end - at, at)
-        # Stretches of one size class share their powers.
-        power, inverse = _powers(1 << max(STRETCH - 1, end - at).bit_length(), family)
-        blank = np.ones(len(a) + 2, bool)
-        blank[1:-1] = _BLANK[a]
-        edges = np.flatnonzero(blank[1:] != blank[:-1])
-        start, stop = edges[::2], edges[1::2]
-        total = np.zeros(len(a) + 1, np.uint64)
-        np.cumsum(_LETTERS[family][a] * power[: len(a)], out=total[1:])
-        parts.append(mix((total[stop] - total[start]) * inverse[start] + (stop - start).astype(np.uint64)))
-        at = end
-    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
-
-
-def grams(words: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all n consecutive word hashes; empty if there are fewer."""
-    if len(words) < n:
-        return np.empty(0, np.uint64)
-    m = len(words) - n + 1
-    # Hashes of 1, 2, 4 ... words double; those that make up n are put together.
-    size, part, parts = 1, words, {}
-    while True:
-        parts[size] = part
-        if 2 * size > n:
-            break
-        part = part[:-size] * np.uint64(pow(int(_P), size, 1 << 64)) + part[size:]
-        size *= 2
-    h, done = parts[size][:m], size
-    for s in reversed(parts):
-        if s < size and n & s:
-            h = h * np.uint64(pow(int(_P), s, 1 << 64)) + parts[s][done : done + m]
-            done += s
-    return mix(h)
 
 
 def lengths(window: int) -> list[int]:
@@ -125,15 +49,14 @@ def _level(length: int, window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Each document's windows of `length` that are to be compared, in runs of equal ones.
 
-        The last level gives the full windows themselves, with bits of a second, independent hash of the words.
+        The last level gives the full windows themselves, with the second half of their hashes.
         """
         last = length == window
         for pdf in batches:
             out, checks = [], []
             all_spans = pdf["spans"] if "spans" in pdf else [None] * len(pdf)
-            for doc, th, text, spans in zip(pdf["doc_id"], pdf["th"], pdf["text"], all_spans, strict=True):
-                data = text.encode()
-                w = word_hashes(data)
+            for doc, th, hashes, spans in zip(pdf["doc_id"], pdf["th"], word_hashes(pdf["text"]), all_spans, strict=True):
+                w = np.ascontiguousarray(hashes[:, 0])
                 live = np.full(max(0, len(w) - window + 1), spans is None)
                 for s in spans if spans is not None else ():
                     live[max(0, s["from_"]) : max(0, s["to_"] - window + 1)] = True
@@ -147,7 +70,7 @@ def _level(length: int, window: int):
                 end = np.append(first[1:], len(at)) - 1
                 out.append((np.full(len(first), doc), np.full(len(first), th), h[first], at[first], at[end] - at[first] + 1))
                 if last:
-                    checks.append((grams(word_hashes(data, 1), length)[at[first]] >> np.uint64(CHECK_SHIFT)).astype(np.int64))
+                    checks.append(grams(np.ascontiguousarray(hashes[:, 1]), length, 1)[at[first]].view(np.int64))
             frame = _frame(out)
             yield frame.assign(check=np.concatenate(checks) if checks else np.empty(0, np.int64)) if last else frame
 
@@ -224,8 +147,8 @@ def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
     At each length only the windows are compared that are the least, by hash, of some full window which may
     still be shared: a full window that two documents share has the same least part in both. Those that two
     documents have are extended to the next length; the last one is the window itself, where the later
-    documents' windows are the result. For 13 words the lengths are 7 and 13. Full windows are equal if 64
-    bits of one hash of their words and 40 of another, independent one are.
+    documents' windows are the result. For 13 words the lengths are 7 and 13. Full windows are equal if the
+    128 bits of a hash over keyed digests of their words are.
     Counting is by aggregation with partial results; joins are by hash and can be split where one
     passage is very frequent. Only hashes and places are shuffled, never texts, unless the spans exceed
     what may be broadcast.
