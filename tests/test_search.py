@@ -48,16 +48,6 @@ def test_scores_are_those_of_sqlite(spark, query):
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
 
 
-def test_a_stored_index_grows_by_batches(spark, tmp_path):
-    docs = spark.createDataFrame([("a", "one two three"), ("b", "two two"), ("c", "three two one")], "event_id string, text string")
-    index = fts.Index(spark, f"file://{tmp_path}/i")
-    index.add(docs.limit(1))
-    index.add(docs)
-    index.add(docs)
-    got = {r["doc"]: (r["dl"], r["f"]) for r in index.matched([["two"], ["one", "two"]]).collect()}
-    assert got == {"a": (3, [1, 1]), "b": (2, [2, 0]), "c": (3, [1, 0])} and index.sizes() == (3, 8)
-
-
 def test_sessions_with_more_evidence_come_first(spark):
     rows = [("big", "UserPromptSubmit" if i % 2 else "Stop", f"rollout plan retry budget step {i}") for i in range(12)] + [("tiny", "UserPromptSubmit", "rollout plan retry budget once")]
     rows += [("other", "Note", "nothing of that kind")]

@@ -98,6 +98,13 @@ def contains_term(low: Column, term: str) -> Column:
     return found
 
 
+def has_term(low: Column, term: Column) -> Column:
+    """contains_term for a term that is a column."""
+    plain = F.contains(low, term) | F.contains(F.regexp_replace(low, "[-_]+", " "), F.regexp_replace(term, "[-_]+", " "))
+    whole = F.rlike(low, F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), term, F.lit(r"(?![\p{L}\p{N}_])")))
+    return F.when(term.rlike("^[0-9]+$"), whole).when(term.rlike("[-_]"), plain).otherwise(F.contains(low, term))
+
+
 def term_hits(c: Column, terms: list[str]) -> Column:
     """How many of the terms a text has."""
     low, out = F.lower(c), F.lit(0)

@@ -1,20 +1,17 @@
-"""Full-text search: tokens, phrase tiers, BM25, and a stored index of postings that grows by batches."""
+"""Full-text search: tokens, phrase tiers, and BM25 by one scan; operators/postings.py has the stored index."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from threadlake.functions.text import query_terms
-from threadlake.storage import exists, written
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
-#: Folders that a stored index deals its terms to.
-TERM_BUCKETS = 64
 
 
 def _plain_letters() -> tuple[str, str]:
@@ -33,6 +30,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(bare, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def field_tokens(fields: Column) -> Column:
+    """The tokens of each of some texts in turn, with an empty one after each text, so that no phrase leaves it."""
+    return F.flatten(F.transform(fields, lambda t: F.concat(tokens(t), F.array(F.lit("")))))
+
+
 def words(text: str) -> list[str]:
     """tokens() of a string on the driver."""
     bare = re.sub("[̀-ͯ]", "", text.lower().translate(str.maketrans(MARKED, PLAIN)))
@@ -72,13 +74,15 @@ def _count(hits: Column, phrase: list[str]) -> Column:
 
 
 def matched(docs: DataFrame, phrases: list[list[str]], seen: Observation | None = None) -> DataFrame:
-    """docs whose text has one of the phrases, with dl, its number of tokens, and f, each phrase's count.
+    """docs whose text, or one of whose fields, has one of the phrases, with dl, the number of tokens, and f, each phrase's count.
 
     Nothing is shuffled: a text's tokens are cut down to the query's where it is read. seen observes n, all
     documents that were read, and total, all their tokens.
     """
     wanted = sorted({t for p in phrases for t in p})
-    rows = docs.withColumn("__tokens", tokens(F.col("text"))).withColumn("dl", F.size("__tokens").cast("long"))
+    fielded = "fields" in docs.columns
+    rows = docs.withColumn("__tokens", field_tokens(F.col("fields")) if fielded else tokens(F.col("text")))
+    rows = rows.withColumn("dl", (F.size("__tokens") - (F.size("fields") if fielded else 0)).cast("long"))
     if seen is not None:
         rows = rows.observe(seen, F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total"))
     hits = F.filter(F.transform("__tokens", lambda t, i: F.struct(i.alias("p"), t.alias("t"))), lambda h: h["t"].isin(wanted) if wanted else F.lit(False))
@@ -107,48 +111,3 @@ def scored(rows: DataFrame, size: tuple[int, int], which: list[int], every: bool
     for h in has[1:]:
         keep = keep & h if every else keep | h
     return rows.where(keep).withColumn("score", score)
-
-
-class Index:
-    """Postings (doc, term, positions) and documents (doc, dl) in a folder: batches are added, terms looked up.
-
-    Postings are dealt to folders by their term, so a look-up reads those of its terms alone.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def add(self, docs: DataFrame, key: str = "event_id") -> None:
-        """Add the documents that the index does not have."""
-        new = docs.select(F.col(key).alias("doc"), tokens(F.col("text")).alias("tokens")).dropDuplicates(["doc"])
-        if exists(self.spark, f"{self.path}/docs"):
-            new = new.join(self.docs(), "doc", "left_anti")
-        new = written(new, "new")
-        rows = new.select("doc", F.posexplode("tokens").alias("pos", "term")).groupBy("term", "doc").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-        rows = rows.withColumn("bucket", self._bucket(F.col("term")))
-        rows.repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(8))).write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
-        new.select("doc", F.size("tokens").cast("long").alias("dl")).write.mode("append").parquet(f"{self.path}/docs")
-
-    @staticmethod
-    def _bucket(term: Column) -> Column:
-        return F.pmod(F.crc32(term.cast("binary")), F.lit(TERM_BUCKETS)).cast("int")
-
-    def docs(self) -> DataFrame:
-        return self.spark.read.schema("doc string, dl long").parquet(f"{self.path}/docs")
-
-    def lookup(self, terms: list[str]) -> DataFrame:
-        """(doc, term, positions) of some terms."""
-        rows = self.spark.read.schema("term string, doc string, positions array<int>, bucket int").parquet(f"{self.path}/postings")
-        buckets = self.spark.createDataFrame([(t,) for t in terms] or [("",)], "t string").select(self._bucket(F.col("t"))).distinct().collect()
-        return rows.where(F.col("bucket").isin([r[0] for r in buckets]) & F.col("term").isin(terms)).drop("bucket")
-
-    def matched(self, phrases: list[list[str]]) -> DataFrame:
-        """(doc, dl, f) as matched() gives them."""
-        hits = self.lookup(sorted({t for p in phrases for t in p}))
-        hits = hits.groupBy("doc").agg(F.flatten(F.collect_list(F.transform("positions", lambda p: F.struct(p.alias("p"), F.col("term").alias("t"))))).alias("hits"))
-        rows = hits.select("doc", F.array(*[_count(F.col("hits"), p) for p in phrases]).alias("f")).where(F.exists("f", lambda n: n > 0))
-        return rows.join(self.docs(), "doc")
-
-    def sizes(self) -> tuple[int, int]:
-        row = self.docs().agg(F.count(F.lit(1)), F.sum("dl")).first()
-        return row[0], row[1] or 0

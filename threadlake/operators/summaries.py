@@ -11,18 +11,18 @@ from pyspark.sql.window import Window
 from threadlake.functions.payload import SIGNAL_HOOKS
 from threadlake.functions.text import head_tail, signal_terms, title, token_estimate, truncated
 from threadlake.operators.ordering import numbered
-from threadlake.storage import written
+from threadlake.storage import sized, written
 
 # Events of a leaf, nodes of a condensed node, depths, topics, versions of nodes and summaries.
 LEAF_EVENTS, FAN_IN, MOST_DEPTH, TOPICS = 8, 4, 8, 16
 NODE_VERSION, SUMMARY_VERSION = 3, 4
-#: Ids of events at each end that a node holds itself; edges lead to all of them.
-END_IDS = 80
 #: What a session summary reads: first and last signals, last events of any kind (fixed values).
 FIRST, LAST, RECENT = 120, 240, 40
 NO_OVERVIEW = "No high-signal user prompt or assistant outcome has been captured yet."
 
 _strings = "array<string>"
+LEAF_COLUMNS = ["session_id", "ts", "seq", "event_id", "hook_event", "cwd", "repo_root"]
+LEAF_PARTS = ["speaks", "terms", "heading", "line", "tokens"]
 
 
 def topics(signals: DataFrame, keys: list[str]) -> DataFrame:
@@ -73,10 +73,15 @@ def sources(events: DataFrame) -> DataFrame:
 
 
 def leaves(events: DataFrame) -> DataFrame:
-    """Nodes of depth 0: eight signal events of a session each, in order; the bounded group is one array."""
-    rows = _said(sources(events)).select("session_id", "ts", "seq", "event_id", "hook_event", "cwd", "repo_root", "speaks", "terms", "heading", "line", "tokens")
+    """Nodes of depth 0: eight signal events of a session each, in order."""
+    rows = _said(sources(events)).select(*LEAF_COLUMNS, *LEAF_PARTS)
     # Written first: dealing by ranges reads its rows twice.
-    rows = numbered(written(rows, "said"), "session_id", "ts", "seq").withColumn("chunk", F.floor(F.col("place") / LEAF_EVENTS))
+    return _leaves(numbered(written(rows, "said"), "session_id", "ts", "seq"))
+
+
+def _leaves(rows: DataFrame) -> DataFrame:
+    """Leaves of _said() events with their place; the bounded group is one array."""
+    rows = rows.withColumn("chunk", F.floor(F.col("place") / LEAF_EVENTS))
     keys, fields = ["session_id", "chunk"], ["ts", "event_id", "speaks", "heading", "line", "tokens", "terms", "hook_event", "cwd", "repo_root"]
     group = written(rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("e")), "leaves")
     out = _with_topics(group, keys, F.transform(F.filter("e", lambda x: x["speaks"]), lambda x: x["terms"])).withColumn("said", F.filter("e", lambda x: x["speaks"]))
@@ -96,9 +101,10 @@ def leaves(events: DataFrame) -> DataFrame:
 def condense(level: DataFrame, depth: int) -> DataFrame:
     """Nodes of the next depth: four nodes of a session each; sessions with one node are done.
 
-    A level's chunks count from 0 without gaps, so no order has to be made again.
+    A level's chunks count without gaps, so no order has to be made again; the first ones may be left out,
+    by whole groups of four.
     """
-    more = level.where("chunk = 1").select("session_id")
+    more = level.where("chunk >= 1").select("session_id").distinct()
     rows = level.join(more, "session_id", "left_semi").withColumn("up", F.floor(F.col("chunk") / FAN_IN))
     fields = ["earliest_at", "node_id", "summary_text", "depth", "topics", "source_event_ids", "source_event_count", "source_token_count", "latest_at", "cwd", "repo_root"]
     group = rows.groupBy("session_id", "up").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("e")).withColumnRenamed("up", "chunk")
@@ -114,7 +120,7 @@ def condense(level: DataFrame, depth: int) -> DataFrame:
     return out.select(
         node_id(F.col("session_id"), depth, "nodes", ids).alias("node_id"), "session_id", F.lit(depth).alias("depth"), "chunk", text.alias("summary_text"),
         token_estimate(text).alias("token_count"), total("source_token_count").alias("source_token_count"),
-        F.lit("nodes").alias("source_type"), ids.alias("source_ids"), head_tail(events, 2 * END_IDS, END_IDS).alias("source_event_ids"), total("source_event_count").alias("source_event_count"),
+        F.lit("nodes").alias("source_type"), ids.alias("source_ids"), events.alias("source_event_ids"), total("source_event_count").alias("source_event_count"),
         F.col("e")[0]["earliest_at"].alias("earliest_at"), last["latest_at"].alias("latest_at"), last["cwd"].alias("cwd"),
         F.coalesce(last["repo_root"], F.col("e")[0]["repo_root"]).alias("repo_root"), "topics", F.lit(NODE_VERSION).alias("summary_version"),
     )
@@ -123,7 +129,7 @@ def condense(level: DataFrame, depth: int) -> DataFrame:
 def dag(events: DataFrame, depths: int = MOST_DEPTH) -> DataFrame:
     """All nodes of all depths; stops at the depth where every session has one node. Each depth is written once.
 
-    A node holds the ids of its first and last END_IDS events, lineage() finds all of them.
+    A node holds the ids of all events below it, at most LEAF_EVENTS * FAN_IN ** MOST_DEPTH of them.
     """
     levels = [written(leaves(events), "nodes")]
     while len(levels) <= depths and not levels[-1].where("chunk = 1").isEmpty():
@@ -131,6 +137,44 @@ def dag(events: DataFrame, depths: int = MOST_DEPTH) -> DataFrame:
     return reduce(DataFrame.unionByName, levels)
 
 
+def changed_from(events: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(session_id, chunk): the first leaf that fresh events change in each session; events have all, fresh ones too.
+
+    Only keys are numbered, no text is read.
+    """
+    keys = sources(events).select("session_id", "ts", "seq", "event_id")
+    places = numbered(written(keys, "keys"), "session_id", "ts", "seq")
+    new = places.join(sources(fresh).select("event_id"), "event_id", "left_semi")
+    return new.groupBy("session_id").agg(F.floor(F.min("place") / LEAF_EVENTS).alias("chunk"))
+
+
+def renewed(events: DataFrame, fresh: DataFrame, stored: DataFrame, depths: int = MOST_DEPTH) -> DataFrame:
+    """Nodes of the tree of events that differ from the stored tree's, or may: those from the first changed place on.
+
+    events are all events of the sessions that fresh ones belong to, stored is those sessions' tree before.
+    Leaves from the first changed one on are made from their events; each level above from the renewed nodes
+    below it and the few stored ones that share a node with them.
+    """
+    first = sized(written(changed_from(events, fresh), "first"), 100)
+    keys = sources(events).select("session_id", "ts", "seq")
+    places = numbered(written(keys, "keys"), "session_id", "ts", "seq").join(first, "session_id").where(F.col("place") >= F.col("chunk") * LEAF_EVENTS)
+    rows = sources(events).join(places.drop("chunk"), ["session_id", "ts", "seq"])
+    levels = [written(_leaves(_said(rows).select(*LEAF_COLUMNS, *LEAF_PARTS, "place")), "nodes")]
+    while len(levels) <= depths and not levels[-1].where("chunk >= 1").isEmpty():
+        below = len(levels) - 1
+        from_ = F.floor(F.col("from_") / FAN_IN ** below)  # the level's first renewed chunk
+        beside = stored.where(F.col("depth") == below).join(first.withColumnRenamed("chunk", "from_"), "session_id")
+        beside = beside.where((F.col("chunk") < from_) & (F.floor(F.col("chunk") / FAN_IN) == F.floor(from_ / FAN_IN))).select(*levels[-1].columns)
+        levels.append(written(condense(levels[-1].unionByName(beside), len(levels)), "nodes"))
+    return reduce(DataFrame.unionByName, levels)
+
+
+def replaced(stored: DataFrame, first: DataFrame) -> DataFrame:
+    """Nodes of the stored tree from the first changed leaf (session_id, chunk) on, on all levels."""
+    rows = stored.join(first.select("session_id", F.col("chunk").alias("from_")), "session_id")
+    return rows.where(F.col("chunk") >= F.floor(F.col("from_") / F.pow(F.lit(FAN_IN), F.col("depth")))).drop("from_")
+
+
 def edges(nodes: DataFrame) -> DataFrame:
     """Node to source, with the source's place."""
     return nodes.select("node_id", F.posexplode("source_ids").alias("position", "source_id"), "source_type")

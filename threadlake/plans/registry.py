@@ -9,7 +9,7 @@ from threadlake.bindings import ACTIVITY_SQL, CONV_SQL, DOC_SQL, RICH_SQL, activ
 from threadlake.functions import redaction
 from threadlake.functions import text as tx
 from threadlake.functions.payload import SIGNAL_HOOKS
-from threadlake.operators import context, files, fts, graph, normalize, overflow, rank, sessions, summaries, upkeep
+from threadlake.operators import context, files, fts, graph, normalize, overflow, postings, rank, sessions, summaries, upkeep
 from threadlake.plans import summary_sql as SQL
 from threadlake.storage import shared_dir, written
 from threadlake.streaming import ingest
@@ -449,13 +449,14 @@ def fts_relaxed(spark, d):
 @query(_bm25_sql("'rewh', 'orre', 'inoran'"), DOC_SQL)
 def fts_stored(spark, d):
     """The same from a stored index that got the documents in two batches, the second with some of the first again."""
-    e = doc_events(spark, d)
-    index = fts.Index(spark, shared_dir(spark))
-    index.add(e.where("seq % 3 <> 0"))
-    index.add(e.where("seq % 3 <> 1"))
-    phrases = fts.relaxed_phrases(LOOSE)
-    rows = fts.scored(written(index.matched(phrases), "m"), index.sizes(), list(range(len(phrases))), False)
-    return rows.select("doc", F.round("score", 6).alias("score"))
+    docs = rank.event_index(doc_events(spark, d)).withColumn("kind", F.lit("event")).withColumn("fields", F.array(F.coalesce("said", F.lit(""))))
+    docs, n = written(docs, "docs"), F.substring("key", 2, 20).cast("long") % 3
+    index = postings.Index(spark, shared_dir(spark))
+    index.add(docs.where(n != 0))
+    index.add(docs.where(n != 1))
+    asked = written(postings.parse(spark.createDataFrame([(0, LOOSE)], "qid long, query string")), "asked").where("not every")
+    rows = index.scores(asked).join(index.documents().select("doc", F.col("key").alias("id")), "doc")
+    return rows.select(F.col("id").alias("doc"), F.round(-F.col("gain"), 6).alias("score"))
 
 
 LEAF = ", r AS (SELECT *, (row_number() OVER (PARTITION BY session_id ORDER BY ts, seq) - 1) // 8 AS chunk FROM ev), leaf AS (SELECT session_id, chunk, count(*) AS n, min(ts) AS earliest_at, max(ts) AS latest_at, 'summary:' || session_id || ':d0:' || substr(sha256(session_id || chr(10) || '0' || chr(10) || 'events' || chr(10) || string_agg(event_id, chr(10) ORDER BY ts, event_id)), 1, 24) AS node_id FROM r GROUP BY session_id, chunk) "

@@ -49,7 +49,7 @@ def topics(name: str, source: str, texts: str, keys: str) -> str:
     {name} AS (SELECT {keys}, list(term ORDER BY nr) AS topics FROM {name}_f WHERE nr <= 16 GROUP BY {keys})"""
 
 
-NODE = "node_id, session_id, depth, chunk, summary_text, token_count, source_token_count, source_type, source_ids, n_events, earliest_at, latest_at, cwd, topics"
+NODE = "node_id, session_id, depth, chunk, event_ids, summary_text, token_count, source_token_count, source_type, source_ids, n_events, earliest_at, latest_at, cwd, topics"
 
 
 def _text(head: str, focus: str, bullets: str) -> str:
@@ -70,7 +70,7 @@ def dag(depths: int = 8) -> str:
     {topics('t0', 'g0', 'said', 'session_id, chunk')},
     h0 AS (SELECT g.*, coalesce(topics, []) AS topics FROM g0 g LEFT JOIN t0 USING (session_id, chunk)),
     i0 AS (SELECT *, {_text("'D0 leaf summary covering ' || len(ids) || ' high-signal events.'", 'coalesce(said[-1], hook)', f"list_transform(said, lambda t: '- ' || {truncated('t', 180)})")} AS summary_text FROM h0),
-    n0 AS (SELECT {_id(0, 'events')} AS node_id, session_id, 0 AS depth, chunk, summary_text, {tokens('summary_text')} AS token_count, CAST(source_tokens AS BIGINT) AS source_token_count,
+    n0 AS (SELECT {_id(0, 'events')} AS node_id, session_id, 0 AS depth, chunk, ids AS event_ids, summary_text, {tokens('summary_text')} AS token_count, CAST(source_tokens AS BIGINT) AS source_token_count,
         'events' AS source_type, ids AS source_ids, CAST(len(ids) AS BIGINT) AS n_events, earliest_at, latest_at, cwd, topics FROM i0)"""
     for d in range(1, depths + 1):
         p, by = f"n{d - 1}", "ORDER BY earliest_at, node_id"
@@ -78,12 +78,12 @@ def dag(depths: int = 8) -> str:
         head = f"'D{d} condensed summary covering ' || len(ids) || ' D{d - 1} summary nodes.'"
         out += f""",
     g{d} AS (SELECT session_id, chunk // 4 AS chunk, list(node_id {by}) AS ids, list(summary_text {by}) AS below, list(array_to_string(topics, ' ') {by}) AS subjects, list(cwd {by})[-1] AS cwd,
-        min(earliest_at) AS earliest_at, list(latest_at {by})[-1] AS latest_at, sum(source_token_count) AS source_tokens, sum(n_events) AS n_events
+        min(earliest_at) AS earliest_at, list(latest_at {by})[-1] AS latest_at, flatten(list(event_ids {by})) AS event_ids, sum(source_token_count) AS source_tokens, sum(n_events) AS n_events
         FROM {p} WHERE session_id IN (SELECT session_id FROM {p} WHERE chunk = 1) GROUP BY ALL),
     {topics(f't{d}', f'g{d}', 'subjects', 'session_id, chunk')},
     h{d} AS (SELECT g.*, coalesce(topics, []) AS topics FROM g{d} g LEFT JOIN t{d} USING (session_id, chunk)),
     i{d} AS (SELECT *, {_text(head, 'below[-1]', bullets)} AS summary_text FROM h{d}),
-    n{d} AS (SELECT {_id(d, 'nodes')} AS node_id, session_id, {d} AS depth, chunk, summary_text, {tokens('summary_text')} AS token_count, CAST(source_tokens AS BIGINT) AS source_token_count,
+    n{d} AS (SELECT {_id(d, 'nodes')} AS node_id, session_id, {d} AS depth, chunk, event_ids, summary_text, {tokens('summary_text')} AS token_count, CAST(source_tokens AS BIGINT) AS source_token_count,
         'nodes' AS source_type, ids AS source_ids, CAST(n_events AS BIGINT) AS n_events, earliest_at, latest_at, cwd, topics FROM i{d})"""
     return out + ", nodes AS (" + " UNION ALL ".join(f"SELECT {NODE} FROM n{d}" for d in range(depths + 1)) + ")"
 
@@ -153,16 +153,17 @@ def search(query: str, exclude: tuple[str, ...] = (), limit: int = 10) -> str:
     words = {w.strip("-") for w in re.split(r"[^\w-]+", query.lower())}
     broad = sum(len(w) >= 3 or bool(re.search(r"[-_\d]", w)) for w in words) >= 4
     out = "WHERE session_id NOT IN (" + ", ".join(f"'{s}'" for s in exclude) + ")" if exclude else ""
-    n = f"SELECT node_id AS key, session_id, concat_ws(chr(10), summary_text, array_to_string(topics, chr(10))) AS text, summary_text AS said, latest_at AS seen, depth, n_events AS sources, source_token_count AS source_tokens FROM nodes {out}"
+    fields = "concat_ws(chr(10), session_id, cwd, coalesce(repo_root, ''), "
+    n = f"SELECT node_id AS key, session_id, {fields.replace('repo_root', 'NULL')} depth, summary_text, array_to_string(topics, chr(10)), array_to_string(event_ids, chr(10))) AS text, summary_text AS said, latest_at AS seen, depth, n_events AS sources, source_token_count AS source_tokens FROM nodes"
     text = "concat_ws(chr(10), title, overview, array_to_string(topics, chr(10)), array_to_string(key_prompts, chr(10)), array_to_string(outcomes, chr(10)), array_to_string(tools, chr(10)))"
-    s = f"SELECT session_id AS key, session_id, {text} AS text, {text} AS said, updated_at AS seen, 0 AS depth, CAST(len(source_event_ids) AS BIGINT) AS sources, 0 AS source_tokens FROM summaries {out}"
-    e = f"SELECT event_id AS key, session_id, text, text AS said, ts AS seen, 0 AS depth, 0 AS sources, 0 AS source_tokens FROM ev {out}"
+    s = f"SELECT session_id AS key, session_id, concat_ws(chr(10), cwd, {text}) AS text, {text} AS said, updated_at AS seen, 0 AS depth, CAST(len(source_event_ids) AS BIGINT) AS sources, 0 AS source_tokens FROM summaries"
+    e = f"SELECT event_id AS key, session_id, {fields} hook_event, text) AS text, text AS said, ts AS seen, 0 AS depth, 0 AS sources, 0 AS source_tokens FROM ev"
     kinds = [("mn", n, "summary_node", 4, 3, 0), ("ms", s, "session_summary", 3, 2, k), ("me", e, "event", 1, 1, 2 * k)]
     parts = ",".join(matched(name, source, query, k) for name, source, *_ in kinds)
     union = " UNION ALL ".join(f"SELECT '{kind}' AS kind, {order} AS kind_order, * EXCLUDE (said, place), {hits('said', query)} * {weight} AS row_score, place + {first} AS first FROM {name}" for name, _, kind, weight, order, first in kinds)
     best = "row_score DESC, seen DESC, first"
     return f""", {parts},
-    c0 AS ({union}),
+    c0 AS (SELECT * FROM ({union}) {out}),
     c1 AS (SELECT session_id, kind, sum(row_score) AS score, count(*) AS match_count, max(seen) AS last_match_at, max(row_score) AS best_score, min(first) AS first, any_value(kind_order) AS kind_order,
         list(key ORDER BY {best})[1] AS best_key, list(sources ORDER BY {best})[1] AS sources, list(source_tokens ORDER BY {best})[1] AS source_tokens FROM c0 GROUP BY session_id, kind),
     c2 AS (SELECT * FROM c1 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY score DESC, match_count DESC, kind_order DESC) = 1),
