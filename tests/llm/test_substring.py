@@ -56,3 +56,21 @@ def test_levels_end_when_nothing_repeats(spark):
     rows = [(i, prose(rng, 90), *[None] * 11) for i in range(20)]
     assert repeated_spans(frame(spark, rows), 60).count() == 0
     assert got(frame(spark, rows), 60) == by_force([r[:2] for r in rows], 60)
+
+
+def test_windows_meet_over_many_small_batches(spark):
+    """One passage in a third of the documents, one document that repeats a passage, batches of a few rows."""
+    rng = random.Random(12)
+    passage, other = prose(rng, 20), prose(rng, 15)
+    texts = [prose(rng, 25) + (" " + passage if i % 3 == 0 else "") for i in range(120)]
+    texts += [" ".join([other, prose(rng, 3)] * 12), other + " " + prose(rng, 5), texts[5], texts[5]]
+    rows = [(i, t, *[None] * 11) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for n in ("1", "7"):
+            spark.conf.set(name, n)
+            assert got(frame(spark, rows)) == by_force([r[:2] for r in rows])
+    finally:
+        spark.conf.set(name, before)
