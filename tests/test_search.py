@@ -151,8 +151,9 @@ def test_snippets_and_excerpts(spark):
     text = "Topics: zebra, lion\nfirst line\n" + "x " * 150 + "the zebra crossed " + "y " * 150 + "\nlast"
     r = spark.createDataFrame([(text,)], "t string").select(tx.snippet(F.col("t"), "the zebra", 60).alias("s"), tx.excerpt(F.col("t"), "zebra", 40).alias("e"), tx.snippet(F.col("t"), "nothing", 60).alias("n")).first()
     assert "the zebra" in r["s"] and r["s"].startswith("...") and len(r["s"]) <= 60 and r["n"] == "Topics: zebra, lion"
-    assert r["e"] == context.excerpt(text, "zebra", 40) and len(r["e"]) == 40
-    assert context.excerpt("abc", "x", 2) == "..." and context.excerpt("abc", "x", 0) == "" and context.excerpt("abc", "x", 9) == "abc"
+    assert "zebra" in r["e"] and len(r["e"]) == 40 and r["e"].startswith("...")
+    short = spark.createDataFrame([("abc",)], "t string").select(tx.excerpt(F.col("t"), "x", 2), tx.excerpt(F.col("t"), "x", 9)).first()
+    assert tuple(short) == ("...", "abc")
 
 
 def test_arguments():

@@ -17,7 +17,8 @@ STOP_WORDS = [
 # A border of words in ASCII stands for \b, which differs between dialects.
 _BORDER = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 TOKEN_PATTERNS = [
-    (r"(?i)(?<![A-Za-z0-9_])([a-z][a-z0-9+.-]*://[^:\s/@]*:)(?!\[REDACTED:secret\])([^@\s/]+)(@)", "$1[REDACTED:secret]$3"),
+    # A scheme is read from its last part that starts with a letter on: what stands before stays as it is anyway.
+    (r"(?i)(?<![A-Za-z0-9_])([a-z][a-z0-9]*+(?:[+.-]++[0-9][a-z0-9]*+)*+[+.-]*+://[^:\s/@]*+:)(?!\[REDACTED:secret\])([^@\s/]++)(@)", "$1[REDACTED:secret]$3"),
     (r"(?i)Authorization:\s*Bearer\s+(?!\[REDACTED:token\])[^\s\"']+", "Authorization: Bearer [REDACTED:token]"),
     (r"(?<![A-Za-z0-9_])Bearer\s+(?!\[REDACTED:token\])[^\s\"']+", "Bearer [REDACTED:token]"),
     (r"(?<![A-Za-z0-9_])(sk-[A-Za-z0-9]+)[-_][A-Za-z0-9_-]{6,}" + _BORDER, "$1_[REDACTED:token]"),
@@ -26,7 +27,8 @@ TOKEN_PATTERNS = [
     (r"(?<![A-Za-z0-9_])xox[baprs]-[A-Za-z0-9-]{16,}" + _BORDER, "xox[REDACTED:token]"),
     (r"(?<![A-Za-z0-9_])AKIA[0-9A-Z]{16}(?![A-Za-z0-9_])", "AKIA[REDACTED:token]"),
 ]
-PRIVATE_KEY = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"
+KEY_END = r"-----END [A-Z ]*PRIVATE KEY-----"
+PRIVATE_KEY = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?" + KEY_END
 
 
 def compact(c: Column) -> Column:
@@ -209,7 +211,9 @@ def iso(c: Column) -> Column:
 
 def redact_tokens(c: Column) -> Column:
     """Private keys and known token shapes replaced."""
-    c = F.regexp_replace(c, PRIVATE_KEY, "[REDACTED:secret]")
+    # Up to the last end every beginning has an end: none is looked for in vain.
+    closed = F.coalesce(F.length(F.regexp_extract(c, rf"(?s)^.*{KEY_END}", 0)), F.lit(0))
+    c = F.concat(F.regexp_replace(F.substring(c, F.lit(1), closed), PRIVATE_KEY, "[REDACTED:secret]"), F.substring(c, closed + 1, F.length(c)))
     for pattern, by in TOKEN_PATTERNS:
         c = F.regexp_replace(c, pattern, by)
     return c

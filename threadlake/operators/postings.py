@@ -193,7 +193,7 @@ class Index:
         rows = rows.groupBy("qid", "kind", "doc").agg(F.sum(F.col("idf") * _weight(F.col("f"), F.col("dl"), mean)).alias("gain"), F.count(F.lit(1)).alias("have"))
         need = asked.groupBy("qid").agg(F.max(F.when(F.col("every"), F.col("phrases")).otherwise(1)).alias("need"))
         rows = rows.join(sized(written(need, "need"), 16), "qid").where("have >= need")
-        return rows.select("qid", "kind", "doc", F.round("gain", 9).alias("gain"))
+        return rows.select("qid", "kind", "doc", "gain")
 
     def _with_attributes(self, rows: DataFrame) -> DataFrame:
         """rows (doc) with their documents' attributes; few ranges of numbers are named in the read itself."""
@@ -220,7 +220,7 @@ class Index:
         bounds = written(bounds.select("qid", "kind", "block", "bound", (F.col("at") <= first_blocks).alias("first")), "bounds")
 
         def found(blocks: DataFrame) -> DataFrame:
-            rows = written(self._scored(asked, idf, blocks, kind), "scored")
+            rows = written(self._scored(asked, idf, blocks, kind).withColumn("gain", F.round("gain", 9)), "scored")
             if wanted is None:
                 return rows
             rows = self._with_attributes(rows).join(wanted, wanted.columns, "left_semi")

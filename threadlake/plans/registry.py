@@ -9,9 +9,9 @@ from threadlake.bindings import ACTIVITY_SQL, CONV_SQL, DOC_SQL, RICH_SQL, activ
 from threadlake.functions import redaction
 from threadlake.functions import text as tx
 from threadlake.functions.payload import SIGNAL_HOOKS
-from threadlake.operators import context, files, fts, graph, normalize, overflow, postings, rank, sessions, summaries, upkeep
+from threadlake.operators import context, files, fts, graph, normalize, overflow, postings, rank, sessions, store, summaries, upkeep
 from threadlake.plans import summary_sql as SQL
-from threadlake.storage import shared_dir, written
+from threadlake.storage import file_state, shared_dir, written
 from threadlake.streaming import ingest
 
 QUERIES: dict = {}
@@ -514,37 +514,85 @@ def node_changes(spark, d):
 
 @query(SQL.dag() + SQL.ranked(LOOSE) + " SELECT node_id, depth, focused_hits, directness, hits, support FROM rk", DOC_SQL)
 def rank_nodes(spark, d):
-    return rank.rank_nodes(summaries.dag(doc_events(spark, d)), LOOSE)
+    return rank.rank_nodes(_memory(spark, d).nodes, LOOSE)
+
+
+_STORES: dict = {}
+
+
+def _stored(spark, d, name, events):
+    """The store of a table's events: brought in at the first query that reads it, and again if the table's files change."""
+    key = (spark.sparkContext.applicationId, d, name)
+    state = (spark.conf.get("threadlake.engine", None), file_state(spark, f"{d}/{name}.parquet"))
+    if key not in _STORES or _STORES[key][0] != state:
+        held = store.Store(spark, shared_dir(spark))
+        held.ingest(events(spark, d))
+        _STORES[key] = ((spark.conf.get("threadlake.engine", None), state[1]), held)
+    return _STORES[key][1]
 
 
 def _memory(spark, d):
-    e = doc_events(spark, d)
-    return context.Memory(e, written(sessions.rollup(e), "sessions"), summaries.dag(e), written(summaries.session_summaries(e), "summaries"))
+    return _stored(spark, d, "documents", doc_events).memory()
+
 
+@query(SQL.dag() + ", k AS (SELECT (SELECT count(*) FROM ev) AS events, (SELECT count(DISTINCT session_id) FROM ev) AS sessions, (SELECT count(*) FROM nodes) AS nodes, (SELECT count(DISTINCT session_id) FROM ev WHERE text IS NOT NULL) AS summaries) SELECT *, events + nodes + summaries AS documents FROM k", DOC_SQL)
+def store_documents(spark, d):
+    """Documents brought into the stored memory: what every table of it holds."""
+    held = _stored(spark, d, "documents", doc_events)
+    m = held.memory()
+    counts = [m.events.count(), m.sessions.count(), m.nodes.count(), m.summaries.count(), sum(n for n, _ in held.index.sizes.values())]
+    return spark.createDataFrame([tuple(counts)], "events long, sessions long, nodes long, summaries long, documents long")
 
-def _search_sql(text: str, exclude: tuple[str, ...] = ()) -> str:
+
+@query(SQL.dag() + " SELECT node_id, session_id, depth, summary_text, token_count, source_token_count, n_events AS source_event_count, array_to_string(topics, ', ') AS topics FROM nodes", DOC_SQL)
+def late_events_tree(spark, d):
+    """The tree after three batches, the later ones with events between those that were there: that of one build."""
+    e, held = written(doc_events(spark, d), "given"), store.Store(spark, shared_dir(spark))
+    for part in ("seq % 50 <> 7 and seq % 211 <> 3", "seq % 50 = 7", "seq % 50 <> 7 and seq % 211 = 3"):
+        held.ingest(e.where(part))
+    return held.memory().nodes.select("node_id", "session_id", "depth", "summary_text", "token_count", "source_token_count", "source_event_count", F.array_join("topics", ", ").alias("topics"))
+
+
+@query()
+def retrieval_benchmark(spark, d):
+    """Recall and reciprocal rank of real searches for sessions: exact words of a prompt, and half of them among words that no session has."""
+    held = _stored(spark, d, "conversations", conv_events)
+    m = held.memory()
+    first = m.events.where("hook_event = 'UserPromptSubmit'").groupBy("session_id").agg(F.min_by("text", "seq").alias("text"), (F.min("seq") / 100).cast("long").alias("conv"))
+    terms = tx.signal_terms(F.col("text"), 12, True)
+    asked = written(first.where("conv % 10 = 0").withColumn("t", terms).where(F.size("t") > 1), "asked")
+    half = F.concat(F.filter("t", lambda _, i: i % 2 == 0), F.array(F.lit("zzunheardof"), F.lit("qqunspoken")))
+    kinds = {"exact": F.slice("t", 1, 8), "paraphrase": half}
+    cases = [asked.select((F.col("conv") * 2 + i).alias("qid"), "session_id", F.lit(kind).alias("category"), F.when(F.col("conv") % 20 == 0, "development").otherwise("holdout").alias("split"), F.array_join(words, " ").alias("query")) for i, (kind, words) in enumerate(kinds.items())]
+    cases = written(cases[0].unionByName(cases[1]), "cases")
+    found = rank.search_many(held.index, m.sessions, cases.select("qid", "query"), 5)
+    ranks = cases.join(found.select("qid", "session_id", "rank"), ["qid", "session_id"], "left")
+    return rank.quality(ranks, ["category", "split"])
+
+
+def _search_sql(text: str, exclude: tuple[str, ...] = (), limit: int = 10) -> str:
     flags = DOC_SQL.replace("ev AS (", "ev_ AS (", 1) + ", ev AS (SELECT *, text IS NOT NULL AS is_source, FALSE AS is_own_tool, CAST(NULL AS VARCHAR) AS tool_name FROM ev_)"
     # A session of these has more than 400 events only from sf1 on: the sample is the whole.
-    return "WITH " + flags + SQL.dag() + SQL.session_summaries() + SQL.search(text, exclude)
+    return "WITH " + flags + SQL.dag() + SQL.session_summaries() + SQL.search(text, exclude, limit)
 
 
 @query(_search_sql(QUERY))
 def search_sessions(spark, d):
     m = _memory(spark, d)
-    return rank.search(m.events, m.nodes, m.summaries, m.sessions, QUERY).drop("reasons", "snippet")
+    return rank.search(m.events, m.nodes, m.summaries, m.sessions, QUERY, index=m.index).drop("reasons", "snippet")
 
 
-@query(_search_sql(QUERY, ("src1", "src2")))
+@query(_search_sql(QUERY, ("src1", "src2"), 3))
 def search_excluding(spark, d):
     m = _memory(spark, d)
-    return rank.search(m.events, m.nodes, m.summaries, m.sessions, QUERY, exclude=("src1", "src2")).drop("reasons", "snippet")
+    return rank.search(m.events, m.nodes, m.summaries, m.sessions, QUERY, 3, exclude=("src1", "src2"), index=m.index).drop("reasons", "snippet")
 
 
 @query()
 def search_snippets(spark, d):
     """The sessions that are found, with reasons and the best line of their best match."""
     m = _memory(spark, d)
-    return rank.search(m.events, m.nodes, m.summaries, m.sessions, LOOSE).select("session_id", "kind", "reasons", "snippet")
+    return rank.search(m.events, m.nodes, m.summaries, m.sessions, LOOSE, index=m.index).select("session_id", "kind", "reasons", "snippet")
 
 
 @query("SELECT session_id FROM (SELECT session_id, max(ts) AS last_seen FROM ev GROUP BY 1) ORDER BY last_seen DESC, session_id LIMIT 10", DOC_SQL)
@@ -564,8 +612,8 @@ def search_without_words(spark, d):
     DOC_SQL,
 )
 def context_plan(spark, d):
-    e = doc_events(spark, d)
-    return context.plan(e, summaries.dag(e), sessions.rollup(e), 20_000, 15_000).drop("advice")
+    m = _memory(spark, d)
+    return context.plan(m.events, m.nodes, m.sessions, 20_000, 15_000).drop("advice")
 
 
 @query()
@@ -601,13 +649,13 @@ def describe_node(spark, d):
 
 @query(SQL.dag() + " SELECT node_id, depth FROM nodes WHERE session_id = 'src1' ORDER BY depth, earliest_at, node_id LIMIT 200", DOC_SQL)
 def node_listing(spark, d):
-    return summaries.listing(summaries.dag(doc_events(spark, d)), "src1").select("node_id", "depth")
+    return summaries.listing(_memory(spark, d).nodes, "src1").select("node_id", "depth")
 
 
 @query()
 def graph_with_summaries(spark, d):
-    e = doc_events(spark, d)
-    return graph.with_summaries(e, summaries.dag(e), "src1", 60)[1].select("from_id", "to_id", "kind")
+    m = _memory(spark, d)
+    return graph.with_summaries(m.events, m.nodes, "src1", 60)[1].select("from_id", "to_id", "kind")
 
 
 @query(POS + ", b AS (SELECT * FROM p WHERE session_id = 'user-1') SELECT (SELECT count(*) FROM b) + 0 AS events, (SELECT count(*) FROM ck WHERE session_id = 'user-1') AS checkpoints, (SELECT count(*) - 1 FROM b) AS next", ACTIVITY_SQL)

@@ -16,11 +16,15 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder of the cluster's shared one; only a local session may go without that."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.split("[")[0] == "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="threadlake-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/engine-{uuid.uuid4().hex}"
+    own = spark.conf.get("threadlake.engine", None)
+    if not own or not own.startswith(base.rstrip("/")):
+        own = f"{base.rstrip('/')}/engine-{uuid.uuid4().hex}"
+        spark.conf.set("threadlake.engine", own)
+    return f"{own}/{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str = "t") -> DataFrame:
@@ -35,6 +39,26 @@ def sized(df: DataFrame, row_bytes: int = 100) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def file_state(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
+    """Name, length and time of a table's files: equal as long as nothing was written to it."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, out = fs.listFiles(top, True), []
+    while found.hasNext():
+        f = found.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this session's queries wrote to the shared folder; results that are not stored elsewhere go with it."""
+    own = spark.conf.get("threadlake.engine", None)
+    if own:
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        spark.conf.unset("threadlake.engine")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a folder of the table is there."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
