@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from threadlake.operators import rank, sessions, store, summaries
+from threadlake import storage
+from threadlake.operators import ordering, rank, store, summaries, upkeep
 from threadlake.storage import written
 
 from .test_search import frame, memory
@@ -60,4 +61,46 @@ def test_changed_places_are_found_by_keys(spark):
     for s in {r.session_id for r in fresh.collect()}:
         own = [r.event_id for r in events.where(F.col("session_id") == s).orderBy("ts", "seq").collect()]
         want[s] = min(own.index(r.event_id) for r in fresh.where(F.col("session_id") == s).collect()) // 8
-    assert got == want and sessions
+    assert got == want
+
+
+def test_one_session_with_most_events_is_many_tasks(spark):
+    """Sums, places and predecessors over a hot key, dealt to many ranges, equal plain loops."""
+    rng = random.Random(2)
+    rows = [("hot" if rng.random() < 0.9 else f"s{i % 5}", i, rng.randint(0, 9)) for i in range(3000)]
+    rng.shuffle(rows)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        df = spark.createDataFrame(rows, "k string, o long, v long")
+        out = ordering.ordered(df, "k", [F.desc("o")], "at", {"before": "v"}, {"was": "o"})
+        tasks = out.where("k = 'hot'").select(F.spark_partition_id()).distinct().count()
+        got = {(r.k, r.o): (r["at"], r.before, r.was) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    want = {}
+    for k in {r[0] for r in rows}:
+        total, was = 0, None
+        for i, (_, o, v) in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: -r[1])):
+            want[k, o] = (i, total, was)
+            total, was = total + v, o
+    assert got == want and tasks > 1
+
+
+def test_overflow_search_is_newest_first_within_its_budget(spark):
+    texts = ["has Token here", "none", "x" * 40 + "token", "é token", "token late"]
+    rows = [(f"e{i}", "s", f"2026-01-0{i + 1}", i, "/w" if i % 2 else "/v", None, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "event_id string, session_id string, ts string, seq long, cwd string, repo_root string, text string")
+    ids = lambda **k: [r.event_id for r in upkeep.overflow_search(df, "token", **k).collect()]
+    assert ids() == ["e4", "e3", "e2", "e0"] and ids(limit=2) == ["e4", "e3"] and ids(cwd="/w") == ["e3"]
+    assert ids(most_bytes=18) == ["e4", "e3"] and ids(most_bytes=17) == ["e4"] and ids(most_bytes=4) == []
+    assert upkeep.overflow_search(df, "token", 9).where("event_id = 'e3'").first()["byte_offset"] == 3
+
+
+def test_scratch_is_deleted(spark):
+    at = storage.shared_dir(spark)
+    df = storage.written(spark.range(3))
+    assert df.count() == 3 and storage.exists(spark, at.rsplit("/", 1)[0])
+    storage.clear(spark)
+    assert not storage.exists(spark, at.rsplit("/", 1)[0])
+    assert storage.written(spark.range(2)).count() == 2

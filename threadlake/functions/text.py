@@ -219,9 +219,9 @@ def redact_tokens(c: Column) -> Column:
     return c
 
 
-def utf8_prefix(c: Column, most: int) -> Column:
+def utf8_prefix(c: Column, most: int | Column) -> Column:
     """The longest prefix of whole characters in at most `most` UTF-8 bytes."""
-    cut = F.make_valid_utf8(F.substring(c.cast("binary"), 1, most).cast("string"))
+    cut = F.make_valid_utf8(F.substring(c.cast("binary"), F.lit(1), (F.lit(most) if isinstance(most, int) else most).cast("int")).cast("string"))
     whole = (F.octet_length(cut) <= most) & F.startswith(c, cut)
     return F.when(F.octet_length(c) <= most, c).when(whole, cut).otherwise(F.substring(cut, F.lit(1), F.length(cut) - 1))
 

@@ -1,4 +1,4 @@
-"""The session graph: positions, checkpoints, edges and counts, all derived by windows."""
+"""The session graph: positions, checkpoints, edges and counts, whatever share of the events one session has."""
 
 from __future__ import annotations
 
@@ -7,18 +7,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadlake.functions.text import node_title
+from threadlake.operators.ordering import ordered
 
 #: A checkpoint stands at every so many events.
 CHECKPOINT_EVERY = 50
 
 
-def _order():
-    return Window.partitionBy("session_id").orderBy("ts", "seq")
+PLACED = ["session_id", "event_id", "ts", "seq", "hook_event", "turn_id", "tool_use_id"]
+# Hooks that a checkpoint counts, and the names of their counts.
+COUNTED = {"pre": "PreToolUse", "post": "PostToolUse", "prompts": "UserPromptSubmit", "stops": "Stop", "compacts": "PreCompact"}
 
 
 def positions(events: DataFrame) -> DataFrame:
-    """Events with their place in the session, from 1."""
-    return events.withColumn("position", F.row_number().over(_order()).cast("long"))
+    """PLACED fields of events with their position in the session from 1, the event before, and the hooks counted up to each; given such, the same again."""
+    if "position" in events.columns:
+        return events
+    own = lambda h: (F.col("hook_event") == h).cast("long")
+    rows = ordered(events.select(*PLACED), "session_id", ["ts", "seq"], "position", {n: own(h) for n, h in COUNTED.items()}, {"previous_id": "event_id"})
+    return rows.withColumns({"position": F.col("position") + 1} | {n: F.col(n) + own(h) for n, h in COUNTED.items()})
 
 
 def checkpoints(events: DataFrame) -> DataFrame:
@@ -28,18 +34,16 @@ def checkpoints(events: DataFrame) -> DataFrame:
 
 
 def latest_checkpoint(events: DataFrame) -> DataFrame:
-    """Each session's last checkpoint with the counts of hooks up to it."""
-    last = checkpoints(events).groupBy("session_id").agg(F.max_by("event_id", "position").alias("event_id"), F.max("position").alias("position"))
-    before = positions(events).select("session_id", "hook_event", F.col("position").alias("at")).join(last, "session_id").where("at <= position")
-    count = lambda h: F.count_if(F.col("hook_event") == h)
-    return before.groupBy("session_id", "event_id", "position").agg(
-        count("PreToolUse").alias("pre"), count("PostToolUse").alias("post"), count("UserPromptSubmit").alias("prompts"), count("Stop").alias("stops"), count("PreCompact").alias("compacts")
-    )
+    """Each session's last checkpoint with the counts of hooks up to it, which run along with positions."""
+    is_one = (F.col("position") % CHECKPOINT_EVERY == 0) | (F.col("hook_event") == "PreCompact")
+    counts = F.struct("event_id", *COUNTED)
+    last = positions(events).where(is_one).groupBy("session_id").agg(F.max_by(counts, "position").alias("c"), F.max("position").alias("position"))
+    return last.select("session_id", "c.event_id", "position", *[f"c.{n}" for n in COUNTED])
 
 
 def next_edges(events: DataFrame) -> DataFrame:
     """Each event's predecessor in its session."""
-    return events.select("session_id", F.lag("event_id").over(_order()).alias("from_id"), F.col("event_id").alias("to_id"), F.lit("next").alias("kind")).where("from_id is not null")
+    return positions(events).select("session_id", F.col("previous_id").alias("from_id"), F.col("event_id").alias("to_id"), F.lit("next").alias("kind")).where("from_id is not null")
 
 
 def tool_results(events: DataFrame) -> DataFrame:
@@ -65,6 +69,7 @@ def checkpoint_edges(events: DataFrame) -> DataFrame:
 
 def edges(events: DataFrame) -> DataFrame:
     """All edges of all sessions, each once."""
+    events = positions(events)
     out = next_edges(events).unionByName(tool_results(events)).unionByName(contains_edges(events)).unionByName(checkpoint_edges(events))
     return out.dropDuplicates(["from_id", "to_id", "kind"])
 
@@ -76,13 +81,13 @@ def nodes(events: DataFrame) -> DataFrame:
     turn = e.where("turn_id is not null").groupBy("session_id", "turn_id").agg(F.min("position").alias("position"))
     turn = turn.select("session_id", F.concat_ws(":", F.lit("turn"), "session_id", "turn_id").alias("node_id"), F.lit("turn").alias("kind"), "position", F.lit(1).alias("part"))
     event = e.select("session_id", F.col("event_id").alias("node_id"), F.lit("event").alias("kind"), "position", F.lit(2).alias("part"))
-    check = checkpoints(events).select("session_id", F.concat(F.lit("checkpoint:"), "event_id").alias("node_id"), F.lit("checkpoint").alias("kind"), "position", F.lit(3).alias("part"))
+    check = checkpoints(e).select("session_id", F.concat(F.lit("checkpoint:"), "event_id").alias("node_id"), F.lit("checkpoint").alias("kind"), "position", F.lit(3).alias("part"))
     return session.unionByName(turn).unionByName(event).unionByName(check)
 
 
 def bounded(events: DataFrame, session_id: str, limit: int = 200) -> tuple[DataFrame, DataFrame]:
     """The first `limit` nodes of a session's graph, and the edges between them."""
-    own = events.where(F.col("session_id") == session_id)
+    own = positions(events.where(F.col("session_id") == session_id))
     kept = nodes(own).orderBy("position", "part", "node_id").limit(limit)
     ids = kept.select("node_id")
     inside = edges(own).join(ids.withColumnRenamed("node_id", "from_id"), "from_id", "left_semi").join(ids.withColumnRenamed("node_id", "to_id"), "to_id", "left_semi")
@@ -141,6 +146,7 @@ def with_summaries(events: DataFrame, nodes: DataFrame, session_id: str, limit:
 
 def checkpoint_tail(events: DataFrame, last: int = 5) -> DataFrame:
     """Each session's latest checkpoint with the ids of the last events up to it, in order."""
+    events = positions(events)
     point = latest_checkpoint(events).select("session_id", F.col("event_id").alias("checkpoint"), "position")
     before = positions(events).select("session_id", "event_id", F.col("position").alias("at")).join(point, "session_id").where(F.col("at").between(F.col("position") - last + 1, F.col("position")))
     return before.groupBy("session_id", "checkpoint").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "event_id"))), lambda x: x["event_id"]).alias("last_events"))

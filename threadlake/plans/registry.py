@@ -346,6 +346,18 @@ def cross_shape_dedupe(spark, d):
     return upkeep.cross_shape(both, ["session_id", "turn_id", "text"], "at").select("event_id", "shape")
 
 
+@query(", g AS (SELECT event_id, seq, strlen(text) + 1 AS size, coalesce(sum(strlen(text) + 1) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ev) SELECT event_id, CAST(floor(before / 100000) AS BIGINT) AS segment, CAST(before - min(before) OVER (PARTITION BY floor(before / 100000)) AS BIGINT) AS byte_offset FROM g", DOC_SQL)
+def log_segments(spark, d):
+    """The whole log cut to segments, with each event's place in its own: one running sum over one key."""
+    return upkeep.log_segments(doc_events(spark, d), 100_000)
+
+
+@query(", b AS (SELECT *, row_number() OVER w AS place, coalesce(sum(strlen(text)) OVER (ORDER BY ts DESC, seq DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ev WINDOW w AS (ORDER BY ts DESC, seq DESC)), m AS (SELECT event_id, text, place, instr(lower(text), 'token') AS hit FROM b WHERE before < 1000000 AND before + strlen(substr(text, 1, instr(lower(text), 'token') + 4)) <= 1000000 AND place <= 4096) SELECT event_id, CAST(strlen(substr(text, 1, hit - 1)) AS BIGINT) AS byte_offset, CAST(len(string_split(substr(text, 1, hit - 1), chr(10))) AS BIGINT) AS line_no FROM m WHERE hit > 0 ORDER BY place LIMIT 10", DOC_SQL)
+def overflow_search_budget(spark, d):
+    """The newest contents with a word, looked for within a budget of bytes."""
+    return upkeep.overflow_search(doc_events(spark, d), "token", 10, most_bytes=1_000_000).select("event_id", "byte_offset", "line_no")
+
+
 @query(", b AS (SELECT *, coalesce(sum(strlen(text)) OVER (PARTITION BY session_id ORDER BY ts DESC, seq DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ev) SELECT session_id, event_id FROM b WHERE before + strlen(text) <= 20000", DOC_SQL)
 def scan_budget(spark, d):
     return upkeep.scan_budget(doc_events(spark, d), 20000).select("session_id", "event_id")

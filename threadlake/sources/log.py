@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from threadlake.operators.ordering import numbered
+from threadlake.operators.ordering import ordered
 
 ENVELOPE = "schema_version int, event_id string, timestamp string, hook_event string, session_id string, cwd string, repo_root string, tool_name string, raw_input_sha256 string, original_bytes long, sanitized_bytes long"
 
@@ -24,9 +23,8 @@ def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
     """(segment, line_no from 0, byte_offset, line) of a log's files: where each line stands."""
     rows = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(list(paths))
     rows = rows.select(F.col("_metadata.file_path").alias("segment"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("line"))
-    rows = numbered(rows, "segment", "block", "row", name="line_no")
-    before = F.sum(F.octet_length("line") + 1).over(Window.partitionBy("segment").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
-    return rows.select("segment", "line_no", F.coalesce(before, F.lit(0)).alias("byte_offset"), F.regexp_replace("line", "\r$", "").alias("line"))
+    rows = ordered(rows, "segment", ["block", "row"], "line_no", {"byte_offset": F.octet_length("line") + 1})
+    return rows.select("segment", "line_no", "byte_offset", F.regexp_replace("line", "\r$", "").alias("line"))
 
 
 def at(lines: DataFrame, segment: str, line_no: int) -> DataFrame:
