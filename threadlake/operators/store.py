@@ -130,6 +130,11 @@ class Store:
         self._commit()
         return {"events": new.count(), "sessions": touched.count(), "nodes": made.count(), "removed_nodes": gone.count() if gone is not None else 0}
 
+    def follow(self, events: DataFrame, checkpoint: str) -> None:
+        """Bring in a stream of events, micro-batch by micro-batch, until its input is read; a batch that comes again changes nothing."""
+        query = events.writeStream.foreachBatch(lambda batch, _id: self.ingest(batch) and None).option("checkpointLocation", checkpoint)
+        query.trigger(availableNow=True).start().awaitTermination()
+
     def memory(self) -> context.Memory:
         """What is stored, to search, plan, pack and describe."""
         return context.Memory(self.events.rows(), self.sessions.rows(), self.nodes.rows(), self.summaries.rows(), self.index)

@@ -12,7 +12,7 @@ from threadlake.functions.payload import SIGNAL_HOOKS
 from threadlake.operators import context, files, fts, graph, normalize, overflow, postings, rank, sessions, store, summaries, upkeep
 from threadlake.plans import summary_sql as SQL
 from threadlake.storage import file_state, shared_dir, written
-from threadlake.streaming import ingest
+from threadlake.streaming import ingest, signals
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -819,3 +819,21 @@ def stream_ingest(spark, d):
     ingest.ingest(ingest.open_stream(spark, given.schema, f"{base}/in", 2), f"{base}/table", f"{base}/checkpoint")
     # Which of two arrivals comes first is the stream's to say: both have one sequence number but for a constant.
     return ingest.read_table(spark, given.schema, f"{base}/table").select("event_id", "session_id", F.expr("seq % 1000000000").alias("seq"))
+
+
+@query(
+    POS + RESULTS + """, m AS (SELECT *, last_value(CASE WHEN hook_event = 'PreCompact' THEN 1 WHEN tool_name = 'pack' THEN 0 END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pending FROM ev)
+    SELECT session_id, event_id, CASE WHEN hook_event = 'Stop' THEN 'block' ELSE 'directive' END AS kind, CAST(NULL AS VARCHAR) AS ref FROM m WHERE pending = 1 AND hook_event IN ('Stop', 'UserPromptSubmit', 'PostToolUse')
+    UNION ALL SELECT session_id, to_id, 'tool_result', from_id FROM tr WHERE hook_event = 'PostToolUse' AND from_id IS NOT NULL UNION ALL SELECT session_id, event_id, 'checkpoint', CAST(position AS VARCHAR) FROM ck""",
+    ACTIVITY_SQL,
+)
+def stream_signals(spark, d):
+    """Recovery, tool results and checkpoints by session state, events coming in several files in no order of time; a last one lets the watermark pass."""
+    base = shared_dir(spark)
+    given = activity_events(spark, d)
+    given.repartition(4).write.parquet(f"{base}/in")
+    end = given.limit(1).withColumns({"event_id": F.lit("end"), "session_id": F.lit("end"), "ts": F.lit("2999-01-01T00:00:00.000Z"), "hook_event": F.lit("Note")})
+    end.write.mode("append").parquet(f"{base}/in")
+    out = signals.signals(ingest.open_stream(spark, given.schema, f"{base}/in", 2), "36500 days", "PreCompact")
+    out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(signals.SIGNALS).parquet(f"{base}/out")
