@@ -832,7 +832,7 @@ def stream_signals(spark, d):
     base = shared_dir(spark)
     given = activity_events(spark, d)
     given.repartition(4).write.parquet(f"{base}/in")
-    end = given.limit(1).withColumns({"event_id": F.lit("end"), "session_id": F.lit("end"), "ts": F.lit("2999-01-01T00:00:00.000Z"), "hook_event": F.lit("Note")})
+    end = given.limit(1).withColumns({"event_id": F.lit("end"), "session_id": F.lit("end"), "ts": F.lit("2199-01-01T00:00:00.000Z"), "hook_event": F.lit("Note")})
     end.write.mode("append").parquet(f"{base}/in")
     out = signals.signals(ingest.open_stream(spark, given.schema, f"{base}/in", 2), "36500 days", "PreCompact")
     out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()

@@ -73,7 +73,9 @@ class Signals(StatefulProcessor):
 def signals(events: DataFrame, late: str = "10 minutes", begins: str = "PostCompact") -> DataFrame:
     """SIGNALS of a stream of events, once the watermark, `late` behind the latest event, has passed each."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    rows = events.select("session_id", "ts", "seq", *_FIELDS).withColumn("at", F.to_timestamp("ts")).withWatermark("at", late)
+    # Pandas has no times before 1678 or after 2261.
+    at = F.greatest(F.least(F.to_timestamp("ts"), F.lit("2261-01-01").cast("timestamp")), F.lit("1679-01-01").cast("timestamp"))
+    rows = events.select("session_id", "ts", "seq", *_FIELDS).withColumn("at", at).withWatermark("at", late)
     return rows.groupBy("session_id").transformWithStateInPandas(Signals(begins), SIGNALS, "append", "EventTime")
 
 
