@@ -104,3 +104,30 @@ def test_scratch_is_deleted(spark):
     storage.clear(spark)
     assert not storage.exists(spark, at.rsplit("/", 1)[0])
     assert storage.written(spark.range(2)).count() == 2
+
+
+def test_expired_events_leave_the_index_and_later_ones_rebuild_their_session(spark, tmp_path):
+    events = events_of(spark, 150, 8)
+    late = events.where("seq >= 140")
+    held = store.Store(spark, f"file://{tmp_path}/s", 2)
+    held.ingest(events.where("seq < 140"))
+    before, nodes = "2026-01-01T00:01:20.000Z", held.memory().nodes.count()
+    gone = held.expire(before, 300)
+    stay = upkeep.expire(events.where("seq < 140"), upkeep.segments(events.where("seq < 140"), 300), before)
+    ids = sorted(r.event_id for r in stay.collect())
+    m = store.Store(spark, held.path, 2).memory()
+    assert gone == 140 - len(ids) > 0 and sorted(r.event_id for r in m.events.collect()) == ids
+    assert m.index.sizes["event"][0] == len(ids) and m.nodes.count() == nodes and held.expire(before, 300) == 0
+    assert sorted(r.key for r in m.index.documents().where("kind = 'event'").collect()) == ids
+    held.ingest(late)
+    whole = written(stay.select(*events.columns).unionByName(late), "whole")
+    touched = {r.session_id for r in late.collect()}
+    own = lambda nodes: sorted(r.node_id for r in nodes.collect() if r.session_id in touched)
+    assert own(held.memory().nodes) == own(summaries.dag(whole))
+
+
+def test_the_log_alone_is_searched_without_an_index(spark):
+    events = frame(spark, [("a", "Note", "Retry budget"), ("b", "Stop", "nothing"), ("c", "Note", "the budget-plan"), ("c", "Note", "retry"), ("d", "Note", "plan", "/retry")])
+    found = lambda *a, **k: [(r.session_id, r.event_count) for r in rank.search_log(events, *a, **k).collect()]
+    assert found("retry") == [("d", 1), ("c", 1), ("a", 1)] and found("retry plan", limit=2) == [("d", 1), ("c", 2)]
+    assert found("retry", cwd="/w") == [("c", 1), ("a", 1)] and found("retry", exclude=("d", "a")) == [("c", 1)] and found("zebra") == []

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from threadlake.functions import text as tx
 from threadlake.functions.text import query_terms, term_hits
 from threadlake.operators import fts
+from threadlake.operators import sessions as sessions_of
 from threadlake.operators.postings import Index, parse
 from threadlake.storage import sized, written
 
@@ -217,6 +218,17 @@ def search(
     return written(out, "found").withColumn("snippet", tx.snippet(F.col("said"), query)).orderBy("rank").select(*SEARCHED)
 
 
+def search_log(events: DataFrame, query: str, limit: int = 10, exclude: tuple[str, ...] = (), cwd: str | None = None, repo_root: str | None = None) -> DataFrame:
+    """Sessions for a query from the log alone, without an index: rolled up from the events that have the query or one of its words anywhere, the latest first."""
+    for name, value in (("cwd", cwd), ("repo_root", repo_root)):
+        events = events if value is None else events.where(F.col(name) == value)
+    rows = events.where(~F.col("session_id").isin(list(exclude))) if exclude else events
+    if "is_source" in rows.columns:
+        rows = rows.where(F.col("is_suggestion") if wants_suggestions(query) else F.lit(False)).unionByName(rows.where("is_source and not is_suggestion"))
+    found = rows.where(tx.has_query(F.to_json(F.struct(*events.columns)), query))
+    return sessions_of.listing(sessions_of.rollup(found), limit)
+
+
 def _scan(events: DataFrame, nodes: DataFrame, summaries: DataFrame, sessions: DataFrame, query: str, limit: int, exclude: tuple[str, ...], cwd: str | None, repo_root: str | None) -> DataFrame:
     """search() without a stored index."""
     scoped = sessions

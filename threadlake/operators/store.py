@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.operators import context, postings, rank, sessions, summaries
+from threadlake.operators import context, postings, rank, sessions, summaries, upkeep
 from threadlake.storage import exists, sized, written
 
 #: Folders that a store deals sessions to, and up to how many touched ones are named in a read.
@@ -70,9 +70,9 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
-        self.events, self.sessions, self.nodes, self.summaries = (
-            Table(self, name, key) for name, key in (("events", "event_id"), ("sessions", "session_id"), ("nodes", "node_id"), ("summaries", "session_id"))
-        )
+        keys = {"events": "event_id", "sessions": "session_id", "nodes": "node_id", "summaries": "session_id", "shortened": "session_id"}
+        self.tables = {name: Table(self, name, key) for name, key in keys.items()}
+        self.events, self.sessions, self.nodes, self.summaries, self.shortened = self.tables.values()
         self.index = postings.Index(spark, f"{self.path}/index", buckets)
         self._open()
 
@@ -85,10 +85,9 @@ class Store:
         return F.pmod(F.crc32(session.cast("binary")), F.lit(self.buckets)).cast("int")
 
     def _commit(self) -> None:
-        tables = (self.events, self.sessions, self.nodes, self.summaries)
-        rows = [(self.number, self.batch, t.name, schema, kind) for t in tables for kind, schema in t._pending]
+        rows = [(self.number, self.batch, t.name, schema, kind) for t in self.tables.values() for kind, schema in t._pending]
         self.spark.createDataFrame(rows, _COMMITS).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
-        for t in tables:
+        for t in self.tables.values():
             t._pending.clear()
         self._open()
 
@@ -109,8 +108,13 @@ class Store:
             made, gone = written(summaries.dag(whole), "tree"), None
         else:
             before = written(before, "before")
-            first = written(summaries.changed_from(whole, new), "first")
-            made = written(summaries.renewed(whole, new, before), "renewed")
+            first = summaries.changed_from(whole, new)
+            short = self.shortened.rows(touched)
+            if short is not None:  # the stored tree counts events that are gone: it is made again from its first leaf
+                first = first.unionByName(short.select("session_id", F.lit(0).cast("long").alias("chunk"))).groupBy("session_id").agg(F.min("chunk").alias("chunk"))
+                self.shortened.remove(touched)
+            first = written(first, "first")
+            made = written(summaries.renewed(whole, first, before), "renewed")
             stood = written(summaries.replaced(before, sized(first)), "stood")
             gone = written(stood.join(made.select("node_id"), "node_id", "left_anti"), "gone")
             made = written(made.join(stood.select("node_id"), "node_id", "left_anti"), "made")
@@ -130,6 +134,22 @@ class Store:
         self._commit()
         return {"events": new.count(), "sessions": touched.count(), "nodes": made.count(), "removed_nodes": gone.count() if gone is not None else 0}
 
+    def expire(self, before: str, cap: int) -> int:
+        """Remove the events of closed segments (of `cap` bytes of a session's log) whose last event is older than `before`, and what the index has of them.
+
+        Sessions, summaries and nodes stay until new events come to their session. Returns how many went.
+        """
+        rows = self.events.rows()
+        stay = upkeep.expire(rows, upkeep.segments(rows, cap), before)
+        gone = written(rows.join(stay.select("event_id"), "event_id", "left_anti").select("event_id", "session_id"), "gone")
+        if gone.isEmpty():
+            return 0
+        self.index.remove(gone.select(F.lit("event").alias("kind"), F.col("event_id").alias("key")))
+        self.events.remove(gone)
+        self.shortened.append(gone.select("session_id").distinct())
+        self._commit()
+        return gone.count()
+
     def follow(self, events: DataFrame, checkpoint: str) -> None:
         """Bring in a stream of events, micro-batch by micro-batch, until its input is read; a batch that comes again changes nothing."""
         query = events.writeStream.foreachBatch(lambda batch, _id: self.ingest(batch) and None).option("checkpointLocation", checkpoint)

@@ -148,14 +148,14 @@ def changed_from(events: DataFrame, fresh: DataFrame) -> DataFrame:
     return new.groupBy("session_id").agg(F.floor(F.min("place") / LEAF_EVENTS).alias("chunk"))
 
 
-def renewed(events: DataFrame, fresh: DataFrame, stored: DataFrame, depths: int = MOST_DEPTH) -> DataFrame:
+def renewed(events: DataFrame, first: DataFrame, stored: DataFrame, depths: int = MOST_DEPTH) -> DataFrame:
     """Nodes of the tree of events that differ from the stored tree's, or may: those from the first changed place on.
 
-    events are all events of the sessions that fresh ones belong to, stored is those sessions' tree before.
-    Leaves from the first changed one on are made from their events; each level above from the renewed nodes
+    events are all events of the sessions of first (session_id, chunk: the first changed leaf), stored is those
+    sessions' tree before. Leaves from the first changed one on are made from their events; each level above from the renewed nodes
     below it and the few stored ones that share a node with them.
     """
-    first = sized(written(changed_from(events, fresh), "first"), 100)
+    first = sized(first, 100)
     keys = sources(events).select("session_id", "ts", "seq")
     places = numbered(written(keys, "keys"), "session_id", "ts", "seq").join(first, "session_id").where(F.col("place") >= F.col("chunk") * LEAF_EVENTS)
     rows = sources(events).join(places.drop("chunk"), ["session_id", "ts", "seq"])

@@ -615,6 +615,12 @@ def search_without_words(spark, d):
     return rank.search(e, none, summaries.session_summaries(e.where("false")), s, "  ").select("session_id")
 
 
+@query(", m AS (SELECT * FROM ev WHERE contains(lower(text), 'license') OR contains(lower(text), 'orrewh')) SELECT session_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS event_count FROM m GROUP BY session_id ORDER BY last_seen DESC, session_id LIMIT 10", DOC_SQL)
+def search_log(spark, d):
+    """Sessions from the log alone, by the events that have one of the words."""
+    return rank.search_log(doc_events(spark, d), "license orrewh").select("session_id", "first_seen", "last_seen", "event_count")
+
+
 @query(
     SQL.dag() + """, p AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, seq DESC) AS back FROM ev),
     q AS (SELECT session_id, string_agg(concat_ws(chr(10), hook_event, session_id, cwd, nullif(text, '')), chr(10) ORDER BY ts, seq) AS t, max(ts) AS latest_event_at FROM p WHERE back <= 80 GROUP BY session_id),
