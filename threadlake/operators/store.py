@@ -150,6 +150,39 @@ class Store:
         self._commit()
         return gone.count()
 
+    def forget(self, keys: DataFrame) -> int:
+        """Remove events (event_id, session_id) as though they had never come; returns how many went.
+
+        Their sessions are rolled up and summarized again from what is left; a session with nothing left goes
+        whole. Keys that are not there, and repeated ones, change nothing.
+        """
+        if not self.commits:
+            return 0
+        touched = written(keys.select("session_id").distinct(), "touched")
+        stood = self.events.rows(touched)
+        gone = written(stood.join(keys.select("event_id").distinct(), "event_id", "left_semi").select("event_id", "session_id"), "gone")
+        touched = written(gone.select("session_id").distinct(), "touched")
+        if touched.isEmpty():
+            return 0
+        left = written(stood.join(touched, "session_id", "left_semi").join(gone.select("event_id"), "event_id", "left_anti"), "left")
+        before = written(self.nodes.rows(touched), "before")
+        made = written(summaries.dag(left), "tree")
+        old_nodes = written(before.join(made.select("node_id"), "node_id", "left_anti"), "old_nodes")
+        made = written(made.join(before.select("node_id"), "node_id", "left_anti"), "made")
+        said = written(summaries.session_summaries(left), "said")
+        docs = lambda df, kind, key: df.select(F.lit(kind).alias("kind"), F.col(key).alias("key"))
+        self.index.remove(docs(gone, "event", "event_id").unionByName(docs(old_nodes, "summary_node", "node_id")).unionByName(docs(touched, "session_summary", "session_id")))
+        self.index.add(rank.index_rows(None, made, said))
+        self.events.remove(gone)
+        for table in (self.sessions, self.summaries, self.shortened):
+            table.remove(touched)
+        self.nodes.remove(old_nodes)
+        self.sessions.append(written(sessions.rollup(left), "rolled"))
+        self.nodes.append(made)
+        self.summaries.append(said)
+        self._commit()
+        return gone.count()
+
     def follow(self, events: DataFrame, checkpoint: str) -> None:
         """Bring in a stream of events, micro-batch by micro-batch, until its input is read; a batch that comes again changes nothing."""
         query = events.writeStream.foreachBatch(lambda batch, _id: self.ingest(batch) and None).option("checkpointLocation", checkpoint)
