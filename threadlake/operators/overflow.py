@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadlake.storage import written
+
 #: Payloads above this are stored apart; files above that are not read (fixed values).
 INLINE_BYTES, MOST_BYTES = 512 * 1024, 16 << 20
 
@@ -48,3 +50,23 @@ def page(content: Column, offset: int = 0, most: int = 64 * 1024) -> Column:
 def orphans(blobs: DataFrame, refs: DataFrame) -> DataFrame:
     """Blobs that no event refers to any more."""
     return blobs.join(refs.select("sha256").distinct(), "sha256", "left_anti")
+
+
+def expire(spark: SparkSession, path: str, refs: DataFrame) -> int:
+    """Delete the stored blobs that none of refs (sha256) name; only folders that have such blobs are written anew. Returns how many went.
+
+    Whoever reads a folder at that moment may find it half replaced, so this is for times without readers.
+    """
+    blobs = spark.read.schema("sha256 string, payload string, part string").parquet(path)
+    gone = written(orphans(blobs.select("sha256", "part"), refs), "orphans")
+    parts = [r[0] for r in gone.select("part").distinct().collect()]  # 256 at most
+    if not parts:
+        return 0
+    some = blobs.where(F.col("part").isin(parts))
+    stay = written(some.join(gone.select("sha256"), "sha256", "left_anti").select("sha256", "payload", "part"), "stay")
+    stay.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    for part in set(parts) - {r[0] for r in stay.select("part").distinct().collect()}:
+        at = Path(f"{path}/part={part}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return gone.count()

@@ -11,6 +11,7 @@ from threadlake.functions import text as tx
 from threadlake.functions.payload import SIGNAL_HOOKS
 from threadlake.operators import context, files, fts, graph, normalize, overflow, postings, rank, sessions, store, summaries, upkeep
 from threadlake.plans import summary_sql as SQL
+from threadlake.sources import log, reconcile
 from threadlake.storage import file_state, shared_dir, written
 from threadlake.streaming import ingest, signals
 
@@ -843,3 +844,79 @@ def stream_signals(spark, d):
     out = signals.signals(ingest.open_stream(spark, given.schema, f"{base}/in", 2), "36500 days", "PreCompact")
     out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(signals.SIGNALS).parquet(f"{base}/out")
+
+
+def _published(rows, folder, compress=False):
+    """Events as the lines of a log of four segments."""
+    line = F.to_json(F.struct(F.lit(1).alias("schema_version"), "event_id", F.col("ts").alias("timestamp"), "hook_event", "session_id", "cwd", "repo_root", F.struct(F.col("text").alias("prompt")).alias("payload")))
+    log.publish(rows.select(F.concat(F.lit("seg"), _segment()).alias("segment"), F.col("seq").alias("place"), line.alias("line")), folder, compress)
+
+
+def _segment():
+    return F.floor(F.col("seq") / 100) % 4
+
+
+def _prompt():
+    return F.get_json_object("payload", "$.prompt").alias("text")
+
+
+@query("SELECT event_id, session_id, hook_event, ts, cwd, repo_root, text, 'seg' || ((seq // 100) % 4) || '.jsonl.gz' AS segment FROM ev", CONV_SQL)
+def log_events(spark, d):
+    """The events of compressed segments that were verified when they were published."""
+    folder = shared_dir(spark)
+    _published(conv_events(spark, d), folder, True)
+    return log.read_log(spark, folder)[0].select("event_id", "session_id", "hook_event", F.col("timestamp").alias("ts"), "cwd", "repo_root", _prompt(), "segment")
+
+
+@query(
+    """, l AS (SELECT event_id, seq, (seq // 100) % 4 AS segment, event_id || chr(9) || replace(replace(text, chr(10), ' '), chr(13), ' ') AS line FROM ev)
+    SELECT event_id, 'seg' || segment AS segment, row_number() OVER (PARTITION BY segment ORDER BY seq) - 1 AS line_no,
+    CAST(coalesce(sum(strlen(line) + 1) OVER (PARTITION BY segment ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset, strlen(line) AS length FROM l""",
+    CONV_SQL,
+)
+def log_places(spark, d):
+    """Where each line of a log stands."""
+    folder, text = shared_dir(spark), F.translate("text", "\n\r", "  ")
+    rows = conv_events(spark, d).where("text is not null")
+    log.publish(rows.select(F.concat(F.lit("seg"), _segment()).alias("segment"), F.col("seq").alias("place"), F.concat_ws("\t", "event_id", text).alias("line")), folder)
+    lines = log.read_lines(spark, folder)
+    return lines.select(F.substring_index("line", "\t", 1).alias("event_id"), F.regexp_extract("segment", r"(seg\d+)\.", 1).alias("segment"), "line_no", "byte_offset", F.octet_length("line").cast("long").alias("length"))
+
+
+@query("SELECT segment, CAST(count(*) FILTER (good) AS BIGINT) AS events, CAST(count(*) FILTER (NOT good) AS BIGINT) AS malformed, min(ts) FILTER (good) AS first, max(ts) FILTER (good) AS last FROM (SELECT 'seg' || ((seq // 100) % 4) || '.jsonl' AS segment, ts, hook_event <> 'Note' AS good FROM ev) GROUP BY segment", CONV_SQL)
+def log_malformed(spark, d):
+    """Events and broken lines by segment: notes are cut off in their payload."""
+    folder = shared_dir(spark)
+    fields = F.to_json(F.struct(F.lit(1).alias("schema_version"), "event_id", F.col("ts").alias("timestamp"), "hook_event", "session_id", F.struct(F.col("text").alias("prompt")).alias("payload")))
+    line = F.when(F.col("hook_event") == "Note", F.expr("left(__l, length(__l) - 2)")).otherwise(F.col("__l"))
+    rows = conv_events(spark, d).withColumn("__l", fields)
+    log.publish(rows.select(F.concat(F.lit("seg"), _segment()).alias("segment"), F.col("seq").alias("place"), line.alias("line")), folder)
+    return log.log_stats(*log.read_log(spark, folder))
+
+
+@query("SELECT event_id, text FROM ev WHERE hook_event = 'Stop'", CONV_SQL)
+def log_look_up(spark, d):
+    """All answers by their ids, from the places that a log's state has of them."""
+    e, folder = conv_events(spark, d), shared_dir(spark)
+    _published(e, folder)
+    state = reconcile.LogState(spark, shared_dir(spark))
+    state.difference(folder)
+    return state.look_up(e.where("hook_event = 'Stop'")).select("event_id", _prompt())
+
+
+@query(
+    """, p AS (SELECT event_id, (seq // 100) % 4 AS segment, seq % 100 AS turn, seq > (SELECT max(seq) // 2 FROM ev) AS late FROM ev)
+    SELECT 'came' AS kind, event_id FROM p WHERE segment = 3 OR segment = 2 AND late OR segment = 1 AND turn = 1 UNION ALL SELECT 'gone', event_id FROM p WHERE segment = 1 AND turn <= 1""",
+    CONV_SQL,
+)
+def log_difference(spark, d):
+    """What a log's second reading brings: one segment is as it was, one changed, one appended to, one new."""
+    e, folder, state = written(conv_events(spark, d)), shared_dir(spark), shared_dir(spark)
+    half = F.floor(F.lit(e.agg(F.max("seq")).first()[0]) / 2)
+    _published(e.where((_segment() < 2) | (_segment() == 2) & (F.col("seq") <= half)), folder)
+    reconcile.LogState(spark, state).difference(folder)
+    turn = F.col("seq") % 100
+    again = e.where((_segment() >= 2) | (_segment() == 1) & (turn > 0)).withColumn("text", F.when((_segment() == 1) & (turn == 1), F.concat("text", F.lit(" again"))).otherwise(F.col("text")))
+    _published(again, folder)
+    found = reconcile.LogState(spark, state).difference(folder)
+    return found.events.select(F.lit("came").alias("kind"), "event_id").unionByName(found.gone.select(F.lit("gone").alias("kind"), "event_id"))
