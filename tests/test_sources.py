@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from threadlake.operators import normalize, overflow
+from threadlake.operators import context, normalize, overflow
 from threadlake.sources import log, transcripts
 from threadlake.storage import written
 
@@ -108,3 +108,23 @@ def test_overflow_pages_are_whole_characters(spark, offset, most):
     start = min((x for x in whole if x >= offset), default=len(data))
     end = max(x for x in whole if x <= min(start + most, len(data)))
     assert (p["offset"], p["content"], p["next_offset"]) == (start, data[start:end].decode(), end if end < len(data) else None)
+
+
+def test_blobs_that_nothing_refers_to_are_deleted(spark, tmp_path):
+    texts = [json.dumps({"text": f"{i} " * 300}) for i in range(40)]
+    e = spark.createDataFrame([(f"e{i}", "s", f"t{i:02d}", t, None) for i, t in enumerate(texts)], "event_id string, session_id string, ts string, payload string, original_bytes long")
+    folder = str(tmp_path / "o")
+    small, blobs = overflow.split_off(e, folder, 500)
+    overflow.write(blobs, folder)
+    refs = normalize.overflow_refs(small)
+    some = written(refs.where("ts < 't15'"))
+    assert overflow.expire(spark, folder, refs) == 0 and overflow.expire(spark, folder, some) == 25 and overflow.expire(spark, folder, some) == 0
+    assert sorted(r["content"] for r in overflow.read(spark, folder, some).collect()) == sorted(texts[:15])
+    assert spark.read.parquet(folder).count() == 15
+    m = context.Memory(e, e, e, e, overflow=some)
+    first = some.where("observed_event_id = 'e3'").first()
+    page = context.describe(m, file_id=first["file_ref_id"], blobs=folder, offset=10, most=20).first()
+    assert (page["target"], page["observed_event_id"], page["content"], page["next_offset"]) == ("overflow_ref", "e3", texts[3][10:30], 30)
+    for missing in ("overflow:" + "0" * 64, "file:none"):
+        with pytest.raises(LookupError):
+            context.describe(m, file_id=missing, blobs=folder)

@@ -131,3 +131,19 @@ def test_the_log_alone_is_searched_without_an_index(spark):
     found = lambda *a, **k: [(r.session_id, r.event_count) for r in rank.search_log(events, *a, **k).collect()]
     assert found("retry") == [("d", 1), ("c", 1), ("a", 1)] and found("retry plan", limit=2) == [("d", 1), ("c", 2)]
     assert found("retry", cwd="/w") == [("c", 1), ("a", 1)] and found("retry", exclude=("d", "a")) == [("c", 1)] and found("zebra") == []
+
+
+def test_what_is_of_an_older_version_is_made_again(spark, tmp_path, monkeypatch):
+    events = events_of(spark, 60, 7)
+    held = store.Store(spark, f"file://{tmp_path}/s", 4)
+    monkeypatch.setattr(summaries, "SUMMARY_VERSION", summaries.SUMMARY_VERSION - 1)
+    held.ingest(events.where("session_id <> 's1'"))
+    monkeypatch.undo()
+    held.ingest(events.where("session_id = 's1'"))
+    old = held.memory().summaries.select("session_id").where("session_id <> 's1'").count()
+    assert held.clean_up(1) == 1 and held.clean_up() == old - 1 and held.clean_up() == 0
+    m, whole = store.Store(spark, held.path, 4).memory(), memory(events)
+    assert rows_of(m.summaries, "session_id") == rows_of(whole.summaries, "session_id")
+    assert rows_of(m.nodes, "node_id") == rows_of(whole.nodes, "node_id")
+    assert rows_of(m.sessions, "session_id") == rows_of(whole.sessions, "session_id")
+    assert held.forget(events.where("false")) == 0 and held.forget(spark.createDataFrame([("zz", "s1")], "event_id string, session_id string")) == 0

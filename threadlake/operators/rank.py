@@ -299,13 +299,15 @@ def _best_keys(kind: str, docs: DataFrame, query: str, k: int, wanted: DataFrame
     return best
 
 
-def search_nodes(nodes: DataFrame, query: str, limit: int = 10, sessions: list[str] | None = None, cwd: str | None = None, index: Index | None = None) -> DataFrame:
+def search_nodes(nodes: DataFrame, query: str, limit: int = 10, sessions: list[str] | None = None, cwd: str | None = None, index: Index | None = None, repo_root: str | None = None) -> DataFrame:
     """Nodes for a query by the two tiers, then by rank; without words the deepest and latest."""
-    rows = nodes if cwd is None else nodes.where(F.col("cwd") == cwd)
+    rows = nodes
+    for name, value in (("cwd", cwd), ("repo_root", repo_root)):
+        rows = rows if value is None else rows.where(F.col(name) == value)
     own = (lambda d: d.where(F.col("session_id").isin(sessions))) if sessions else (lambda d: d)
     if not query.strip():
         return own(rows.orderBy(F.desc("depth"), F.desc("latest_at"), "node_id").limit(max(limit * 4, 20))).limit(limit)
-    wanted = None if cwd is None else rows.select(F.col("node_id").alias("key"))
+    wanted = None if cwd is None and repo_root is None else rows.select(F.col("node_id").alias("key"))
     best = _best_keys("summary_node", node_index(nodes), query, max(limit * 10, 50), wanted, index)
     rows = own(rows.join(F.broadcast(best.select(F.col("key").alias("node_id"))), "node_id", "left_semi"))  # 50 rows, or 10 for each wanted
     return rank_columns(rows, query).orderBy(*rank_order(query)).limit(limit).select(*nodes.columns)

@@ -165,23 +165,44 @@ class Store:
         if touched.isEmpty():
             return 0
         left = written(stood.join(touched, "session_id", "left_semi").join(gone.select("event_id"), "event_id", "left_anti"), "left")
+        self._derive(touched, left, gone)
+        return gone.count()
+
+    def clean_up(self, most: int | None = None) -> int:
+        """Derive anew what the store has of sessions whose summaries or nodes are missing or of an older version; returns how many sessions.
+
+        `most` bounds the sessions of one call, those of the latest events first; calling again until none is left does them all.
+        """
+        m = self.memory()
+        rows = summaries.cleanup_candidates(m.events, m.sessions, m.summaries, m.nodes)
+        rows = rows if most is None else rows.orderBy(F.desc("last_seen"), "session_id").limit(most)
+        touched = written(rows.select("session_id"), "touched")
+        if touched.isEmpty():
+            return 0
+        self._derive(touched, written(self.events.rows(touched), "whole"), None)
+        return touched.count()
+
+    def _derive(self, touched: DataFrame, whole: DataFrame, gone: DataFrame | None) -> None:
+        """Replace all that is derived of touched sessions by what their whole events give, and remove the events that are gone."""
         before = written(self.nodes.rows(touched), "before")
-        made = written(summaries.dag(left), "tree")
-        old_nodes = written(before.join(made.select("node_id"), "node_id", "left_anti"), "old_nodes")
-        made = written(made.join(before.select("node_id"), "node_id", "left_anti"), "made")
-        said = written(summaries.session_summaries(left), "said")
+        made, same = written(summaries.dag(whole), "tree"), ["node_id", "summary_version"]
+        old_nodes = written(before.join(made.select(*same), same, "left_anti"), "old_nodes")
+        made = written(made.join(before.select(*same), same, "left_anti"), "made")
+        said = written(summaries.session_summaries(whole), "said")
         docs = lambda df, kind, key: df.select(F.lit(kind).alias("kind"), F.col(key).alias("key"))
-        self.index.remove(docs(gone, "event", "event_id").unionByName(docs(old_nodes, "summary_node", "node_id")).unionByName(docs(touched, "session_summary", "session_id")))
+        old_docs = docs(old_nodes, "summary_node", "node_id").unionByName(docs(touched, "session_summary", "session_id"))
+        if gone is not None:
+            old_docs = old_docs.unionByName(docs(gone, "event", "event_id"))
+            self.events.remove(gone)
+        self.index.remove(old_docs)
         self.index.add(rank.index_rows(None, made, said))
-        self.events.remove(gone)
         for table in (self.sessions, self.summaries, self.shortened):
             table.remove(touched)
         self.nodes.remove(old_nodes)
-        self.sessions.append(written(sessions.rollup(left), "rolled"))
+        self.sessions.append(written(sessions.rollup(whole), "rolled"))
         self.nodes.append(made)
         self.summaries.append(said)
         self._commit()
-        return gone.count()
 
     def follow(self, events: DataFrame, checkpoint: str) -> None:
         """Bring in a stream of events, micro-batch by micro-batch, until its input is read; a batch that comes again changes nothing."""

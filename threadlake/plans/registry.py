@@ -748,12 +748,16 @@ FILE_SQL = """, f AS (SELECT event_id, session_id, ts, text, '/d/' || event_id |
 )
 def file_refs(spark, d):
     """Long documents as contents that stand beside a path in a nested payload."""
+    said = F.when(F.col("mime_type") == "text/plain", F.col("exploration_summary"))
+    return _file_references(spark, d).select("file_ref_id", "session_id", "observed_event_id", "path", "mime_type", "byte_count", "sha256", "source_path", said.alias("said"))
+
+
+def _file_references(spark, d):
     ends = F.array(*[F.lit(x) for x in (".md", ".py", ".csv", ".txt")])
     path = F.concat(F.lit("/d/"), "event_id", F.get(ends, (F.col("seq") % 4).cast("int")))
     payload = F.to_json(F.struct(F.array(F.struct(path.alias("file_path"), F.col("text").alias("content"))).alias("files"), F.lit("x").alias("text")))
     e = doc_events(spark, d).withColumn("payload", payload)
-    said = F.when(F.col("mime_type") == "text/plain", F.col("exploration_summary"))
-    return files.references(e, 4000).select("file_ref_id", "session_id", "observed_event_id", "path", "mime_type", "byte_count", "sha256", "source_path", said.alias("said"))
+    return files.references(e, 4000)
 
 
 @query(
@@ -920,3 +924,42 @@ def log_difference(spark, d):
     _published(again, folder)
     found = reconcile.LogState(spark, state).difference(folder)
     return found.events.select(F.lit("came").alias("kind"), "event_id").unionByName(found.gone.select(F.lit("gone").alias("kind"), "event_id"))
+
+
+@query(SQL.dag() + " SELECT node_id, depth, session_id FROM nodes", CONV_SQL.replace("FROM conversations)", "FROM conversations WHERE (conv_id * 100 + turn) % 7 <> 3)"))
+def store_without(spark, d):
+    """The stored tree after a seventh of the events was forgotten: what the others give."""
+    e, held = written(conv_events(spark, d), "given"), store.Store(spark, shared_dir(spark))
+    held.ingest(e)
+    held.forget(e.where("seq % 7 = 3"))
+    return held.memory().nodes.select("node_id", "depth", "session_id")
+
+
+@query(
+    """, b AS (SELECT sha256(text) AS sha256, session_id, event_id, ts, text FROM ev WHERE strlen(text) BETWEEN 4001 AND 65536), o AS (SELECT * FROM b WHERE sha256 = (SELECT min(sha256) FROM b) ORDER BY ts DESC LIMIT 1)
+    SELECT 'overflow_ref' AS target, 'overflow:' || sha256 AS file_ref_id, session_id, event_id AS observed_event_id, sha256, strlen(text) AS byte_count, 0 AS "offset", text AS content, CAST(NULL AS BIGINT) AS next_offset FROM o""",
+    DOC_SQL,
+)
+def describe_overflow(spark, d):
+    """The first payload by hash of those that were stored apart, with the first page of its content."""
+    e = doc_events(spark, d).where(F.octet_length("text") <= 65536).withColumn("payload", F.col("text")).withColumn("original_bytes", F.octet_length("text").cast("long"))
+    folder = shared_dir(spark)
+    small, blobs = overflow.split_off(e, folder, 4000)
+    overflow.write(blobs, folder)
+    refs = written(normalize.overflow_refs(small), "refs")
+    first = refs.agg(F.min("file_ref_id")).first()[0]
+    if first is None:
+        raise LookupError("no payload is stored apart")
+    return context.describe(context.Memory(e, e, e, e, overflow=refs), file_id=first, blobs=folder)
+
+
+@query(
+    FILE_SQL + """, r AS (SELECT 'file:' || substr(sha256(session_id || chr(0) || path || chr(0) || sha256(text)), 1, 32) AS file_ref_id, * FROM f)
+    SELECT 'file_ref' AS target, file_ref_id, session_id, event_id AS observed_event_id, path, mime AS mime_type, strlen(text) AS byte_count, sha256(text) AS sha256 FROM r ORDER BY file_ref_id LIMIT 1""",
+    DOC_SQL,
+)
+def describe_file(spark, d):
+    """The first of the references to files."""
+    refs = written(_file_references(spark, d), "refs")
+    e = doc_events(spark, d)
+    return context.describe(context.Memory(e, e, e, e, files=refs), file_id=refs.agg(F.min("file_ref_id")).first()[0]).drop("exploration_summary")
