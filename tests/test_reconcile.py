@@ -59,8 +59,9 @@ def test_a_store_follows_what_happens_to_its_log(spark, tmp_path):
     state, held = reconcile.LogState(spark, f"file://{tmp_path}/state"), store.Store(spark, f"file://{tmp_path}/s", 4)
 
     def step():
-        d = reconcile.LogState(spark, state.path).difference(str(disk.path))
-        reconcile.apply(held, d, bind)
+        now = reconcile.LogState(spark, state.path)
+        d = now.difference(str(disk.path))
+        reconcile.apply(held, now, d, bind)
         return d
 
     def same_as_new():
@@ -112,10 +113,16 @@ def test_a_log_of_nothing(spark, tmp_path):
     disk.write("a.jsonl", [])
     state = reconcile.LogState(spark, f"file://{tmp_path}/state")
     d = state.difference(str(disk.path))
+    state.commit(d)
     assert d.events.count() == 0 and d.malformed == 0 and state.look_up(spark.createDataFrame([("x",)], "event_id string")).count() == 0
     disk.write("a.jsonl", [event(1)], "a")
-    d = state.difference(str(disk.path))
-    assert statuses(d) == {"a.jsonl": "new"} and ids(d.events) == ["e1"]
+    for _ in range(2):  # a reading that was not committed is made again
+        d = reconcile.LogState(spark, state.path).difference(str(disk.path))
+        assert statuses(d) == {"a.jsonl": "new"} and ids(d.events) == ["e1"]
+    state.commit(d)
+    assert ids(state.look_up(d.events)) == ["e1"] and state.difference(str(disk.path)).how == "same"
+    with pytest.raises(ValueError):
+        state.commit(d)
 
 
 @pytest.mark.parametrize("compress", [False, True])

@@ -904,7 +904,7 @@ def log_look_up(spark, d):
     e, folder = conv_events(spark, d), shared_dir(spark)
     _published(e, folder)
     state = reconcile.LogState(spark, shared_dir(spark))
-    state.difference(folder)
+    state.commit(state.difference(folder))
     return state.look_up(e.where("hook_event = 'Stop'")).select("event_id", _prompt())
 
 
@@ -918,7 +918,8 @@ def log_difference(spark, d):
     e, folder, state = written(conv_events(spark, d)), shared_dir(spark), shared_dir(spark)
     half = F.floor(F.lit(e.agg(F.max("seq")).first()[0]) / 2)
     _published(e.where((_segment() < 2) | (_segment() == 2) & (F.col("seq") <= half)), folder)
-    reconcile.LogState(spark, state).difference(folder)
+    first = reconcile.LogState(spark, state)
+    first.commit(first.difference(folder))
     turn = F.col("seq") % 100
     again = e.where((_segment() >= 2) | (_segment() == 1) & (turn > 0)).withColumn("text", F.when((_segment() == 1) & (turn == 1), F.concat("text", F.lit(" again"))).otherwise(F.col("text")))
     _published(again, folder)

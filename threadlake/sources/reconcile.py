@@ -41,6 +41,7 @@ class Difference:
     gone: DataFrame
     malformed: int
     blocked: bool
+    version: int
 
 
 class LogState:
@@ -48,7 +49,8 @@ class LogState:
 
     A segment of the same size and time is not read again. Of the others lines get their offsets; if those that
     stood there before are the same by count, end and hash, the segment was only appended to, or only touched.
-    A version counts from the writing of its segments on; places of a version that was not finished are passed over.
+    A version counts from its commit on, which comes after a store has what it says; until then a difference is
+    found again, and what an unfinished version wrote is passed over and written anew.
     An event that stands at several places is the first one's, by segment and offset. A file without bytes is
     no segment yet, and an empty log a version without segments; blank lines are no lines.
     """
@@ -91,7 +93,7 @@ class LogState:
         return log.parsed(found.select("segment", "line")).where("ok").select("e.*", "payload", "segment")
 
     def difference(self, *paths: str) -> Difference:
-        """Compare the log's files with the last version, and note what is there now as the next one.
+        """Compare the log's files with the last version; what is there now is the next one once it is committed.
 
         What a blocked difference would have forgotten stays as it was noted, and comes up again once the log is whole.
         """
@@ -140,7 +142,7 @@ class LogState:
             events = events.unionByName(self.look_up_at(known))
         gone = pairs.where("was is not null").select("event_id", F.col("was_session").alias("session_id"))
         how = "difference" if kinds & {"changed", "removed"} else "tail" if kinds & {"new", "appended"} else "same"
-        out = Difference(how, statuses.select("segment", "status"), written(events, "events"), written(gone.limit(0) if blocked else gone, "gone"), malformed, blocked)
+        out = Difference(how, statuses.select("segment", "status"), written(events, "events"), written(gone.limit(0) if blocked else gone, "gone"), malformed, blocked, self.version + 1)
         self._note(old, found, fresh_at, blocked)
         return out
 
@@ -166,14 +168,24 @@ class LogState:
         files.select(*[F.col(n).cast(t) for n, t in zip(names, ["string", "long", "timestamp", "long", "long", "long", "decimal(38,0)", "decimal(38,0)", "long"], strict=True)]).write.mode("overwrite").parquet(f"{self.path}/files/version={number}")
         places = fresh.where(~F.col("status").isin(withheld)).drop("status").withColumn("bucket", _bucket())
         places.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/places/version={number}")
-        self.spark.range(1).select(F.lit(number).cast("long").alias("version")).coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
-        self.version = number
 
+    def commit(self, difference: Difference) -> None:
+        """From now on the log is held against what this difference saw."""
+        if difference.version != self.version + 1:
+            raise ValueError("the difference is not one from the last version")
+        self.spark.range(1).select(F.lit(difference.version).cast("long").alias("version")).coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
+        self.version = difference.version
 
-def apply(held: Store, difference: Difference, bind) -> dict[str, int]:
-    """Make a store what the log is: forget what is gone, bring in what came, which bind makes events of the model."""
+
+def apply(held: Store, state: LogState, difference: Difference, bind) -> dict[str, int]:
+    """Make a store what the log is: forget what is gone, bring in what came, which bind makes events of the model, then commit.
+
+    If this ends halfway the difference is found again, and doing it again ends in the same store.
+    """
     gone = held.forget(difference.gone)
-    return {**held.ingest(bind(difference.events)), "forgotten": gone}
+    done = {**held.ingest(bind(difference.events)), "forgotten": gone}
+    state.commit(difference)
+    return done
 
 
 def _bucket() -> Column:
