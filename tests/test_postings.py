@@ -152,3 +152,23 @@ def test_an_empty_index_finds_nothing(spark, tmp_path):
     assert index.best(asked_of(spark, "alpha"), 5).count() == 0
     index.add(spark.createDataFrame([("event", "k", "s", "t", 0, 0, 0, True, None, ["", ""])], SCHEMA))
     assert index.best(asked_of(spark, "alpha"), 5).count() == 0 and index.sizes == {"event": (1, 0)}
+
+
+def test_terms_of_a_block_have_their_places_by_field_and_each_block_once(spark, tmp_path):
+    # Blocks of 128 documents, some of them blank, of two kinds that share a block; places leave one free after each field.
+    rows = [("event" if i < 150 else "summary_node", f"k{i:03}", "s", f"{i:03}", 0, 0, 0, True, "", ["b a b", "", f"a t{i % 7}"] if i % 10 else ["", "", ""]) for i in range(300)]
+    index = postings.Index(spark, f"file://{tmp_path}/i")
+    index.add(spark.createDataFrame(rows, SCHEMA).coalesce(1))
+    held = index._read("postings", postings._POSTINGS).collect()
+    assert len({(r.kind, r.term, r.block) for r in held}) == len(held)
+    names = {r.doc: (r.kind, r.key) for r in index.documents().collect()}
+    got = {(*names[d.doc], r.term): d.positions for r in held for d in r.docs}
+    want = {}
+    for kind, key, *_, fields in rows:
+        flat = [t for f in fields for t in [*f.split(), ""]]
+        want |= {(kind, key, t): [i for i, x in enumerate(flat) if x == t] for t in set(flat) - {""}}
+    assert got == want
+    for r in held:
+        assert r.block == r.docs[0].doc >> postings.BLOCK_BITS and [d.doc for d in r.docs] == sorted(d.doc for d in r.docs)
+        assert (r.n, r.most, r.least) == (len(r.docs), max(len(d.positions) for d in r.docs), min(d.dl for d in r.docs))
+        assert {names[d.doc][0] for d in r.docs} == {r.kind}
