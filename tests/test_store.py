@@ -147,3 +147,23 @@ def test_what_is_of_an_older_version_is_made_again(spark, tmp_path, monkeypatch)
     assert rows_of(m.nodes, "node_id") == rows_of(whole.nodes, "node_id")
     assert rows_of(m.sessions, "session_id") == rows_of(whole.sessions, "session_id")
     assert held.forget(events.where("false")) == 0 and held.forget(spark.createDataFrame([("zz", "s1")], "event_id string, session_id string")) == 0
+
+
+def test_a_store_that_is_indexed_later_has_its_tree_at_once_and_is_then_searched_like_any(spark, tmp_path):
+    events = events_of(spark, 150, 11)
+    held = store.Store(spark, f"file://{tmp_path}/s", 2, indexed=False)
+    held.ingest(events.where("seq % 3 > 0"))
+    held.ingest(events.where("seq % 3 = 0").unionByName(events.where("seq % 6 = 0")))
+    whole = memory(events)
+    assert held.index.sizes == {} and rows_of(held.memory().nodes, "node_id") == rows_of(whole.nodes, "node_id")
+    for _ in range(2):
+        held.index_all()
+        assert held.index.sizes["event"][0] == events.count() and held.index.sizes["summary_node"][0] == whole.nodes.count()
+    args = (whole.events, whole.nodes, whole.summaries, whole.sessions, "rollout plan", 3)
+    assert rank.search(*args, index=held.index).collect() == rank.search(*args).collect()
+
+
+def test_rows_without_repeated_keys_stay_as_they_are(spark):
+    rows = written(spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k int, v string"), "rows")
+    assert storage.unique(rows, "k") is rows
+    assert storage.unique(rows.union(rows), "k").count() == 3
