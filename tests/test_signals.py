@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from threadlake.operators import store
@@ -54,3 +55,34 @@ def test_a_store_follows_a_stream(spark, tmp_path):
     whole = memory(events)
     assert sorted(r.node_id for r in held.memory().nodes.collect()) == sorted(r.node_id for r in whole.nodes.collect())
     assert held.index.sizes["event"][0] == events.count()
+
+
+def test_a_session_reaches_its_state_by_batches_not_by_events():
+    made = []
+
+    class State:
+        def __init__(self):
+            self.rows, self.values = [], {}
+
+        def __getattr__(self, name):
+            def call(*args):
+                made.append(name)
+                if name == "appendList":
+                    self.rows += args[0]
+                if name == "updateValue":
+                    self.values[args[0]] = args[1]
+                if name == "clear":
+                    self.rows = []
+                if name == "containsKey":
+                    return args[0] in self.values
+                return iter(list(self.rows)) if name == "get" else bool(self.rows)
+
+            return call
+
+    one = signals.Signals("PreCompact")
+    one.waiting, one.calls, one.so_far, one.handle = State(), State(), State(), State()
+    hooks = ["PreToolUse", "PostToolUse"]
+    rows = [{"ts": f"2026-01-01T00:{i // 60:02d}:{i % 60:02d}.000Z", "seq": i, "event_id": f"e{i}", "hook_event": hooks[i % 2], "tool_name": "t", "tool_use_id": "u"} for i in range(400)]
+    list(one.handleInputRows(("s",), iter([pd.DataFrame(rows[200:]), pd.DataFrame(rows[:200])]), None))
+    out = pd.concat(one.handleExpiredTimer(("s",), type("Times", (), {"getCurrentWatermarkInMs": lambda self: 1 << 60})(), None))
+    assert list(out[out.kind == "tool_result"].ref) == [f"e{i}" for i in range(0, 400, 2)] and len(made) <= 12

@@ -28,44 +28,68 @@ def _ms(ts: str) -> int:
 
 
 class Signals(StatefulProcessor):
-    """One session: events that wait, the latest call of each tool use, the position, and whether a compaction awaits a pack."""
+    """One session: events that wait, the latest call of each tool use, the position, and whether a compaction awaits a pack.
+
+    Each reach into the state is a message to the JVM: events wait in a list that is added to once for each
+    Arrow batch and read once for each timer, and of the calls one look-up and one change is made for each tool use.
+    """
 
     def __init__(self, begins: str):
         self.begins = begins
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "ts string, seq long", ", ".join(f"{c} string" for c in _FIELDS))
+        self.waiting = handle.getListState("waiting", "ts string, seq long, " + ", ".join(f"{c} string" for c in _FIELDS))
         self.calls = handle.getMapState("calls", "tool_use_id string", "event_id string")
         self.so_far = handle.getValueState("so_far", "position long, pending boolean")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = ""
         for pdf in rows:
-            for row in pdf.itertuples():
-                self.waiting.updateValue((row.ts, int(row.seq)), tuple(None if pd.isna(v) else v for v in (getattr(row, c) for c in _FIELDS)))
-                last = max(last, row.ts)
+            if len(pdf):
+                fields = [pdf[c].astype(object).where(pdf[c].notna(), None) for c in _FIELDS]
+                self.waiting.appendList(list(zip(pdf["ts"], (int(n) for n in pdf["seq"]), *fields, strict=True)))
+                last = max(last, pdf["ts"].max())
         if last:
             self.handle.registerTimer(_ms(last))
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        due = sorted((tuple(k), tuple(v)) for k, v in self.waiting.iterator() if _ms(k[0]) <= now)
-        position, pending = self.so_far.get() if self.so_far.exists() else (0, False)
-        out = []
-        for at, (event, hook, tool, use) in due:
+        if not self.waiting.exists():  # an earlier timer took all
+            return
+        due, left = {}, []
+        for ts, seq, *fields in self.waiting.get():
+            if _ms(ts) <= now:
+                due[ts, seq] = fields  # of one place the last arrival counts
+            else:
+                left.append((ts, seq, *fields))
+        if not due:
+            return
+        calls, called, out, position, pending = {}, set(), [], 0, False
+        if self.so_far.exists():  # without it no call is stored either
+            position, pending = self.so_far.get()
+            uses = {use for _, hook, _, use in due.values() if use is not None and hook == "PostToolUse"}
+            calls = {use: self.calls.getValue((use,))[0] for use in uses if self.calls.containsKey((use,))}
+        for at in sorted(due):
+            event, hook, tool, use = due[at]
             position += 1
             if position % graph.CHECKPOINT_EVERY == 0 or hook == "PreCompact":
                 out.append((key[0], event, "checkpoint", str(position)))
-            if use is not None and hook == "PostToolUse" and self.calls.containsKey((use,)):
-                out.append((key[0], event, "tool_result", self.calls.getValue((use,))[0]))
+            if hook == "PostToolUse" and use in calls:
+                out.append((key[0], event, "tool_result", calls[use]))
             if use is not None and hook == "PreToolUse":
-                self.calls.updateValue((use,), (event,))
+                calls[use] = event
+                called.add(use)
             if pending and tool != "pack" and hook in ("UserPromptSubmit", "SessionStart", "PostToolUse", "Stop"):
                 out.append((key[0], event, "block" if hook == "Stop" else "directive", None))
             pending = hook == self.begins or (pending and tool != "pack")
-            self.waiting.removeKey(at)
+        for use in called:
+            self.calls.updateValue((use,), (calls[use],))
+        if left:
+            self.waiting.put(left)
+        else:
+            self.waiting.clear()
         self.so_far.update((position, pending))
         yield pd.DataFrame(out, columns=["session_id", "event_id", "kind", "ref"])
 
