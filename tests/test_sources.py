@@ -3,10 +3,11 @@
 import gzip
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from threadlake.operators import context, normalize, overflow
+from threadlake.operators import context, files, normalize, overflow
 from threadlake.sources import log, transcripts
 from threadlake.storage import written
 
@@ -128,3 +129,12 @@ def test_blobs_that_nothing_refers_to_are_deleted(spark, tmp_path):
     for missing in ("overflow:" + "0" * 64, "file:none"):
         with pytest.raises(LookupError):
             context.describe(m, file_id=missing, blobs=folder)
+
+
+def test_contents_are_found_in_parts_of_a_batch(monkeypatch):
+    monkeypatch.setattr(files, "PART_BYTES", 100)
+    payloads = [json.dumps({"path": f"/a/{i}.md", "text": "x" * i}) for i in range(60)] + [None, "{}"]
+    batch = pa.record_batch({"session_id": ["s"] * 62, "event_id": [f"e{i}" for i in range(62)], "ts": ["t"] * 62, "payload": payloads})
+    out = list(files._find(10)(iter([batch, batch.slice(0, 0)])))
+    assert [b.column("content")[0].as_py() for b in out if b.num_rows == 1][-1] == "x" * 59 and len(out) > 30
+    assert [n for b in out for n in b.column("byte_count").to_pylist()] == list(range(10, 60))

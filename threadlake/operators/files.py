@@ -6,7 +6,8 @@ import hashlib
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from threadlake.functions.text import compact
 
 #: Contents from this size on become references.
 LEAST_BYTES = 25 * 1024
+#: Payloads that are walked at a time, in bytes: what Python holds besides one Arrow batch is a few times this.
+PART_BYTES = 4 << 20
 # MIME types by file extension, and fields of a payload that hold paths and contents.
 MIME = {
     "application/json": ["json"],
@@ -93,15 +96,30 @@ def _is_path(p: str) -> bool:
     return bool(p.strip()) and ("/" in p or "\\" in p or ("." in p and 1 <= len(ext) <= 12 and ext.isascii() and ext.isalnum()))
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts whose payloads are PART_BYTES together, or one payload that is longer."""
+    start, size = 0, 0
+    for i, n in enumerate(pc.binary_length(batch.column("payload")).to_pylist()):
+        if i > start and size + (n or 0) > PART_BYTES:
+            yield batch.slice(start, i - start)
+            start, size = i, 0
+        size += n or 0
+    yield batch.slice(start)
+
+
 def _find(least: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["session_id", "observed_event_id", "ts", "path", "content", "byte_count", "sha256", "source_path", "truncated"]
-        for pdf in batches:
-            out = []
-            for session, event, ts, payload in zip(pdf["session_id"], pdf["event_id"], pdf["ts"], pdf["payload"], strict=True):
-                found = contents_in(json.loads(payload)) if payload else ()
-                out += [(session, event, ts, *c) for c in found if c[2] >= least]
-            yield pd.DataFrame(out, columns=names)
+    names = ["session_id", "observed_event_id", "ts", "path", "content", "byte_count", "sha256", "source_path", "truncated"]
+    types = [pa.string()] * 5 + [pa.int64(), pa.string(), pa.string(), pa.bool_()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _parts(batch):
+                out = []
+                for session, event, ts, payload in zip(*(part.column(c).to_pylist() for c in ("session_id", "event_id", "ts", "payload")), strict=True):
+                    found = contents_in(json.loads(payload)) if payload else ()
+                    out += [(session, event, ts, *c) for c in found if c[2] >= least]
+                columns = zip(*out, strict=True) if out else [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     return run
 
@@ -109,11 +127,11 @@ def _find(least: int):
 def references(events: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     """One row for each large content that a payload (session_id, event_id, ts, payload) holds beside a path.
 
-    Payloads nest to any depth, so each is walked in Python, in batches; all that is said of a content is
+    Payloads nest to any depth, so each is walked in Python, in parts of Arrow batches; all that is said of a content is
     column expressions. The same content at the same path of a session is one reference, its first event's.
     """
     schema = "session_id string, observed_event_id string, ts string, path string, content string, byte_count long, sha256 string, source_path string, truncated boolean"
-    rows = events.select("session_id", "event_id", "ts", "payload").mapInPandas(_find(least), schema)
+    rows = events.select("session_id", "event_id", "ts", "payload").mapInArrow(_find(least), schema)
     kind = mime(F.col("path"), F.col("content"))
     rows = rows.withColumn("mime_type", kind).withColumn("file_ref_id", F.concat(F.lit("file:"), F.substring(F.sha2(F.concat_ws("\0", "session_id", "path", "sha256"), 256), 1, 32)))
     said = exploration(F.col("path"), F.col("mime_type"), F.col("byte_count"), F.col("content"), F.col("truncated"))
