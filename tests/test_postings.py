@@ -3,6 +3,7 @@
 import random
 import sqlite3
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from threadlake.operators import fts, postings, rank
@@ -172,3 +173,9 @@ def test_terms_of_a_block_have_their_places_by_field_and_each_block_once(spark,
         assert r.block == r.docs[0].doc >> postings.BLOCK_BITS and [d.doc for d in r.docs] == sorted(d.doc for d in r.docs)
         assert (r.n, r.most, r.least) == (len(r.docs), max(len(d.positions) for d in r.docs), min(d.dl for d in r.docs))
         assert {names[d.doc][0] for d in r.docs} == {r.kind}
+
+
+def test_a_block_splits_texts_of_tokens_and_takes_marks_off():
+    block = pa.table({"kind": ["event"] * 2, "doc": pa.array([0, 1], pa.int64()), "dl": pa.array([3, 1], pa.int32()), "tokens": [["über a", "", "uber"], ["a"]], "block": pa.array([0, 0], pa.int64())})
+    got = {r["term"]: [(d["doc"], d["positions"]) for d in r["docs"]] for r in postings._block(block).to_pylist()}
+    assert got == {"uber": [(0, [0, 4])], "a": [(0, [1]), (1, [0])]}
