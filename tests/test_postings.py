@@ -179,3 +179,23 @@ def test_a_block_splits_texts_of_tokens_and_takes_marks_off():
     block = pa.table({"kind": ["event"] * 2, "doc": pa.array([0, 1], pa.int64()), "dl": pa.array([3, 1], pa.int32()), "tokens": [["über a", "", "uber"], ["a"]], "block": pa.array([0, 0], pa.int64())})
     got = {r["term"]: [(d["doc"], d["positions"]) for d in r["docs"]] for r in postings._block(block).to_pylist()}
     assert got == {"uber": [(0, [0, 4])], "a": [(0, [1]), (1, [0])]}
+
+
+def test_many_queries_are_put_to_ranges_and_not_each_to_its_postings(spark, tmp_path, monkeypatch, k=5):
+    rows = docs_of(5, 300) + [("event", f"same{i:03}", "s1", f"2026-02-{i % 3 + 1:02d}", 0, 0, 0, True, "", ["s1", "", "", "Stop", "gamma twin twin"]) for i in range(40)]
+    index = postings.Index(spark, f"file://{tmp_path}/i")
+    index.add(spark.createDataFrame(rows[:200], SCHEMA))
+    index.add(spark.createDataFrame(rows[200:], SCHEMA))
+    index.remove(spark.createDataFrame([(r[0], r[1]) for r in rows[::7]], "kind string, key string"))
+    asked, some = asked_of(spark, *QUERIES, "twin", "twin gamma", "gamma alpha-beta none"), spark.createDataFrame([("s1",), ("s5",)], "session_id string")
+    names = ["qid", "kind", "key", "gain", "place", "session_id", "at", "depth"]
+    own = lambda tier, **more: sorted(index.best(asked.where(tier), k, **more).select(*names).collect())
+    want = [own("every"), own("not every", wanted=some, kind="event")]
+    assert len(want[0]) > 30 and len(want[1]) > 10
+    monkeypatch.setattr(postings, "MANY", 1)
+    monkeypatch.setattr(postings, "RANGE_BITS", 7)
+    read, hits = [], index._hits
+    monkeypatch.setattr(index, "_hits", lambda asked, blocks, kind: read.append({r.length for r in asked.select("length").collect()}) or hits(asked, blocks, kind))
+    monkeypatch.setattr(index, "_scored", None)
+    assert [own("every"), own("not every", wanted=some, kind="event")] == want
+    assert all(min(lengths) > 1 for lengths in read)  # places are read for phrases alone
