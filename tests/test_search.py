@@ -138,6 +138,36 @@ def test_graphs_take_summaries_with_their_lineage(m):
     assert first == [0, 0, 1, 2]
 
 
+def test_graphs_find_the_deepest_of_many_nodes(spark):
+    """More nodes than were once read, leaves first, against a walk over all of them."""
+    level, rows = [f"n0-{i}" for i in range(2500)], []
+    rows += [(n, "s", 0, "events", [f"e{i}"], f"{i:05}", f"{i:05}") for i, n in enumerate(level)]
+    while len(level) > 1:
+        depth, by_id = rows[-1][2] + 1, {r[0]: r for r in rows}
+        parts = [level[i : i + 4] for i in range(0, len(level), 4)]
+        rows += [(f"n{depth}-{i}", "s", depth, "nodes", p, by_id[p[0]][5], by_id[p[-1]][6]) for i, p in enumerate(parts)]
+        level = [r[0] for r in rows[-len(parts) :]]
+    rows.append(("lone", "t", 9, "events", ["e0"], "0", "9"))
+    nodes = spark.createDataFrame(rows, "node_id string, session_id string, depth int, source_type string, source_ids array<string>, earliest_at string, latest_at string")
+    by_id, walk = {r[0]: r for r in rows}, []
+
+    def visit(n):
+        if n not in walk:
+            walk.append(n)
+            for below in by_id[n][4] if by_id[n][3] == "nodes" else []:
+                visit(below)
+
+    visit(level[0])
+    for limit in (0, 1, 5, 60, 301):
+        assert {r["node_id"] for r in graph.lineage_first(nodes, "s", limit).collect()} == set(walk[:limit])
+    apart = graph.lineage_first(nodes.where("depth < 4"), "s", 30).collect()  # many roots of one depth: the latest first
+    roots = sorted((r for r in rows if r[2] == 3), key=lambda r: r[6], reverse=True)
+    walk.clear()
+    for r in roots[:3]:
+        visit(r[0])
+    assert {r["node_id"] for r in apart} == set(walk[:30])
+
+
 def test_places_in_a_hot_key(spark):
     rng = random.Random(0)
     rows = [("hot", rng.random(), i) for i in range(500)] + [("cold", rng.random(), 1000 + i) for i in range(3)]

@@ -107,22 +107,29 @@ def summary_budget(limit: int) -> int:
     return min(max(-(-limit // 4), 8), limit // 2) if limit >= 20 else limit // 4
 
 
-def lineage_first(nodes: DataFrame, session_id: str, limit: int, read: int = 2000) -> DataFrame:
+def lineage_first(nodes: DataFrame, session_id: str, limit: int) -> DataFrame:
     """A session's nodes for a graph: the deepest and latest, each with all that it is made of, until `limit`.
 
-    Only the ids and sources of the first `read` nodes are looked at on the driver.
+    All of the session's nodes take part. The driver looks at the ids and sources of the first `limit` of them and, depth
+    by depth, of the first `limit` below those: whatever follows these comes after `limit` chosen ones.
     """
     own = nodes.where(F.col("session_id") == session_id)
-    rows = own.orderBy("depth", "earliest_at", "node_id").limit(read).select("node_id", "depth", "source_type", "source_ids", "latest_at", "earliest_at").collect()
-    by_id, chosen = {r["node_id"]: r for r in rows}, dict[str, None]()
-    roots = sorted(rows, key=lambda r: (r["earliest_at"], r["node_id"]))
-    for r in sorted(sorted(roots, key=lambda r: r["latest_at"], reverse=True), key=lambda r: -r["depth"]):
+    seen = own.select("node_id", "source_type", "source_ids")
+    roots = own.orderBy(F.desc("depth"), F.desc("latest_at"), "earliest_at", "node_id").limit(limit).select(*seen.columns).collect()
+    by_id, chosen, level = {r["node_id"]: r for r in roots}, dict[str, None](), [r["node_id"] for r in roots]
+    below = lambda n: by_id[n]["source_ids"] if by_id[n]["source_type"] == "nodes" else []
+    while level:
+        level = list(dict.fromkeys(i for n in level for i in below(n)))
+        new = [i for i in level if i not in by_id]
+        by_id |= {r["node_id"]: r for r in seen.where(F.col("node_id").isin(new)).collect()} if new else {}
+        level = [i for i in level if i in by_id][:limit]
+    for r in roots:
         stack = [r["node_id"]]
         while stack and len(chosen) < limit:
             node = stack.pop()
             if node not in chosen and node in by_id:
                 chosen[node] = None
-                stack += reversed(by_id[node]["source_ids"]) if by_id[node]["source_type"] == "nodes" else []
+                stack += reversed(below(node))
     return own.where(F.col("node_id").isin(list(chosen))).orderBy("depth", "earliest_at", "node_id")
 
 
