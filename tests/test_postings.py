@@ -2,11 +2,12 @@
 
 import random
 import sqlite3
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from threadlake.operators import fts, postings, rank
+from threadlake.operators import fts, postings, rank, store
 from threadlake.storage import written
 
 from .test_search import frame, memory
@@ -199,3 +200,30 @@ def test_many_queries_are_put_to_ranges_and_not_each_to_its_postings(spark, tmp_
     monkeypatch.setattr(index, "_scored", None)
     assert [own("every"), own("not every", wanted=some, kind="event")] == want
     assert all(min(lengths) > 1 for lengths in read)  # places are read for phrases alone
+
+
+def test_a_batch_is_made_in_slices_and_leaves_nothing_else(spark, tmp_path, monkeypatch):
+    own, puts = postings.put, []
+    monkeypatch.setattr(postings, "put", lambda df, path, *by, **options: puts.append(path) or own(df, path, *by, **options))
+    monkeypatch.setattr(postings, "SLICE_TOKENS", 300)
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    files = lambda: {f for f in shared.rglob("*.parquet")}
+    rows = docs_of(9, 400)
+    docs = written(spark.createDataFrame(rows, SCHEMA), "docs")
+    index, before = postings.Index(spark, f"file://{tmp_path}/i", 4), files()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one range
+    try:
+        index.add(docs.where("key < 'k3'"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum("/postings/" in p for p in puts) > 1 and files() == before
+    index.add(docs)
+    same(index, spark, rows)
+    held = store.Store(spark, f"file://{tmp_path}/m", 2)
+    events = written(frame(spark, [(f"s{i % 3}", "Note", f"long text {i} of a session") for i in range(40)]), "events")
+    before = files()
+    held.ingest(events.where("seq % 2 = 0"))
+    held.ingest(events)
+    assert files() == before and held.memory().events.count() == 40
+    (texts,) = {tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/m/index/documents").where("kind = 'event'").selectExpr("size(filter(fields, t -> t = said))").collect()}
+    assert texts == (0,)  # a text is stored once
